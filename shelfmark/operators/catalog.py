@@ -27,7 +27,10 @@ FOLDERS = {"课堂录音": "recording", "课件": "slides", "作业": "homework"
 NOTE_MARK = "课堂要点"
 SKIP_NAMES = (".git", ".DS_Store", "Thumbs.db", "__pycache__")
 # Formats a stored source may have.
-SAFE_FORMATS = ("pdf", "png", "jpg", "jpeg", "docx", "pptx")
+SAFE_FORMATS = {
+    "pdf": "pdf", "docx": "docx", "doc": "docx", "pptx": "pptx", "ppt": "pptx",
+    "jpg": "jpg", "jpeg": "jpeg", "png": "png",
+}
 
 
 def _map(pairs: dict[str, str], key: Column, default: str) -> Column:
@@ -39,7 +42,7 @@ def source_format(name: Column) -> Column:
 
 
 def safe_format(fmt: Column) -> Column:
-    return F.when(F.lower(fmt).isin(*SAFE_FORMATS), F.lower(fmt)).otherwise("pdf")
+    return _map(SAFE_FORMATS, F.lower(fmt), "pdf")
 
 
 def folder_category(path: Column) -> Column:
