@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
+from shelfmark.functions.numbers import digits
 from shelfmark.operators.scan import joined_text, running
 
 CONTEXT_CAP = 2800
@@ -84,7 +85,7 @@ def citations(srcs: DataFrame) -> DataFrame:
     return srcs.select(
         "query_id", (F.col("rank") + 1).alias("index"), "chunk_id", "parent_chunk_id", "doc_id", "header_path",
         "page_start", "page_end", F.substring("retrieval_text", 1, CITATION).alias("retrieval_text"),
-        F.round("score", 4).alias("score"),
+        digits(F.col("score"), 4).alias("score"),
     )
 
 

@@ -13,12 +13,14 @@ B = 0.75
 IDF_FLOOR = 1e-6
 
 
-def tokenized(chunks: DataFrame, id_col: str = "child_chunk_id", text_col: str = "embedding_text") -> DataFrame:
-    """(chunk_id, toks, doc_len): tokens of every chunk in text order."""
-    return (
-        chunks.select(F.col(id_col).alias("chunk_id"), text.tokens(F.col(text_col)).alias("toks"))
-        .withColumn("doc_len", F.size("toks"))
-    )
+def tokenized(
+    chunks: DataFrame, id_col: str = "child_chunk_id", text_col: str = "embedding_text", keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """(chunk_id, doc_id, toks, doc_len): tokens of every chunk in text order."""
+    rest = [c for c in keep if c in chunks.columns and c != id_col]
+    return chunks.select(
+        F.col(id_col).alias("chunk_id"), *rest, text.tokens(F.col(text_col)).alias("toks")
+    ).withColumn("doc_len", F.size("toks"))
 
 
 def postings(toks: DataFrame, terms: DataFrame | None = None) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
+from shelfmark.functions.numbers import digits
 
 SNIPPET = 400
 
@@ -22,61 +23,64 @@ def _brief(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 def keyword_tokens(keyword: Column) -> Column:
     """Tokens of a keyword that can be shown as a match; single letters and ideographs are dropped."""
     words = F.regexp_extract_all(keyword, F.lit(f"([A-Za-z0-9]+|[{text.IDEOGRAPH}]{{2,}})"), F.lit(1))
-    every = F.concat(words, text.tokens(keyword))
-    kept = F.filter(every, lambda t: ~t.rlike(f"^([A-Za-z]|[{text.IDEOGRAPH}])$"))
-    # First spelling of each token wins, whatever its case.
-    low = F.transform(kept, lambda t: F.lower(t))
-    return F.filter(kept, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
+    return F.filter(
+        F.concat(words, text.tokens(keyword)), lambda t: ~t.rlike(f"^([A-Za-z]|[{text.IDEOGRAPH}])$")
+    )
 
 
-def matches(haystack: Column, token: Column) -> Column:
-    """Latin tokens match as whole words in any case, other tokens as substrings."""
-    word = F.lit(r"[^\p{L}\p{N}_]")
-    as_word = F.concat(F.lit("(?:^|"), word, F.lit(")"), F.lower(token), F.lit("(?:$|"), word, F.lit(")"))
-    latin = token.rlike("^[A-Za-z0-9]+$")
-    return F.when(latin, F.regexp_like(F.lower(haystack), as_word)).otherwise(haystack.contains(token))
+def plan_tokens(plans: DataFrame) -> DataFrame:
+    """(query_id, keywords, toks): tokens of a plan, first spelling first, with their keywords."""
+    words = plans.select("query_id", F.posexplode("keywords").alias("k", "keyword"))
+    toks = words.select("query_id", "k", F.posexplode(keyword_tokens(F.col("keyword"))).alias("t", "tok"))
+    one = toks.groupBy("query_id", F.lower("tok").alias("low")).agg(
+        F.min(F.struct("k", "t", "tok")).alias("at"), F.collect_set("k").alias("of")
+    )
+    lists = one.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "low", "of"))).alias("toks"))
+    return plans.select("query_id", "keywords").join(lists, "query_id", "left")
 
 
 def vector_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return _brief(hits, chunks).select(
         "query_id", "rank", "chunk_id", "parent_chunk_id", "doc_id", "chunk_type", "index_kind", "text",
-        F.round("score", 4).alias("score"),
+        digits(F.col("score"), 4).alias("score"),
     )
 
 
 def keyword_hits(hits: DataFrame, chunks: DataFrame, plans: DataFrame) -> DataFrame:
-    """Keyword hits with the plan tokens they contain and the keywords those belong to."""
-    rows = _brief(hits, chunks).join(plans.select("query_id", "keywords"), "query_id")
+    """Keyword hits with the plan tokens they contain and the keywords those belong to.
+
+    Latin tokens match whole words in any case, other tokens match anywhere.
+    """
+    rows = _brief(hits, chunks).join(plan_tokens(plans), "query_id")
     hay = F.concat(F.col("retrieval_text"), F.lit("\n"), F.col("embedding_text"))
-    every = F.flatten(F.transform("keywords", keyword_tokens))
-    low = F.transform("_every", lambda t: F.lower(t))
-    rows = rows.withColumn("_hay", hay).withColumn("_every", every)
-    rows = rows.withColumn(
-        "_tokens", F.filter("_every", lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
-    ).withColumn("matched_tokens", F.filter("_tokens", lambda t: matches(F.col("_hay"), t)))
-    found = F.transform("matched_tokens", lambda t: F.lower(t))
-    words = F.filter(
-        "keywords",
-        lambda k: F.arrays_overlap(F.transform(keyword_tokens(k), lambda t: F.lower(t)), found),
+    rows = rows.withColumn("_hay", hay).withColumn(
+        "_words", F.array_distinct(F.regexp_extract_all(F.lower("_hay"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
     )
+
+    def found(t: Column) -> Column:
+        as_word = F.array_contains(F.col("_words"), t["low"])
+        return F.when(t["low"].rlike("^[a-z0-9]+$"), as_word).otherwise(F.col("_hay").contains(t["at"]["tok"]))
+
+    rows = rows.withColumn("_found", F.coalesce(F.filter("toks", found), F.array()))
+    words = F.filter("keywords", lambda k, i: F.exists("_found", lambda t: F.array_contains(t["of"], i)))
     return rows.select(
-        "query_id", "rank", "chunk_id", "doc_id", "index_kind", "text", F.round("score", 4).alias("score"),
-        "matched_tokens", words.alias("matched_keywords"),
+        "query_id", "rank", "chunk_id", "doc_id", "index_kind", "text", digits(F.col("score"), 4).alias("score"),
+        F.transform("_found", lambda t: t["at"]["tok"]).alias("matched_tokens"), words.alias("matched_keywords"),
     )
 
 
 def fusion(fused: DataFrame, chunks: DataFrame) -> DataFrame:
     return _brief(fused, chunks).select(
         "query_id", "rank", "chunk_id", "doc_id", "index_kind", "text", "vec_rank",
-        F.round("vec_score", 4).alias("vec_score"), "kw_rank", F.round("kw_score", 4).alias("kw_score"),
-        F.round("score", 5).alias("rrf_score"),
+        digits(F.col("vec_score"), 4).alias("vec_score"), "kw_rank", digits(F.col("kw_score"), 4).alias("kw_score"),
+        digits(F.col("score"), 5).alias("rrf_score"),
     )
 
 
 def reranked(final: DataFrame, chunks: DataFrame) -> DataFrame:
     return _brief(final, chunks).select(
         "query_id", "rank", "prev_rank", "delta", "chunk_id", "parent_chunk_id", "doc_id", "chunk_type",
-        "index_kind", "text", F.round("score", 4).alias("rerank_score"), "degraded",
+        "index_kind", "text", digits(F.col("score"), 4).alias("rerank_score"), "degraded",
     )
 
 

@@ -35,7 +35,7 @@ def replace_in_store(
     function of their document, so writing the same batch twice changes nothing.
     """
     spark = df.sparkSession
-    new = cut(with_bucket(df, key, buckets))
+    new, emptied = cut(with_bucket(df, key, buckets)), []
     if _exists(spark, path):
         keys = new.select(key, "bucket").distinct()
         if gone is not None:
@@ -46,14 +46,15 @@ def replace_in_store(
         old = spark.read.parquet(path).where(F.col("bucket").isin(wanted))
         kept = old.join(keys.select(key), key, "left_anti")
         merged = cut(kept.unionByName(new, allowMissingColumns=True))
-        emptied = [b for b in wanted if b not in {r[0] for r in merged.select("bucket").distinct().collect()}]
-        if emptied:
-            raise RuntimeError(f"buckets {emptied} would become empty; rewrite the store without them")
-        new = merged
+        filled = {r[0] for r in merged.select("bucket").distinct().collect()}
+        new, emptied = merged, [b for b in wanted if b not in filled]
     (
-        new.repartition("bucket", F.pmod(F.xxhash64(*[c for c in new.columns if c != "bucket"][:3]), F.lit(4)))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        new.hint("rebalance", "bucket").write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     )
+    for bucket in emptied:  # an overwrite by partition leaves partitions without new rows alone
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_ir(tables: dict[str, DataFrame], root: str, partition: str | None = None) -> None:
