@@ -1,0 +1,99 @@
+"""BM25 of a batch of queries in one scan of the tokens.
+
+Query terms and their weights have a proven size and go to every task. Each
+Arrow batch becomes a (chunk, term) count block, one product with the (term,
+query) weights gives all scores, and only the best rows per query leave the
+task: no (query, chunk) pair is ever shuffled.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from shelfmark.operators import postings as P
+from shelfmark.operators import vectors as V
+
+# Most (query, term) rows that are shipped.
+MAX_TERMS = 65536
+# Cells of one count block.
+BLOCK_CELLS = 4_000_000
+
+
+def scan(
+    q_terms: DataFrame, corpus: DataFrame, place: DataFrame, limit: int, mode: str, queries: DataFrame | None = None
+) -> DataFrame:
+    """Best rows per query and task.
+
+    ``corpus`` gives the statistics, ``place`` the chunks that may be returned.
+    With ``queries`` a chunk only counts for queries of its own ``kb_id``.
+    """
+    spark = corpus.sparkSession
+    asked = q_terms.join(P.frequency_of(corpus, q_terms), "term", "left").toPandas()  # size checked by the caller
+    totals = P.corpus_totals(corpus).first()
+    n, avg_len = totals["n_chunks"], float(totals["avg_len"] or 1.0)
+    terms = pd.Index(asked["term"].unique())
+    q_ids = asked["query_id"].drop_duplicates().to_numpy()
+    df = asked["df"].fillna(0).to_numpy(dtype=np.float64)
+    raw = np.log((n - df + 0.5) / (df + 0.5))
+    weights = np.zeros((len(terms), len(q_ids)))
+    weights[terms.get_indexer(asked["term"]), pd.Index(q_ids).get_indexer(asked["query_id"])] = np.where(
+        raw > 0, raw, P.IDF_FLOOR
+    )
+    want = None
+    if mode == "and":
+        want = asked.groupby("query_id")["n_terms"].first().loc[q_ids].to_numpy()
+    q_kb = None
+    if queries is not None:
+        q_kb = queries.select("query_id", "kb_id").toPandas().set_index("query_id")["kb_id"].loc[q_ids].to_numpy()
+    sent = spark.sparkContext.broadcast((pa.array(terms.tolist(), pa.string()), weights, q_ids, want, q_kb))
+    schema = T.StructType(
+        [
+            T.StructField("query_id", q_terms.schema["query_id"].dataType),
+            T.StructField("chunk_id", place.schema["chunk_id"].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    cols = ["chunk_id", "doc_len", "toks"] + (["kb_id"] if queries is not None else [])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, weight, ids, need, kb = sent.value
+        state = None
+        step = max(1, BLOCK_CELLS // max(1, len(names)))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                rb = whole.slice(start, step)
+                found = block(rb, names, weight, ids, need, kb)
+                if len(found):
+                    state = V.best(state, found, limit)
+        if state is not None:
+            yield pa.RecordBatch.from_pandas(state[["query_id", "chunk_id", "score"]], schema=out_schema, preserve_index=False)
+
+    def block(rb, names, weight, ids, need, kb) -> pd.DataFrame:
+        lists = rb.column("toks")
+        flat = pc.index_in(lists.flatten(), value_set=names)
+        at = flat.fill_null(-1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(rb.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        hit = at >= 0
+        width = len(names)
+        tf = np.bincount(row[hit] * width + at[hit], minlength=rb.num_rows * width).reshape(rb.num_rows, width)
+        length = rb.column("doc_len").to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
+        scaled = tf * (P.K1 + 1) / (tf + P.K1 * (1 - P.B + P.B * length / avg_len))
+        scores = np.round(scaled @ weight, V.SCORE_DIGITS)
+        matched = (tf > 0).astype(np.float32) @ (weight > 0).astype(np.float32)
+        scores[(matched == 0) if need is None else (matched != need[None, :])] = -np.inf
+        if kb is not None:
+            scores[np.asarray(rb.column("kb_id").to_pylist(), dtype=object)[:, None] != kb[None, :]] = -np.inf
+        return V.pick(scores, np.asarray(rb.column("chunk_id").to_pylist(), dtype=object), ids, limit)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out_schema = to_arrow_schema(schema)
+    return place.select(*cols).mapInArrow(score, schema)

@@ -33,20 +33,8 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _best(state: pd.DataFrame | None, found: pd.DataFrame, k: int) -> pd.DataFrame:
-    both = found if state is None else pd.concat([state, found], ignore_index=True)
-    both = both.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True])
-    return both.groupby("query_id", sort=False).head(k)
-
-
-def _score(
-    q_ids: np.ndarray, q_unit: np.ndarray, q_same, batch: pd.DataFrame, k: int, same: str | None
-) -> pd.DataFrame:
-    """Rows of ``batch`` that may be among the best ``k`` of some query."""
-    scores = np.round(_unit(_matrix(batch["embedding"])) @ q_unit.T, SCORE_DIGITS)
-    if same is not None:
-        scores[batch[same].to_numpy()[:, None] != q_same[None, :]] = -np.inf
-    ids = batch["chunk_id"].to_numpy()
+def pick(scores: np.ndarray, ids: np.ndarray, q_ids: np.ndarray, k: int) -> pd.DataFrame:
+    """Entries of a (rows, queries) block that may be among the best ``k`` of their query."""
     parts = []
     for j in range(len(q_ids)):
         col = scores[:, j]
@@ -61,6 +49,22 @@ def _score(
     return pd.concat(parts, ignore_index=True)
 
 
+def best(state: pd.DataFrame | None, found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best ``k`` rows per query of a running state and new rows, ties by id."""
+    both = found if state is None else pd.concat([state, found], ignore_index=True)
+    both = both.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True])
+    return both.groupby("query_id", sort=False).head(k)
+
+
+def _score(
+    q_ids: np.ndarray, q_unit: np.ndarray, q_same, batch: pd.DataFrame, k: int, same: str | None
+) -> pd.DataFrame:
+    scores = np.round(_unit(_matrix(batch["embedding"])) @ q_unit.T, SCORE_DIGITS)
+    if same is not None:
+        scores[batch[same].to_numpy()[:, None] != q_same[None, :]] = -np.inf
+    return pick(scores, batch["chunk_id"].to_numpy(), q_ids, k)
+
+
 def _hit_schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
     return T.StructType(
         [
@@ -113,7 +117,7 @@ def _shipped(q: DataFrame, v: DataFrame, k: int, same: str | None, schema: T.Str
         state = None
         for batch in batches:
             if len(batch):
-                state = _best(state, _score(q_ids, q_unit, q_same, batch, k, same), k)
+                state = best(state, _score(q_ids, q_unit, q_same, batch, k, same), k)
         if state is not None:
             yield state
 
@@ -138,7 +142,7 @@ def _blocked(
             return pd.DataFrame({f.name: [] for f in schema.fields})
         q_same = left[same].to_numpy() if same else None
         unit = _unit(_matrix(left["embedding"]))
-        return _best(None, _score(left["query_id"].to_numpy(), unit, q_same, right, k, same), k)
+        return best(None, _score(left["query_id"].to_numpy(), unit, q_same, right, k, same), k)
 
     return (
         spread_q.groupBy("_q", "_v").cogroup(spread_v.groupBy("_q", "_v")).applyInPandas(meet, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text
 from shelfmark.operators import chunking, hierarchy
 from shelfmark.operators.scan import number_rows
-from shelfmark.session import spread, table
+from shelfmark.session import cut, spread, table
 
 # An opening tag of a text element and what follows it up to the next other tag.
 ELEMENT = r"<(h1|p|li|footer)(?: [^>]*)?>((?:[^<]+|</?(?:b|a|br)(?: [^>]*)?>)*)"
@@ -132,7 +132,8 @@ def tree_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, sf: str) -> DataFrame:
-    return hierarchy.with_sections(tree_blocks(spark, sf))
+    """The stored blocks with their sections: written once, then read by what follows."""
+    return cut(hierarchy.with_sections(tree_blocks(spark, sf)))
 
 
 # ---- raw blocks out of web pages ----------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,7 @@ def local_session(app: str = "shelfmark", cpus: str | int = "*") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -54,9 +56,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared folder, for results read several times."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and read it back.
+
+    The written table survives lost executors, carries its size into later
+    plans and is read by column.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/shelfmark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
