@@ -97,8 +97,7 @@ def segments(raw: Column, depth: int = CHILD_DEPTH) -> Column:
     ``depth`` levels.
     """
 
-    def one(item: Column) -> Column:
-        seg = F.from_json(item, "type string, content string, children string")
+    def one(seg: Column) -> Column:
         own = F.coalesce(seg["content"], F.lit(""))
         inner = joined(segments(seg["children"], depth - 1)) if depth > 0 else F.lit("")
         kind = F.when(F.coalesce(seg["type"], F.lit("text")).contains("equation"), "inline_equation")
@@ -107,7 +106,10 @@ def segments(raw: Column, depth: int = CHILD_DEPTH) -> Column:
             F.when(own != "", own).otherwise(inner).alias("content"),
         )
 
-    return F.transform(_objects(raw), one)
+    read = F.transform(
+        _objects(raw), lambda item: F.from_json(item, "type string, content string, children string")
+    )
+    return F.transform(read, one)
 
 
 def joined(segs: Column) -> Column:
@@ -117,15 +119,19 @@ def joined(segs: Column) -> Column:
 def list_text(raw: Column) -> Column:
     """List items as indented lines with their prefix; empty items are dropped."""
 
-    def line(item: Column) -> Column:
-        it = F.from_json(item, "item_content string, ilevel int, prefix string")
-        body = joined(segments(it["item_content"]))
-        indent = F.repeat(F.lit("  "), F.greatest(F.lit(0), F.coalesce(it["ilevel"], F.lit(0))))
-        prefix = F.coalesce(it["prefix"], F.lit(""))
-        lead = F.when(prefix != "", F.concat(prefix, F.lit(" "))).otherwise("")
-        return F.when(body != "", F.concat(indent, lead, body))
+    def parts(it: Column) -> Column:
+        return F.struct(
+            F.repeat(F.lit("  "), F.greatest(F.lit(0), F.coalesce(it["ilevel"], F.lit(0)))).alias("indent"),
+            F.coalesce(it["prefix"], F.lit("")).alias("prefix"),
+            joined(segments(it["item_content"])).alias("body"),
+        )
 
-    return F.array_join(F.filter(F.transform(_objects(raw), line), lambda s: s.isNotNull()), "\n")
+    read = F.transform(
+        _objects(raw), lambda item: F.from_json(item, "item_content string, ilevel int, prefix string")
+    )
+    kept = F.filter(F.transform(read, parts), lambda p: p["body"] != "")
+    lead = lambda p: F.when(p["prefix"] != "", F.concat(p["prefix"], F.lit(" "))).otherwise("")
+    return F.array_join(F.transform(kept, lambda p: F.concat(p["indent"], lead(p), p["body"])), "\n")
 
 
 def _asset_path(path: Column, base: Column) -> Column:
@@ -233,21 +239,28 @@ def parse_blocks(raw: DataFrame) -> DataFrame:
     )
 
 
-def is_ghost() -> Column:
+def is_ghost(row: Column) -> Column:
     """A visual block with no text, markup, formula or asset: the rest of a split one."""
-    meta = F.col("metadata")
+    meta = row["metadata"]
     return (
-        F.col("type").isin("image", "table", "equation")
-        & text.blank(F.col("text"))
+        row["type"].isin("image", "table", "equation")
+        & text.blank(row["text"])
         & text.blank(meta["table_html"])
         & text.blank(meta["math_content"])
-        & F.col("_path").isNull()
+        & row["_path"].isNull()
     )
 
 
+def without_ghosts(parsed: DataFrame) -> DataFrame:
+    """Drop ghosts. The test reads the parsed row, so no block is parsed twice for it."""
+    row = F.struct(*parsed.columns)
+    kept = parsed.select(F.explode_outer(F.filter(F.array(row), lambda r: ~is_ghost(r))).alias("r"))
+    return kept.where(F.col("r").isNotNull()).select("r.*")
+
+
 def normalize(raw: DataFrame, page_sizes: DataFrame | None = None) -> DataFrame:
     """Typed blocks, ghosts removed, numbered per page and per document."""
-    parsed = parse_blocks(raw).where(~is_ghost())
+    parsed = without_ghosts(parse_blocks(raw))
     pos = [F.col("page_idx"), F.col("raw_pos")]
     spot = F.floor(F.col("raw_pos") / WIDE)
     numbered = number_rows(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
+from shelfmark.operators.scan import joined_text
 from shelfmark.operators import chunking, hierarchy, normalize, providers, quality
 from shelfmark.plans import corpora as C
 from shelfmark.plans import sql as S
@@ -47,9 +48,9 @@ WITH {S.ELEMENTS},
 po AS (SELECT *, max(CASE WHEN type = 'title' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS root,
    row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS ord FROM pb),
 pt AS (SELECT p.*, t.text AS title FROM po p LEFT JOIN po t ON t.doc_id = p.doc_id AND t.pos = p.root),
-pm AS (SELECT *, {S.strip('text')} AS body FROM pt WHERE role = 'main' AND type <> 'title' AND {S.strip('text')} <> ''),
-ps AS (SELECT *, {S.sentences('body')} AS segs FROM pm),
-pf AS (SELECT *, CASE WHEN type = 'list' OR length(body) <= 500 THEN {{'o': [body], 'c': ''}} ELSE {S.FOLD.format(segs='segs')} END AS st FROM ps),
+pm AS (SELECT doc_id, ord, type, title, {S.strip('text')} AS bd FROM pt WHERE role = 'main' AND type <> 'title' AND {S.strip('text')} <> ''),
+ps AS (SELECT *, {S.sentences('bd')} AS segs FROM pm),
+pf AS (SELECT *, CASE WHEN type = 'list' OR length(bd) <= 500 THEN {{'o': [bd], 'c': ''}} ELSE {S.FOLD.format(segs='segs')} END AS st FROM ps),
 pw AS (SELECT *, {S.CLOSE} AS w FROM pf),
 px AS (SELECT doc_id, ord, type, title, unnest(w) AS piece, unnest(range(len(w))) AS no, len(w) AS total FROM pw)
 SELECT 'cc-' || doc_id || '-' || ord || '-' || no AS child_chunk_id, doc_id, type AS chunk_type,
@@ -80,7 +81,7 @@ def markdown_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.col("tag") == "li", F.concat(F.lit("## "), "body")
     ).otherwise(F.col("body"))
     lines = el.select("doc_id", (F.col("page_idx") * C.PER_PAGE + F.col("raw_pos")).alias("pos"), line.alias("line"))
-    docs = C.joined_text(lines, ["doc_id"], "pos", "line", "\n", "text")
+    docs = joined_text(lines, ["doc_id"], "pos", "line", "\n", "text")
     return docs.withColumn("source_format", F.when(F.col("doc_id") % 10 == 9, "txt").otherwise("md"))
 
 
