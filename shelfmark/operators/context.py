@@ -41,7 +41,7 @@ def head_of_parents(parent_rows: DataFrame, cap: int = CONTEXT_CAP) -> DataFrame
     ).where(F.col("piece") != "")
     ran = running(
         pieces, ["parent_chunk_id"], "order_in_doc", {"_len": ("sum", F.length("piece") + 2)}
-    ).where(F.col("_len") - F.length("piece") - 2 < cap)
+    ).where(F.col("_len") - F.length("piece") - 4 < cap)  # a piece counts with the gap before it
     whole = joined_text(
         ran.withColumn("piece", F.substring("piece", 1, cap)), ["parent_chunk_id"], "order_in_doc", "piece", "\n\n", "body"
     )

@@ -182,7 +182,7 @@ def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 def odd_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """A raw block per line item whose type follows its line number and whose faults follow its flags."""
-    li = table(spark, sf, "lineitem")
+    li = spread(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
     flag, n, q = F.col("l_returnflag"), F.col("l_linenumber"), F.col("l_quantity").cast("int")
     seg = F.array(F.struct(F.when(flag == "R", "footmark").otherwise("text").alias("type"), F.lit("line").alias("content")))
     content = {
