@@ -74,7 +74,7 @@ def recent_conversations(spark, sf):
 
 @query("delete_conversations", """
 WITH c AS (SELECT DISTINCT conv_id, CASE WHEN conv_id % 4 = 1 THEN conv_id - 1 END AS parent FROM conversations),
-gone AS (SELECT conv_id FROM c WHERE conv_id % 12 = 0), gone2 AS (SELECT conv_id FROM gone UNION SELECT c.conv_id FROM c JOIN gone g ON c.parent = g.conv_id)
+gone AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system'), gone2 AS (SELECT conv_id FROM gone UNION SELECT c.conv_id FROM c JOIN gone g ON c.parent = g.conv_id)
 SELECT conv_id AS conversation_id, count(*) AS n_messages FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM gone2) GROUP BY 1
 """)
 def delete_conversations(spark, sf):
@@ -83,7 +83,7 @@ def delete_conversations(spark, sf):
     convs = msg.select("conversation_id").distinct().withColumn(
         "parent_conversation_id", F.when(F.col("conversation_id") % 4 == 1, F.col("conversation_id") - 1)
     )
-    gone = convs.where(F.col("conversation_id") % 12 == 0)
+    gone = msg.where(F.col("role") == "system").select("conversation_id").distinct()
     _, left = catalog.delete_conversations(convs, msg, gone, children=True)
     return left.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_messages"))
 
@@ -103,18 +103,18 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("第"), (n % 20).cast("string"), F.lit("节 "), "lang", F.when(n % 9 == 2, "课堂要点").otherwise(""), n.cast("string"), pick(_EXT, n % 7),
     )
     return table(spark, sf, "documents").select(
-        "doc_id", F.col("source").alias("kb_id"), rel.alias("relative_path"), F.concat(F.lit("/folder/"), rel).alias("path"),
+        "doc_id", "lang", F.col("source").alias("kb_id"), rel.alias("relative_path"), F.concat(F.lit("/folder/"), rel).alias("path"),
         F.when(n % 17 == 5, 0).otherwise(F.col("n_chars")).alias("size"),
     )
 
 
 _FILES = f"""
-f AS (SELECT doc_id, source AS kb_id, n_chars, (CASE doc_id % 5 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _TOP.items())} END) || '/'
+f AS (SELECT doc_id, lang, source AS kb_id, n_chars, (CASE doc_id % 5 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _TOP.items())} END) || '/'
    || CASE WHEN doc_id % 11 = 3 THEN '.hidden/' ELSE '' END || CASE WHEN doc_id % 13 = 4 THEN '~$' ELSE '' END || '第' || (doc_id % 20) || '节 ' || lang
    || CASE WHEN doc_id % 9 = 2 THEN '课堂要点' ELSE '' END || doc_id || (CASE doc_id % 7 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _EXT.items())} END) AS relative_path,
    CASE WHEN doc_id % 17 = 5 THEN 0 ELSE n_chars END AS size FROM documents),
 disk AS (SELECT *, '/folder/' || relative_path AS path FROM f WHERE size > 0 AND doc_id % 11 <> 3 AND doc_id % 13 <> 4 AND doc_id % 7 <> 4),
-kn AS (SELECT '/folder/' || relative_path AS path, doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 6 = 1 THEN 'missing' ELSE 'indexed' END AS status FROM f WHERE doc_id % 3 > 0),
+kn AS (SELECT '/folder/' || relative_path AS path, doc_id::VARCHAR AS doc_id, CASE WHEN lang = 'de' THEN 'missing' ELSE 'indexed' END AS status FROM f WHERE lang <> 'es'),
 ff AS (SELECT coalesce(d.path, k.path) AS path, k.doc_id, k.status, d.relative_path, CASE WHEN d.path IS NOT NULL AND k.path IS NULL THEN 'added'
    WHEN d.path IS NOT NULL AND k.status = 'missing' THEN 'restored' WHEN d.path IS NOT NULL THEN 'unchanged'
    WHEN k.status = 'missing' THEN 'still_missing' ELSE 'missing' END AS action FROM disk d FULL OUTER JOIN kn k ON d.path = k.path)
@@ -122,10 +122,10 @@ ff AS (SELECT coalesce(d.path, k.path) AS path, k.doc_id, k.status, d.relative_p
 
 
 def _known(spark: SparkSession, sf: str) -> DataFrame:
-    """Registered documents: two thirds of the files, some marked as missing."""
-    rows = files(spark, sf).where(F.col("doc_id") % 3 > 0)
+    """Registered documents: all languages but one, one of them marked as missing."""
+    rows = files(spark, sf).where(F.col("lang") != "es")
     return rows.select(
-        "path", F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 6 == 1, "missing").otherwise("indexed").alias("status")
+        "path", F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("lang") == "de", "missing").otherwise("indexed").alias("status")
     )
 
 

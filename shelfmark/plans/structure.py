@@ -114,8 +114,8 @@ def assigned_levels(spark, sf):
     titles = hierarchy.running(
         blocks.where(F.col("type") == "title"), ["doc_id"], "order_in_doc", {"i": ("sum", F.lit(1))}
     )
-    given = titles.where(F.col("p_size") % 3 != 0).select(
-        "doc_id", (F.col("i") - 1).alias("i"), (F.col("p_size") % 9).cast("int").alias("level")
+    given = titles.select(
+        "doc_id", (F.col("i") - 1).alias("i"), F.when(F.col("p_size") % 3 != 0, (F.col("p_size") % 9).cast("int")).alias("level")
     )
     out = hierarchy.assign_levels(blocks, given).where(F.col("type") == "title")
     return out.select("doc_id", F.floor(F.col("order_in_doc") / 2).alias("p_partkey"), F.col("metadata.title_level").alias("level"))
@@ -438,19 +438,19 @@ def block_violations(spark, sf):
 
 @query("violations", f"""
 WITH {S.TREE}, {S.groups(2)},
-kept AS (SELECT * FROM gparents WHERE root_ord % 7 <> 1),
+kept AS (SELECT * FROM gparents WHERE title <> 'MACHINERY'),
 kid AS (SELECT m.doc_id, 'cc-' || m.doc_id || '-' || m.ord || '-0' AS cid, 'pc-' || m.doc_id || '-' || m.root_ord AS pid, m.ord,
    CASE WHEN m.ord % 45 = 8 THEN 'movie' ELSE m.type END AS type, CASE WHEN m.ord % 35 = 6 THEN ' ' ELSE 'x' END AS body FROM gm m WHERE m.type <> 'title')
 SELECT doc_id, 'child_text_blank' AS "check", 'error' AS severity, cid AS ctx, 1 AS times FROM kid WHERE trim(body) = ''
 UNION ALL SELECT doc_id, 'child_type_unknown', 'warning', cid, 1 FROM kid WHERE type = 'movie'
 UNION ALL SELECT doc_id, 'parent_missing', 'warning', pid, count(*) FROM kid WHERE pid NOT IN (SELECT parent_chunk_id FROM kept) GROUP BY doc_id, pid
-UNION ALL SELECT doc_id, 'parent_pages_reversed', 'warning', parent_chunk_id, 1 FROM kept WHERE root_ord % 11 = 2
+UNION ALL SELECT doc_id, 'parent_pages_reversed', 'warning', parent_chunk_id, 1 FROM kept WHERE title = 'BUILDING'
 """)
 def violations(spark, sf):
     """Chunk checks after some parents got lost and some chunks were spoiled."""
     members = chunking.grouped(C.tree(spark, sf), 2)
-    parents = chunking.parent_chunks(members).where(F.pmod("root_ord", F.lit(7)) != 1).withColumn(
-        "page_start", F.when(F.col("root_ord") % 11 == 2, F.col("page_end") + 1).otherwise(F.col("page_start"))
+    parents = chunking.parent_chunks(members).where(F.col("title") != "MACHINERY").withColumn(
+        "page_start", F.when(F.col("title") == "BUILDING", F.col("page_end") + 1).otherwise(F.col("page_start"))
     )
     n = F.col("order_in_doc")
     kids = chunking.child_chunks(members).withColumns({
