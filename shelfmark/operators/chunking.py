@@ -165,9 +165,12 @@ def child_chunks(members: DataFrame, page_numbers: DataFrame | None = None) -> D
     body = body.where(keep).withColumn(
         "_windows", F.when(atomic, F.array("_text")).otherwise(block_windows(text.strip(F.col("text"))))
     )
-    cut = body.select("*", F.posexplode_outer("_windows").alias("_no", "_piece"))
+    carried = [c for c in body.columns if c not in ("_windows", "_text", "text", "section_path")]
+    cut = body.withColumn("_total", F.size("_windows")).select(
+        *carried, "_total", F.posexplode_outer("_windows").alias("_no", "_piece")
+    )
     path = F.when(F.size("header_path") > 0, F.col("header_path")).otherwise(F.col("parent_path"))
-    split = F.size("_windows") > 1
+    split = F.col("_total") > 1
     out = cut.select(
         F.concat(
             F.lit("cc-"), F.col("doc_id"), F.lit("-"), F.col("order_in_doc"), F.lit("-"), F.col("_no")
@@ -200,7 +203,7 @@ def child_chunks(members: DataFrame, page_numbers: DataFrame | None = None) -> D
         atomic.alias("is_atomic"),
         split.alias("is_atomic_fragment"),
         F.when(split, F.col("_no")).alias("fragment_index"),
-        F.when(split, F.size("_windows")).alias("fragment_total"),
+        F.when(split, F.col("_total")).alias("fragment_total"),
     )
     if page_numbers is not None:
         out = out.join(page_numbers, ["doc_id", "page_idx"], "left")
@@ -276,9 +279,10 @@ def text_children(secs: DataFrame) -> DataFrame:
     """Windows of section bodies: blank-line paragraphs, then sentences, then windows."""
     segs = text.segments(F.col("body"))
     windows = F.when(F.length("body") <= MAX_CHARS, F.array("body")).otherwise(pack(segs))
-    cut = secs.withColumn("_windows", windows).select(
-        "doc_id", "sec_ord", "header_path", F.size("_windows").alias("_total"),
-        F.posexplode_outer("_windows").alias("_no", "_piece"),
+    # Counted before the explode, so that its rows need not carry the whole array.
+    counted = secs.withColumn("_windows", windows).withColumn("_total", F.size("_windows"))
+    cut = counted.select(
+        "doc_id", "sec_ord", "header_path", "_total", F.posexplode_outer("_windows").alias("_no", "_piece")
     )
     split = F.col("_total") > 1
     return cut.select(

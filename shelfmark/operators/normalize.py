@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import geometry, text
 from shelfmark.operators.scan import number_rows
+from shelfmark.session import cut
 
 # Raw type -> block type.
 TYPE_OF = {
@@ -260,7 +261,7 @@ def without_ghosts(parsed: DataFrame) -> DataFrame:
 
 def normalize(raw: DataFrame, page_sizes: DataFrame | None = None) -> DataFrame:
     """Typed blocks, ghosts removed, numbered per page and per document."""
-    parsed = without_ghosts(parse_blocks(raw))
+    parsed = cut(without_ghosts(parse_blocks(raw)))  # parsed once, numbered in several steps
     pos = [F.col("page_idx"), F.col("raw_pos")]
     spot = F.floor(F.col("raw_pos") / WIDE)
     numbered = number_rows(
