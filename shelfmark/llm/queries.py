@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.llm.packing import packed_sequences
+from shelfmark.llm.ring import sharded
 from shelfmark.llm.substring import without_repeats
+from shelfmark.llm.warc import archived
 from shelfmark.session import table
 
 
@@ -15,5 +18,43 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
-ORACLES: dict[str, str] = {}
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` written as WARC archives and read back in byte ranges."""
+    records = archived(table(spark, sf_dir, "pages"))
+    number = lambda c: F.when(F.col(c) != "None", F.col(c)).cast("long")
+    return records.select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+     f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN f.first_id IS NOT NULL AND p.page_id IS DISTINCT FROM f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id IS DISTINCT FROM f.first_id THEN f.first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
+def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` in 40 shards whose row counts differ by one at most."""
+    rows = sharded(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+        "home_shard",
+    )
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as token pieces in windows of at most 2048 tokens."""
+    return packed_sequences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup, "op2_warc": op2_warc, "op4_ring_shards": op4_ring_shards,
+    "op10_packing": op10_packing,
+}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
