@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.llm.decontaminate import leaks
+from shelfmark.llm.fingerprint import fingerprints
 from shelfmark.llm.packing import packed_sequences
 from shelfmark.llm.ring import sharded
 from shelfmark.llm.substring import without_repeats
@@ -48,6 +50,16 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of ``benchmark`` items in ``documents``, word for word or edited."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all ``documents`` and of their edited texts."""
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as token pieces in windows of at most 2048 tokens."""
     return packed_sequences(table(spark, sf_dir, "documents"))
@@ -55,6 +67,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup, "op2_warc": op2_warc, "op4_ring_shards": op4_ring_shards,
-    "op10_packing": op10_packing,
+    "op6_decontamination": op6_decontamination, "op8_fingerprints": op8_fingerprints, "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
