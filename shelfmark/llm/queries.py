@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.decontaminate import leaks
 from shelfmark.llm.fingerprint import fingerprints
+from shelfmark.llm.licences import scanned
 from shelfmark.llm.packing import packed_sequences
 from shelfmark.llm.ring import sharded
 from shelfmark.llm.substring import without_repeats
@@ -60,6 +61,23 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, as a file in a folder tree.
+
+    A tree has folders for each thousand, hundred and ten of ids; ids divisible by ten are the
+    licence files of a folder on the level that their last zeros tell.
+    """
+    n = F.col("doc_id")
+    thousand, hundred, ten = (F.floor(n / k).cast("string") for k in (1000, 100, 10))
+    path = (
+        F.when(n % 1000 == 0, F.concat_ws("/", thousand, F.lit("LICENSE")))
+        .when(n % 100 == 0, F.concat_ws("/", thousand, hundred, F.lit("LICENSE")))
+        .when(n % 10 == 0, F.concat_ws("/", thousand, hundred, ten, F.lit("LICENSE")))
+        .otherwise(F.concat_ws("/", thousand, hundred, ten, F.concat(n.cast("string"), F.lit(".txt"))))
+    )
+    return scanned(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"), "doc_id", "path", "text")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as token pieces in windows of at most 2048 tokens."""
     return packed_sequences(table(spark, sf_dir, "documents"))
@@ -67,6 +85,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup, "op2_warc": op2_warc, "op4_ring_shards": op4_ring_shards,
-    "op6_decontamination": op6_decontamination, "op8_fingerprints": op8_fingerprints, "op10_packing": op10_packing,
+    "op6_decontamination": op6_decontamination, "op8_fingerprints": op8_fingerprints, "op9_licences": op9_licences,
+    "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
