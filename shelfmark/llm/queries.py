@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.llm.cotrain import scored
+from shelfmark.llm.dart import near_classes
 from shelfmark.llm.decontaminate import leaks
 from shelfmark.llm.fingerprint import fingerprints
 from shelfmark.llm.licences import scanned
@@ -42,6 +44,12 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all ``documents`` by both views and together, and whether they stay."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return scored(docs, labels).select("doc_id", "p_text", "p_meta", "p_good", "keep")
+
+
 def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` in 40 shards whose row counts differ by one at most."""
     rows = sharded(table(spark, sf_dir, "documents"))
@@ -51,6 +59,11 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of each of ``documents``, named by its least id."""
+    return near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "first")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of ``benchmark`` items in ``documents``, word for word or edited."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -84,7 +97,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_substring_dedup": op1_substring_dedup, "op2_warc": op2_warc, "op4_ring_shards": op4_ring_shards,
+    "op1_substring_dedup": op1_substring_dedup, "op2_warc": op2_warc, "op3_quality": op3_quality,
+    "op4_ring_shards": op4_ring_shards, "op5_near_duplicates": op5_near_duplicates,
     "op6_decontamination": op6_decontamination, "op8_fingerprints": op8_fingerprints, "op9_licences": op9_licences,
     "op10_packing": op10_packing,
 }
