@@ -11,6 +11,7 @@ from shelfmark.llm.decontaminate import leaks
 from shelfmark.llm.fingerprint import fingerprints
 from shelfmark.llm.licences import scanned
 from shelfmark.llm.packing import packed_sequences
+from shelfmark.llm.recurrent import scored as language_scores
 from shelfmark.llm.ring import sharded
 from shelfmark.llm.substring import without_repeats
 from shelfmark.llm.warc import archived
@@ -69,6 +70,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of all ``documents`` under word counts and under the recurrent network."""
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all ``documents`` and of their edited texts."""
     return fingerprints(table(spark, sf_dir, "documents"))
@@ -99,7 +105,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup, "op2_warc": op2_warc, "op3_quality": op3_quality,
     "op4_ring_shards": op4_ring_shards, "op5_near_duplicates": op5_near_duplicates,
-    "op6_decontamination": op6_decontamination, "op8_fingerprints": op8_fingerprints, "op9_licences": op9_licences,
+    "op6_decontamination": op6_decontamination, "op7_recurrent_scores": op7_recurrent_scores, "op8_fingerprints": op8_fingerprints, "op9_licences": op9_licences,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
