@@ -1,32 +1,63 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+quality classifier -> near-duplicates -> repeated passages -> benchmark copies -> packing.
+Each stage works on all rows its predecessor kept and returns the columns of its input, but
+for the last, which returns the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shelfmark.llm.cotrain import scored
+from shelfmark.llm.dart import one_of_each
+from shelfmark.llm.decontaminate import without_leaks
+from shelfmark.llm.packing import packed_sequences
 from shelfmark.llm.substring import without_repeats
 from shelfmark.session import cut, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the word windows that start earlier elsewhere; texts without repeats stay as they are."""
-    from pyspark.sql import functions as F
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps."""
+    return scored(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: the one with the least id."""
+    return one_of_each(docs)
+
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the word windows that start earlier elsewhere; a text without repeats stays as it is."""
     done = without_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    columns = {"text": text}
+    changed = F.col("n_removed") > 0
+    columns = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+        columns["n_chars"] = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumns(columns).select(*docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("substring_dedup", substring_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy of a benchmark item."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token windows."""
+    return packed_sequences(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup),
+    ("decontaminate", decontaminate), ("packing", packing),
+]
 
-#: No stage but the second could be written in SQL; tests hold the stages against brute force.
+#: SQL has no tokenizer, classifier or alignment; the tests hold every stage against brute force.
 ORACLE_SQL: str | None = None
 
 
