@@ -81,7 +81,7 @@ def squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays of one length as compressed byte planes, each with its type."""
     out = [len(arrays).to_bytes(1, "big"), len(arrays[0]).to_bytes(8, "big")]
     out += [a.dtype.str.encode().ljust(4) for a in arrays]
-    out += [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays]
+    out += [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() for a in arrays]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
