@@ -58,6 +58,8 @@ class Sketch:
 
     def parts_of(self, cells: np.ndarray) -> list[tuple[int, int, int]]:
         """(segment, from, to) of sorted cells, without empty segments."""
+        if not len(cells):
+            return []
         seg = (cells // np.uint64(self.width)).astype(np.int64)
         ids, at = np.unique(seg, return_index=True)
         return list(zip(ids.tolist(), at.tolist(), [*at[1:].tolist(), len(cells)], strict=True))
