@@ -28,8 +28,8 @@ SHINGLE = 5
 SLICE_CHARS = 1 << 20
 EMPTY = np.uint64(2**64 - 1)
 ROWS = (
-    "part long, kind int, doc_id long, text string, n_chars long, edited_sha256 string, fingerprint string, "
-    "edited_fingerprint string, near_edited double, near_next double"
+    "part long, kind int, doc_id long, text string, n_chars long, edited_sha256 string, fingerprint binary, "
+    "edited_fingerprint binary, near_edited double, near_next double"
 )
 
 
@@ -59,10 +59,10 @@ def signatures(texts: list[bytes], bins: int = BINS, bits: int = BITS, size: int
     return (mix(table) & np.uint64(2**bits - 1)).astype(np.uint8), words.counts > 0
 
 
-def packed_bits(values: np.ndarray, bits: int = BITS) -> list[str]:
-    """Each row as hexadecimal digits of its values' low bits."""
+def packed_bits(values: np.ndarray, bits: int = BITS) -> list[bytes]:
+    """Each row as the packed low bits of its values."""
     planes = (values[:, :, None] >> np.arange(bits - 1, -1, -1, dtype=np.uint8)) & 1
-    return [row.tobytes().hex() for row in np.packbits(planes.reshape(len(values), -1), axis=1)]
+    return [row.tobytes() for row in np.packbits(planes.reshape(len(values), -1), axis=1)]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, has_a: np.ndarray, has_b: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -89,13 +89,13 @@ def compared(ids: list, texts: list[str], following: list[str], part: int) -> pa
     a, b = slice(0, n), slice(n, 2 * n)
     c = np.r_[1:n, 2 * n] if chained else np.r_[2 * n : 3 * n]
     prints = packed_bits(sig[: 2 * n])
-    prints = [p if h else "" for p, h in zip(prints, has[: 2 * n], strict=True)]
+    prints = [p if h else b"" for p, h in zip(prints, has[: 2 * n], strict=True)]
     return pa.RecordBatch.from_pydict(
         {
             "part": pa.array([part] * n, pa.int64()), "kind": pa.array([0] * n, pa.int32()), "doc_id": pa.array(ids, pa.int64()),
             "text": pa.nulls(n, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
-            "edited_sha256": [hashlib.sha256(x).hexdigest() for x in changed], "fingerprint": prints[:n],
-            "edited_fingerprint": prints[n:], "near_edited": likeness(sig[a], sig[b], has[a], has[b]),
+            "edited_sha256": [hashlib.sha256(x).hexdigest() for x in changed], "fingerprint": pa.array(prints[:n], pa.binary()),
+            "edited_fingerprint": pa.array(prints[n:], pa.binary()), "near_edited": likeness(sig[a], sig[b], has[a], has[b]),
             "near_next": likeness(sig[a], sig[c], has[a], has[c]),
         }
     )
@@ -103,7 +103,7 @@ def compared(ids: list, texts: list[str], following: list[str], part: int) -> pa
 
 def edge(part: int, kind: int, doc_id: int | None, text: str) -> pa.RecordBatch:
     """The first (kind 2) or last (kind 1) document of a task, whose neighbour is in another one."""
-    rest = {f: pa.nulls(1, pa.string()) for f in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    rest = {"edited_sha256": pa.nulls(1, pa.string()), "fingerprint": pa.nulls(1, pa.binary()), "edited_fingerprint": pa.nulls(1, pa.binary())}
     return pa.RecordBatch.from_pydict(
         {
             "part": pa.array([part], pa.int64()), "kind": pa.array([kind], pa.int32()), "doc_id": pa.array([doc_id], pa.int64()),
@@ -163,4 +163,5 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                 yield compared([key], [body], [following], 0)
 
     closed = open_ends.select("doc_id", "text", "next_text").mapInArrow(close, ROWS)
-    return done.where("kind = 0").unionByName(closed).drop("part", "kind", "text")
+    rows = done.where("kind = 0").unionByName(closed).drop("part", "kind", "text")
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
