@@ -14,6 +14,7 @@ their ids, so its cost doesn't follow the corpus. Scoring is one pass over all w
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -80,8 +81,6 @@ def text_rows(texts: list[bytes | None]) -> Rows:
 
 def meta_rows(lang: list, source: list, chars: list) -> Rows:
     """Language, source and length class of documents, and language with length class."""
-    import zlib
-
     out = []
     for a, b, n in zip(lang, source, chars, strict=True):
         size = -1 if n is None else int(n).bit_length()
@@ -94,6 +93,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def shaped(dense: np.ndarray, center: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Dense columns in standard units, cut at 2.5: no shape alone is stranger than those in the sample."""
+    return np.clip((dense - center) / scale, -2.5, 2.5)
+
+
 @dataclass
 class View:
     """A logistic model with its calibration ``a * z + b``."""
@@ -108,7 +112,7 @@ class View:
 
     def raw(self, rows: Rows) -> np.ndarray:
         z = np.bincount(rows.row, self.weight[rows.index], minlength=len(rows)) if len(rows.index) else np.zeros(len(rows))
-        return z + (rows.dense - self.center) / self.scale @ self.dense + self.bias
+        return z + shaped(rows.dense, self.center, self.scale) @ self.dense + self.bias
 
     def logit(self, rows: Rows) -> np.ndarray:
         return self.a * self.raw(rows) + self.b
@@ -127,7 +131,7 @@ def fitted(rows: Rows, good: np.ndarray, weight: np.ndarray, bits: int, least_ch
     keep = new[rows.index] >= 0
     index, row = new[rows.index[keep]], rows.row[keep]
     center, scale = rows.dense.mean(0), rows.dense.std(0) + 1e-6
-    dense = (rows.dense - center) / scale
+    dense = shaped(rows.dense, center, scale)
     balance = np.where(good, weight.sum() / 2 / max(weight[good].sum(), 1e-9), weight.sum() / 2 / max(weight[~good].sum(), 1e-9))
     w = weight * balance / weight.sum()
     k = len(used)
@@ -217,7 +221,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int
     got = features(docs.join(F.broadcast(wanted), "doc_id"))
     got = [r for i, r in enumerate(got) if i == 0 or r[0] != got[i - 1][0]]  # one row an id
     good = np.array([r[1] for r in got], np.int64)
-    fold = np.arange(len(got)) % 4 == 3
+    fold = np.array([zlib.crc32(str(r[0]).encode()) % 4 == 3 for r in got], bool)
     held = (good >= 0) & fold
     if min(*(((good == g) & (fold == f)).sum() for g in (0, 1) for f in (False, True))) < 1:
         return None
