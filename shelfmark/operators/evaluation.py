@@ -78,17 +78,21 @@ def query_metrics(flags: DataFrame, counts: DataFrame, ks: tuple[int, ...] = KS)
     return base.select(*keys, "n_relevant", F.coalesce("_rr", F.lit(0.0)).alias("mrr"), *out)
 
 
-def macro(per_query: DataFrame, n_queries: DataFrame | None = None, ks: tuple[int, ...] = KS) -> DataFrame:
+def macro(per_query: DataFrame, n_queries: DataFrame | None = None, configs: list[str] | None = None, ks: tuple[int, ...] = KS) -> DataFrame:
     """Averages over queries, per configuration; a query without hits counts as zero.
 
     ``n_queries`` is a one-row table with ``n``; needed where queries without
-    hits have no row.
+    hits have no row. ``configs`` names all configurations: one that finds
+    nothing at all has a row of zeros.
     """
     names = ["mrr"] + [f"{m}_{k}" for k in ks for m in ("hit", "recall", "ndcg")]
     keys = [c for c in ("config",) if c in per_query.columns]
     sums = per_query.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in names], F.count(F.lit(1)).alias("_n")
     )
+    if configs is not None:
+        every = per_query.sparkSession.createDataFrame([(c,) for c in configs], "config string")
+        sums = every.join(sums, "config", "left").na.fill(0)
     if n_queries is not None:
         sums = sums.withColumn("_n", n_queries.select("n").scalar())
     return sums.select(*keys, F.col("_n").alias("n_queries"), *[F.round(F.col(c) / F.col("_n"), 6).alias(c) for c in names])

@@ -7,14 +7,13 @@ of failing the job. The defaults are deterministic and need no network.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
@@ -35,36 +34,39 @@ class Describer(Protocol):
     def describe(self, kind: str, content: str) -> str: ...
 
 
-class HashingEmbedder:
-    """Signed term counts hashed into a fixed number of slots."""
+def hashed_terms(c: Column, size: int = VECTOR_SIZE) -> Column:
+    """A signed slot for every search token of a text: the slot, or -1 minus it."""
+    part = lambda t, at, n: F.conv(F.substring(F.md5(t.cast("binary")), at, n), 16, 10).cast("int")
+    slot = lambda t: part(t, 1, 4) % size
+    return F.transform(text.tokens(c), lambda t: F.when(part(t, 5, 1) % 2 == 0, slot(t)).otherwise(-1 - slot(t)))
 
-    def __init__(self, size: int = VECTOR_SIZE):
-        self.size = size
-        self._slots: dict[str, tuple[int, float]] = {}
 
-    def _slot(self, term: str) -> tuple[int, float]:
-        hit = self._slots.get(term)
-        if hit is None:
-            digest = hashlib.md5(term.encode()).hexdigest()
-            hit = (int(digest[:4], 16) % self.size, 1.0 if int(digest[4], 16) % 2 == 0 else -1.0)
-            self._slots[term] = hit
-        return hit
+def hashed_vectors(c: Column, size: int = VECTOR_SIZE) -> Column:
+    """Signed token counts by slot, whole numbers so that sums are exact; cosine search divides by their lengths."""
 
-    def embed(self, texts: list[str], text_type: str) -> np.ndarray:
-        out = np.zeros((len(texts), self.size), dtype=np.float32)
-        for row, body in enumerate(texts):
-            for term in re.findall(r"[^\W_]+", (body or "").lower()):
-                slot, sign = self._slot(term)
-                out[row, slot] += sign
-        return out
+    @F.pandas_udf("array<float>")
+    def vectors(codes: pd.Series) -> pd.Series:
+        n = codes.map(len).to_numpy()
+        flat = np.concatenate([*codes, np.zeros(0, np.int32)]).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        slot, sign = np.where(flat < 0, -1 - flat, flat), np.where(flat < 0, -1.0, 1.0)
+        out = np.bincount(row * size + slot, sign, minlength=len(n) * size).reshape(len(n), size)
+        return pd.Series(list(out.astype(np.float32)))
+
+    return vectors(hashed_terms(c, size))
 
 
 def embed(
     df: DataFrame, text_col: str, provider: Embedder | None = None,
     *, text_type: str = "document", batch: int = EMBED_BATCH,
 ) -> DataFrame:
-    """Add ``embedding``; row and vector stay together, so their counts cannot differ."""
-    model = provider or HashingEmbedder()
+    """Add ``embedding``; row and vector stay together, so their counts cannot differ.
+
+    Without a provider the vector is that of the hashed search tokens (``hashed_vectors``).
+    """
+    if provider is None:
+        return df.withColumn("embedding", hashed_vectors(F.col(text_col)))
+    model = provider
 
     @F.pandas_udf("array<float>")
     def vectors(column: Iterator[pd.Series]) -> Iterator[pd.Series]:

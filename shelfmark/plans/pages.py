@@ -113,28 +113,26 @@ _ODD = f"""
 ob AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, l_returnflag AS f, l_quantity::INT AS q, l_linestatus AS s, {_X} AS x,
    printf('blocks[p%d][b%d]', l_linenumber, l_partkey) AS loc FROM lineitem),
 od AS (
-  SELECT doc_id, n, 'info' AS severity, loc || '.bbox' AS location, 'bbox 字段值为 null（预期：键缺失表示 Office 原生解析，null 是另一种形式）' AS issue FROM ob WHERE q = 1
-  UNION ALL SELECT doc_id, n, 'warning', loc || '.bbox', 'bbox 长度应为 4，实际为 3' FROM ob WHERE q <> 1 AND s <> 'F'
-  UNION ALL SELECT doc_id, n, 'warning', loc || '.bbox', '坐标值 ' || x || ' 超出 norm1000 合理范围 [-50, 1050]' FROM ob WHERE q <> 1 AND s = 'F' AND x > 1050
-  UNION ALL SELECT doc_id, n, 'error', loc, '出现未知块类型: ''mystery''' FROM ob WHERE n = 7
-  UNION ALL SELECT doc_id, n, 'info', loc || '.content', '未知块类型 ''mystery'' 的 content 字段: [''hint'']' FROM ob WHERE n = 7
-  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.level', 'title.level 语义漂移：预期 1-3（PDF→1，Office/is_ocr→可能为2），实际为 ' || (q % 5) FROM ob WHERE n = 1 AND q % 5 IN (0, 4)
-  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.title_content[0].type', '未知 TextSegment 类型: ''footmark''' FROM ob WHERE n = 1 AND f = 'R'
-  UNION ALL SELECT doc_id, n, 'warning', loc || '.content', '出现未知 content 字段: [''colour'']' FROM ob WHERE n = 2 AND f = 'A'
-  UNION ALL SELECT doc_id, n, 'warning', loc || '.content', '缺少预期核心字段 ''paragraph_content''（paragraph 块通常必有此字段）' FROM ob WHERE n = 2 AND f = 'N'
-  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.paragraph_content[0].type', '未知 TextSegment 类型: ''footmark''' FROM ob WHERE n = 2 AND f = 'R'
-  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.attribute', 'list.attribute 语义漂移：预期 ''ordered'' 或 ''unordered''，实际为 ''bullets''' FROM ob WHERE n = 3 AND f = 'N'
-  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.list_items[0].ilevel', 'ilevel 语义漂移：预期 ≥0，实际为 -1' FROM ob WHERE n = 3 AND q % 13 = 0
-  UNION ALL SELECT doc_id, n, 'info', loc || '.content.list_items[0].ilevel', 'ilevel 值较大: 11（正常范围 0-5）' FROM ob WHERE n = 3 AND q % 13 = 12
-  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.list_items[0].item_content[0].type', '未知 TextSegment 类型: ''footmark''' FROM ob WHERE n = 3 AND f = 'R'
-  UNION ALL SELECT doc_id, n, 'warning', loc || '.content', '缺少预期核心字段 ''html''（table 块通常必有此字段）' FROM ob WHERE n = 4 AND f = 'N'
-  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.table_type', 'table.table_type 语义漂移：已知值 (''simple''|''complex''|''normal''|''simple_table''|''complex_table''|''''''''''''''''''''), 实际为' FROM ob WHERE false
-  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.table_type', 'table.table_type 语义漂移：已知值 (''simple''|''complex''|''normal''|''simple_table''|''complex_table''|'''')，实际为 ''pivot''' FROM ob WHERE n = 4 AND f = 'A'
-  UNION ALL SELECT doc_id, n, 'info', loc || '.content.image_source.path', 'image_source.path 路径格式变化：预期以 ''images/'' 开头，实际为 ''pics/a.jpg''' FROM ob WHERE n = 5 AND f = 'R'
-  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.image_source.path', 'image_source 缺少 ''path'' 字段' FROM ob WHERE n = 5 AND f = 'N'
-  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.math_type', 'equation.math_type 语义漂移：已知值 (''latex''|''mathml''|''asciimath'')，实际为 ''tex''' FROM ob WHERE n = 6 AND f = 'A')
+  SELECT doc_id, n, 'info' AS severity, loc || '.bbox' AS location, 'box is null' AS issue FROM ob WHERE q = 1
+  UNION ALL SELECT doc_id, n, 'warning', loc || '.bbox', 'box length: 3' FROM ob WHERE q <> 1 AND s <> 'F'
+  UNION ALL SELECT doc_id, n, 'warning', loc || '.bbox', 'box number out of range: ' || x FROM ob WHERE q <> 1 AND s = 'F' AND x > 1050
+  UNION ALL SELECT doc_id, n, 'error', loc, 'other block type: mystery' FROM ob WHERE n = 7
+  UNION ALL SELECT doc_id, n, 'info', loc || '.content', 'content keys of other type mystery: hint' FROM ob WHERE n = 7
+  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.level', 'level is not 1 to 3: ' || (q % 5) FROM ob WHERE n = 1 AND q % 5 IN (0, 4)
+  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.title_content[0].type', 'other segment type: footmark' FROM ob WHERE n = 1 AND f = 'R'
+  UNION ALL SELECT doc_id, n, 'warning', loc || '.content', 'other content keys: colour' FROM ob WHERE n = 2 AND f = 'A'
+  UNION ALL SELECT doc_id, n, 'warning', loc || '.content', 'core key is absent: paragraph_content' FROM ob WHERE n = 2 AND f = 'N'
+  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.paragraph_content[0].type', 'other segment type: footmark' FROM ob WHERE n = 2 AND f = 'R'
+  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.attribute', 'other list attribute: bullets' FROM ob WHERE n = 3 AND f = 'N'
+  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.list_items[0].ilevel', 'item level is negative: -1' FROM ob WHERE n = 3 AND q % 13 = 0
+  UNION ALL SELECT doc_id, n, 'info', loc || '.content.list_items[0].ilevel', 'item level is large: 11' FROM ob WHERE n = 3 AND q % 13 = 12
+  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.list_items[0].item_content[0].type', 'other segment type: footmark' FROM ob WHERE n = 3 AND f = 'R'
+  UNION ALL SELECT doc_id, n, 'warning', loc || '.content', 'core key is absent: html' FROM ob WHERE n = 4 AND f = 'N'
+  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.table_type', 'other table type: pivot' FROM ob WHERE n = 4 AND f = 'A'
+  UNION ALL SELECT doc_id, n, 'info', loc || '.content.image_source.path', 'picture lies outside images/: pics/a.jpg' FROM ob WHERE n = 5 AND f = 'R'
+  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.image_source.path', 'picture source has no path' FROM ob WHERE n = 5 AND f = 'N'
+  UNION ALL SELECT doc_id, n, 'warning', loc || '.content.math_type', 'other math type: tex' FROM ob WHERE n = 6 AND f = 'A')
 """
-_ODD = "\n".join(line for line in _ODD.split("\n") if "WHERE false" not in line)
 
 
 @query("deviations", f"WITH {_ODD} SELECT doc_id, n AS page_idx, severity, location, issue FROM od")
@@ -178,8 +176,8 @@ def audit_summary(spark, sf):
 @query("audit_lines", f"""
 WITH {_ODD}, {_COUNTS},
 f AS (SELECT doc_id, string_agg(substr(issue, 1, 60), '; ' ORDER BY rn) AS issues FROM (SELECT *, row_number() OVER (PARTITION BY doc_id
-   ORDER BY n, regexp_extract(location, '\\[b(\\d+)\\]', 1)::INT, CASE WHEN issue LIKE '出现未知块类型%' OR issue LIKE 'bbox%' OR issue LIKE '坐标%' THEN 2
-     WHEN issue LIKE '%TextSegment%' THEN 4 WHEN issue LIKE 'ilevel%' THEN 5 WHEN issue LIKE 'image_source 缺少%' THEN 6 ELSE 3 END, location, issue) AS rn
+   ORDER BY n, regexp_extract(location, '\\[b(\\d+)\\]', 1)::INT, CASE WHEN issue LIKE 'other block type%' OR issue LIKE 'box%' THEN 2
+     WHEN issue LIKE '%segment%' THEN 4 WHEN issue LIKE 'item%' THEN 5 WHEN issue LIKE 'picture source%' THEN 6 ELSE 3 END, location, issue) AS rn
    FROM od WHERE severity <> 'info') WHERE rn <= 3 GROUP BY doc_id)
 SELECT doc_id, '[format_probe] ' || error_count || 'e/' || warning_count || 'w/' || info_count || 'i: ' || coalesce(issues, '') AS summary
 FROM dc LEFT JOIN f USING (doc_id) WHERE NOT is_clean
@@ -210,13 +208,13 @@ _FINE = "s_suppkey % 11 <> 5 AND s_suppkey % 13 <> 6 AND s_suppkey % 17 <> 8"
 
 
 @query("layout_deviations", f"""
-SELECT s_suppkey AS doc_id, 'info' AS severity, 'layout.json' AS location, 'layout.json 不存在（部分文件类型可能不提供此文件）' AS issue FROM supplier WHERE s_suppkey % 11 = 5
-UNION ALL SELECT s_suppkey, 'error', 'layout.json', 'JSON 解析失败' FROM supplier WHERE s_suppkey % 11 <> 5 AND s_suppkey % 13 = 6
-UNION ALL SELECT s_suppkey, 'error', 'layout.json', '顶层结构应为 dict，实际为 list' FROM supplier WHERE s_suppkey % 11 <> 5 AND s_suppkey % 13 <> 6 AND s_suppkey % 17 = 8
-UNION ALL SELECT s_suppkey, 'warning', 'layout.json._version_name', '版本变更：已知=3.2.1，实际=3.9.0' FROM supplier WHERE {_FINE} AND s_suppkey % 3 = 0
-UNION ALL SELECT s_suppkey, 'warning', 'layout.json._backend', '未知的解析后端: ''cloud''（已知: vlm/hybrid/pipeline/office）' FROM supplier WHERE {_FINE} AND s_suppkey % 5 = 2
-UNION ALL SELECT s_suppkey, 'info', 'layout.json._ocr_enable', '_ocr_enable 应为 bool，实际为 str' FROM supplier WHERE {_FINE} AND s_suppkey % 7 = 3
-UNION ALL SELECT s_suppkey, 'info', 'layout.json.pdf_info[0]', '页面出现未知字段: [''stamp'']' FROM supplier WHERE {_FINE} AND s_suppkey % 4 = 1
+SELECT s_suppkey AS doc_id, 'info' AS severity, 'layout.json' AS location, 'no layout file' AS issue FROM supplier WHERE s_suppkey % 11 = 5
+UNION ALL SELECT s_suppkey, 'error', 'layout.json', 'no JSON' FROM supplier WHERE s_suppkey % 11 <> 5 AND s_suppkey % 13 = 6
+UNION ALL SELECT s_suppkey, 'error', 'layout.json', 'top is no object: list' FROM supplier WHERE s_suppkey % 11 <> 5 AND s_suppkey % 13 <> 6 AND s_suppkey % 17 = 8
+UNION ALL SELECT s_suppkey, 'warning', 'layout.json._version_name', 'other version: 3.9.0' FROM supplier WHERE {_FINE} AND s_suppkey % 3 = 0
+UNION ALL SELECT s_suppkey, 'warning', 'layout.json._backend', 'other backend: cloud' FROM supplier WHERE {_FINE} AND s_suppkey % 5 = 2
+UNION ALL SELECT s_suppkey, 'info', 'layout.json._ocr_enable', '_ocr_enable is no truth value: str' FROM supplier WHERE {_FINE} AND s_suppkey % 7 = 3
+UNION ALL SELECT s_suppkey, 'info', 'layout.json.pdf_info[0]', 'other page keys: stamp' FROM supplier WHERE {_FINE} AND s_suppkey % 4 = 1
 """)
 def layout_deviations(spark, sf):
     rows = layouts(spark, sf).withColumnRenamed("content", "layout")
@@ -259,7 +257,7 @@ SELECT doc_id, min(path) FILTER (name LIKE '%content_list_v2.json') AS blocks_pa
   min(path) FILTER (name = 'full.md') AS full_md_path, min(path) FILTER (name LIKE '%_content_list.json') AS flat_list_path,
   min(path) FILTER (name LIKE '%_model.json') AS model_path, min(path) FILTER (name LIKE '%_origin.pdf') AS origin_pdf_path,
   CASE WHEN count(*) FILTER (name LIKE 'images/%') > 0 THEN '/kb/' || doc_id || '/extracted/images' END AS images_dir
-FROM p GROUP BY doc_id HAVING count(*) FILTER (name <> 'surprise.bin') > 0
+FROM p GROUP BY doc_id
 """)
 def bundle_manifest(spark, sf):
     return bundles.manifest(bundles.bundle_files(listing(spark, sf)))
@@ -267,16 +265,58 @@ def bundle_manifest(spark, sf):
 
 @query("bundle_deviations", f"""
 WITH {_LIST}
-SELECT doc_id, 'warning' AS severity, '出现未预期文件/目录: ''surprise.bin''' AS issue FROM fl WHERE name = 'surprise.bin'
-UNION ALL SELECT doc_id, 'error', 'content_list_v2.json 不存在（固定名和 UUID 前缀均未找到）' FROM fl GROUP BY doc_id HAVING count(*) FILTER (name LIKE '%content_list_v2.json') = 0
-  AND count(*) FILTER (name <> 'surprise.bin') > 0
+SELECT doc_id, 'warning' AS severity, 'file of no known role: surprise.bin' AS issue FROM fl WHERE name = 'surprise.bin'
+UNION ALL SELECT doc_id, 'error', 'no block file' FROM fl GROUP BY doc_id HAVING count(*) FILTER (name LIKE '%content_list_v2.json') = 0
+UNION ALL SELECT doc_id, 'error', CASE doc_id::INT % 3 WHEN 1 THEN 'top is no list: dict' ELSE 'no JSON' END FROM fl WHERE name LIKE '%content_list_v2.json' AND doc_id::INT % 3 <> 0
 """)
 def bundle_deviations(spark, sf):
     files = bundles.bundle_files(listing(spark, sf))
-    texts = files.where(F.col("role") == "blocks").select("doc_id", F.lit("[]").alias("content"))
+    kind = F.col("doc_id").cast("long") % 3
+    content = F.when(kind == 0, "[]").when(kind == 1, "{}").otherwise("{broken")
+    texts = files.where(F.col("role") == "blocks").select("doc_id", content.alias("content"))
     return quality.audit_bundles(bundles.manifest(files), files, texts).select("doc_id", "severity", "issue")
 
 
+def block_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A block file per order: no list for every seventh, else three pages of which one may be no list."""
+    k = F.col("o_orderkey")
+    block = F.concat(F.lit('{"type":"paragraph","n":'), k.cast("string"), F.lit("}"))
+    middle = F.when(k % 5 == 2, '{"a":1}').when(k % 5 == 3, '"x"').otherwise(F.concat(F.lit("["), block, F.lit(","), block, F.lit("]")))
+    pages = F.concat(F.lit(" [["), block, F.lit("],"), middle, F.lit(",[]]"))
+    return table(spark, sf, "orders").select(k.alias("doc_id"), F.when(k % 7 == 3, '{"no":"list"}').when(k % 7 == 4, "").otherwise(pages).alias("content"))
+
+
+_READ = "o_orderkey % 7 NOT IN (3, 4)"
+
+
+@query("block_file_failures", f"""
+SELECT o_orderkey AS doc_id, 'block_file_not_list' AS message FROM orders WHERE NOT ({_READ})
+UNION ALL SELECT o_orderkey, 'page_1_not_list' FROM orders WHERE {_READ} AND o_orderkey % 5 IN (2, 3)
+""")
+def block_file_failures(spark, sf):
+    """What cannot be read of block files; one bad file leaves the others alone."""
+    files = block_files(spark, sf)
+    return bundles.unread_files(files).unionByName(bundles.broken_pages(bundles.block_pages(files)))
+
+
+@query("block_file_blocks", f"""
+SELECT o_orderkey AS doc_id, 0 AS page_idx, 0::BIGINT AS raw_pos, o_orderkey::BIGINT AS n FROM orders WHERE {_READ}
+UNION ALL SELECT o_orderkey, 1, unnest([0, 1])::BIGINT, o_orderkey FROM orders WHERE {_READ} AND o_orderkey % 5 NOT IN (2, 3)
+""")
+def block_file_blocks(spark, sf):
+    blocks = bundles.raw_blocks(bundles.block_pages(block_files(spark, sf)))
+    return blocks.select("doc_id", "page_idx", "raw_pos", F.get_json_object("block", "$.n").cast("long").alias("n"))
+
+
+@query("page_deviations", f"""
+SELECT o_orderkey AS doc_id, 1 AS page_idx, 'error' AS severity, 'blocks[p1]' AS location,
+  'page is no list: ' || CASE o_orderkey % 5 WHEN 2 THEN 'dict' ELSE 'str' END AS issue FROM orders WHERE {_READ} AND o_orderkey % 5 IN (2, 3)
+""")
+def page_deviations(spark, sf):
+    found = quality.audit_pages(bundles.block_pages(block_files(spark, sf)))
+    return found.select("doc_id", "page_idx", "severity", "location", "issue")
+
+
 @query("bundle_roots", "SELECT o_custkey::VARCHAR AS doc_id, count(*) AS n_files FROM orders GROUP BY 1")
 def bundle_roots(spark, sf):
     return bundles.bundle_roots(listing(spark, sf))
@@ -306,15 +346,51 @@ def enrich_status(spark, sf):
 
 
 @query("embedded_chunks", f"""
-WITH {S.CHUNKS}, {S.hashed('ctoks', 'chunk_id', 'cv')} SELECT chunk_id AS child_chunk_id, sum(v * v) AS squared, count(*) FILTER (v <> 0) AS slots FROM cv GROUP BY 1
+WITH {S.CHUNKS}, {S.hashed('ctoks', 'chunk_id', 'cv')}
+SELECT chunk_id AS child_chunk_id, coalesce(sum(v * v), 0) AS squared, count(*) FILTER (v <> 0) AS slots
+FROM ctoks LEFT JOIN cv USING (chunk_id) GROUP BY 1
 """)
 def embedded_chunks(spark, sf):
     got = providers.embed(C.text_chunks(spark, sf).select("child_chunk_id", "embedding_text"), "embedding_text")
+    return got.select("child_chunk_id", *_vector_shape())
+
+
+def _vector_shape() -> list:
     v = F.col("embedding")
-    return got.select(
-        "child_chunk_id", F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x).alias("squared"),
-        F.size(F.filter(v, lambda x: x != 0)).alias("slots"),
-    ).where(F.col("slots") > 0)
+    return [
+        F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x).alias("squared"),
+        F.size(F.filter(v, lambda x: x != 0)).cast("long").alias("slots"),
+    ]
+
+
+_RUNS = "str_split(translate(substr(s_name, 10) || '-' || s_suppkey % 10 || '-' || s_suppkey * 7919, '0123456789-', '甲乙丙丁戊己庚辛壬癸 '), ' ')"
+_IDEOGRAPHS = f"""
+ir AS (SELECT s_suppkey, {_RUNS} AS runs FROM supplier),
+it AS (SELECT s_suppkey, list_concat(['phone'], flatten(list_transform(runs, lambda r: CASE WHEN length(r) < 2 THEN [r]
+  ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END))) AS toks FROM ir)
+"""
+
+
+def ideographs(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of ideographs: numbers of a supplier, digit by digit."""
+    digits = F.concat_ws("-", F.substring("s_name", 10, 99), (F.col("s_suppkey") % 10).cast("string"), (F.col("s_suppkey") * 7919).cast("string"))
+    body = F.translate(digits, "0123456789-", "甲乙丙丁戊己庚辛壬癸 ")
+    return table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("Phone "), body).alias("body"))
+
+
+@query("ideograph_tokens", f"WITH {_IDEOGRAPHS} SELECT s_suppkey, array_to_string(toks, ' ') AS tokens FROM it")
+def ideograph_tokens(spark, sf):
+    """Runs of ideographs as pairs of neighbours, beside words."""
+    return ideographs(spark, sf).select("s_suppkey", F.array_join(text.tokens(F.col("body")), " ").alias("tokens"))
+
+
+@query("ideograph_vectors", f"""
+WITH {_IDEOGRAPHS}, {S.hashed('it', 's_suppkey', 'iv')}
+SELECT s_suppkey, sum(v * v) AS squared, count(*) FILTER (v <> 0) AS slots FROM iv GROUP BY 1
+""")
+def ideograph_vectors(spark, sf):
+    """Vectors of ideograph texts share slots where they share pairs."""
+    return providers.embed(ideographs(spark, sf), "body").select("s_suppkey", *_vector_shape())
 
 
 @query("html_text", rf"""

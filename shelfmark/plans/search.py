@@ -568,7 +568,7 @@ def eval_metrics(spark, sf):
 
 
 def _by_config(configs: dict[str, DataFrame], ix: Index, labels: DataFrame) -> DataFrame:
-    """Average metrics of several hit tables; a query without hits counts as zero."""
+    """Average metrics of several hit tables; queries and configurations without hits count as zero."""
     every = None
     for name, found in configs.items():
         part = found.select(F.lit(name).alias("config"), "query_id", "chunk_id", "rank")
@@ -576,18 +576,22 @@ def _by_config(configs: dict[str, DataFrame], ix: Index, labels: DataFrame) -> D
     flagged = evaluation.relevance(with_docs(every, ix), labels)
     counts = evaluation.relevant_counts(ix.queries, labels)
     n = ix.queries.agg(F.count(F.lit(1)).alias("n"))
-    return evaluation.macro(evaluation.query_metrics(flagged, counts), n)
+    return evaluation.macro(evaluation.query_metrics(flagged, counts), n, list(configs))
 
 
-_CONFIG_METRICS = f"""
+def _config_metrics(*configs: str) -> str:
+    names = ", ".join(f"('{c}')" for c in configs)
+    return f"""
 {S.flags('hh', 'fl', 'config')},
-m AS (SELECT config, query_id, {S.metrics('fl')} FROM fl JOIN gold_n USING (query_id) GROUP BY config, query_id)
-SELECT config, (SELECT count(*) FROM q) AS n_queries, {S.averages('(SELECT count(*) FROM q)')} FROM m GROUP BY config
+m AS (SELECT config, query_id, {S.metrics('fl')} FROM fl JOIN gold_n USING (query_id) GROUP BY config, query_id),
+every AS (SELECT * FROM (VALUES {names}) v(config) LEFT JOIN m USING (config))
+SELECT config, (SELECT count(*) FROM q) AS n_queries, {S.averages('(SELECT count(*) FROM q)', 'coalesce(sum({c}), 0)')} FROM every GROUP BY config
 """
 
 
 @query("tokenizer_ablation", f"""
 WITH {S.CHUNKS}, {S.QUERY}, {S.GOLD}, {S.keyword('or', limit=10)},
+rawt AS (SELECT * REPLACE ([lower(text)] AS toks) FROM ctoks), {S.keyword('or', corpus='rawt', out='kraw', limit=10)},
 p AS (SELECT query_id, {S.tokens('text')} AS ph FROM q),
 pm AS (SELECT query_id, chunk_id, len(toks) AS doc_len,
     len(list_filter(range(1, len(toks) - len(ph) + 2), lambda i: toks[i:i + len(ph) - 1] = ph)) AS tf
@@ -598,14 +602,19 @@ ps AS (SELECT query_id, chunk_id, round(CASE WHEN ln((n - df + 0.5) / (df + 0.5)
    * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))), 6) AS score FROM pm JOIN pd USING (query_id), kw_tot),
 pr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM ps),
 hh AS (SELECT a.*, doc_id FROM (SELECT 'phrase' AS config, query_id, chunk_id, rank FROM pr WHERE rank < 10
-  UNION ALL SELECT 'tokens', query_id, chunk_id, rank FROM kw) a JOIN chunks USING (chunk_id)),
-{_CONFIG_METRICS}
+  UNION ALL SELECT 'tokens', query_id, chunk_id, rank FROM kw
+  UNION ALL SELECT 'raw', query_id, chunk_id, rank FROM kraw) a JOIN chunks USING (chunk_id)),
+{_config_metrics('phrase', 'tokens', 'raw')}
 """)
 def tokenizer_ablation(spark, sf):
     ix = index(spark, sf)
     labels = cut(gold(ix, spark, sf))
+    # Raw text is one term a chunk, which no word of a query equals.
+    raw = ix.chunks.select("chunk_id", F.array(F.lower("embedding_text")).alias("toks"))
+    unsplit = ix.toks.drop("toks").join(raw, "chunk_id").select(*ix.toks.columns)
     legs = {
         "phrase": R.phrase_search(ix.queries, ix.toks, 10),
+        "raw": R.keyword_search(ix.queries, unsplit, 10, mode="or"),
         "tokens": R.keyword_search(ix.queries, ix.toks, 10, mode="or"),
     }
     return _by_config(legs, ix, labels)
@@ -617,7 +626,7 @@ WITH {S.CHUNKS}, {S.QUERY}, {S.GOLD}, {S.vector()}, {S.keyword('or')}, {S.keywor
 hh AS (SELECT a.*, doc_id FROM (SELECT 'bm25' AS config, query_id, chunk_id, rank FROM kw WHERE rank < 10
   UNION ALL SELECT 'vector', query_id, chunk_id, rank FROM vec WHERE rank < 10 UNION ALL SELECT 'rrf', query_id, chunk_id, rank FROM fus
   UNION ALL SELECT 'rrf_rerank', query_id, chunk_id, rank FROM rr) a JOIN chunks USING (chunk_id)),
-{_CONFIG_METRICS}
+{_config_metrics('bm25', 'vector', 'rrf', 'rrf_rerank')}
 """)
 def config_comparison(spark, sf):
     ix = index(spark, sf)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from shelfmark.functions.text import SPACE
-
+# Fixed values, stated here by themselves: white space of the text rules, and its trimming.
+SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _TRIM = f"^{SPACE}+|{SPACE}+$"
 _NOT_SPACE = "[^" + SPACE[1:]
 
@@ -176,9 +176,9 @@ def metrics(flagged: str, config: bool = False) -> str:
     return ", ".join(cols)
 
 
-def averages(divisor: str = "count(*)") -> str:
+def averages(divisor: str = "count(*)", total: str = "sum({c})") -> str:
     names = ["mrr"] + [f"{m}_{k}" for k in KS for m in ("hit", "recall", "ndcg")]
-    return ", ".join(f"round(sum({c}) / {divisor}, 6) AS {c}" for c in names)
+    return ", ".join(f"round({total.format(c=c)} / {divisor}, 6) AS {c}" for c in names)
 
 
 TREE = """

@@ -61,7 +61,7 @@ def manifest(files: DataFrame) -> DataFrame:
     """One row per document with the first path of every role."""
     roles = ["blocks", "layout", "full_md", "flat_list", "model", "origin_pdf", "images_dir"]
     return (
-        files.where(F.col("role").isin(roles)).groupBy("doc_id").pivot("role", roles).agg(F.min("path"))
+        files.groupBy("doc_id").pivot("role", roles).agg(F.min("path"))
         .select("doc_id", *[F.col(r).alias(r if r == "images_dir" else f"{r}_path") for r in roles])
     )
 
@@ -77,15 +77,22 @@ def read_whole(spark: SparkSession, paths: str | list[str], doc_of_path: str = D
     )
 
 
+def _page_list(content: Column) -> Column:
+    """The outer array of a block file; NULL for anything else."""
+    return F.when(content.rlike(r"^\s*\["), F.from_json(content, "array<string>"))
+
+
 def block_pages(files: DataFrame) -> DataFrame:
-    """(doc_id, page_idx, page): the outer array of a block file; other JSON is an error."""
-    pages = F.from_json("content", "array<string>")
-    bad = F.raise_error(F.concat(F.lit("the block file is no list: "), F.col("doc_id").cast("string")))
-    checked = F.when(~F.col("content").rlike(r"^\s*\["), F.lit(None)).otherwise(pages)
-    rows = files.select("doc_id", F.coalesce(checked, bad.cast("array<string>")).alias("_p"))
+    """(doc_id, page_idx, page): the outer array of a block file. Files without one are in ``unread_files``."""
+    rows = files.select("doc_id", _page_list(F.col("content")).alias("_p"))
     return rows.select("doc_id", F.posexplode_outer("_p").alias("page_idx", "page")).where(F.col("page_idx").isNotNull())
 
 
+def unread_files(files: DataFrame) -> DataFrame:
+    """(doc_id, message) of block files that hold no list; the other documents go on."""
+    return files.where(_page_list(F.col("content")).isNull()).select("doc_id", F.lit("block_file_not_list").alias("message"))
+
+
 def raw_blocks(pages: DataFrame) -> DataFrame:
     """(doc_id, page_idx, raw_pos, block): the blocks of pages that are lists."""
     good = pages.where(F.col("page").startswith("["))
@@ -103,10 +110,10 @@ def broken_pages(pages: DataFrame) -> DataFrame:
 
 def page_sizes(layouts: DataFrame) -> DataFrame:
     """(doc_id, page_idx, width, height) out of layout files; a broken file yields none."""
-    pages = layouts.select("doc_id", F.explode(F.from_json("content", LAYOUT)["pdf_info"]).alias("p"))
+    pages = layouts.select("doc_id", F.posexplode(F.from_json("content", LAYOUT)["pdf_info"]).alias("_pos", "p"))
     return pages.where(F.size("p.page_size") >= 2).groupBy(
         "doc_id", F.coalesce("p.page_idx", F.lit(0)).alias("page_idx")
-    ).agg(F.last("p.page_size").alias("_s")).select(
+    ).agg(F.max_by("p.page_size", "_pos").alias("_s")).select(
         "doc_id", "page_idx", F.col("_s")[0].alias("width"), F.col("_s")[1].alias("height")
     )
 

@@ -43,11 +43,14 @@ def register_files(spark: SparkSession, root: str, table: str, checkpoint: str)
 def index_batch(docs: DataFrame, table: str) -> None:
     """Chunk one batch of text documents and replace their chunks in the store.
 
-    A document that comes several times in a batch counts once, by its newest text.
+    A document that comes several times in a batch counts once, by its newest text; without
+    ``updated_at``, or at the same time, by the greatest text. Markdown (``source_format``
+    "md") is cut by heading.
     """
-    if "updated_at" in docs.columns:
-        docs = catalog.latest(docs, ["doc_id"], ["updated_at"])
-    children = chunking.text_children(chunking.plain_sections(docs))
+    docs = catalog.latest(docs, ["doc_id"], [c for c in ("updated_at", "text") if c in docs.columns])
+    marked = "source_format" in docs.columns
+    sections = chunking.text_sections(docs) if marked else chunking.plain_sections(docs)
+    children = chunking.text_children(sections)
     stores.replace_in_store(children, table, gone=docs.select("doc_id"))
 
 
