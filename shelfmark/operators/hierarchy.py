@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
+from shelfmark.session import cut
 from shelfmark.operators.scan import running
 
 MAX_LEVEL = 6
@@ -182,17 +183,31 @@ def section_children(secs: DataFrame) -> DataFrame:
 
 
 def section_tree(secs: DataFrame) -> DataFrame:
-    """Depth-first rows of stored sections; a section without a known parent is a root.
+    """Rows of stored sections as a tree: ``depth``, ``is_root`` and ``in_cycle``.
 
-    Stored sections may be dirty, so parents are checked with an anti join. The
-    depth of a clean section is the length of its header path; a section whose
-    parent is missing starts again at depth 0.
+    A section without a known parent is a root of depth 0, the others are one deeper than
+    their parent. Stored sections may be dirty: those that no root reaches, because their
+    parents run in a circle, are flat rows at the end (``in_cycle``). The tree is walked level
+    by level, as many times as it is deep; levels are written, so lineage stays short.
     """
-    known = secs.select("doc_id", F.col("section_id").alias("parent_section_id")).distinct()
-    child = secs.join(known, ["doc_id", "parent_section_id"], "left_semi")
-    root = secs.join(known, ["doc_id", "parent_section_id"], "left_anti")
-    return child.withColumn("is_root", F.lit(False)).unionByName(
-        root.withColumn("is_root", F.lit(True)).withColumn("depth", F.lit(0))
+    own = secs.drop("depth")
+    known = own.select("doc_id", F.col("section_id").alias("parent_section_id")).distinct()
+    level = cut(
+        own.join(known, ["doc_id", "parent_section_id"], "left_anti").select(*own.columns, F.lit(0).alias("depth"))
+    )
+    child = cut(own.join(known, ["doc_id", "parent_section_id"], "left_semi").select(*own.columns))
+    done, depth = level, 0
+    while not child.isEmpty():
+        depth += 1
+        above = level.select("doc_id", F.col("section_id").alias("parent_section_id")).distinct()
+        level = cut(child.join(above, ["doc_id", "parent_section_id"], "left_semi").select(*own.columns, F.lit(depth).alias("depth")))
+        if level.isEmpty():
+            break
+        done = done.unionByName(level)
+        child = cut(child.join(above, ["doc_id", "parent_section_id"], "left_anti").select(*own.columns))
+    circles = child.withColumn("depth", F.lit(0))
+    return done.withColumn("in_cycle", F.lit(False)).unionByName(circles.withColumn("in_cycle", F.lit(True))).withColumn(
+        "is_root", (F.col("depth") == 0)
     )
 
 

@@ -72,7 +72,7 @@ ASSET_OF = {
 _CONTENT_FIELDS = sorted(
     {k for keys in CONTENT_KEYS.values() for k in keys} | {"text"}
 )
-CHILD_DEPTH = 3
+CHILD_DEPTH = 8
 WIDE = 4096
 
 

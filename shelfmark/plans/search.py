@@ -53,15 +53,16 @@ def hits(df: DataFrame) -> DataFrame:
 
 @query("sentence_windows", f"""
 WITH one AS (SELECT doc_id, {S.strip('text')} AS body FROM documents),
-sents AS (SELECT doc_id, {S.sentences('body')} AS segs FROM one WHERE length(body) > 500),
-folded AS (SELECT doc_id, {S.FOLD.format(segs='segs')} AS st FROM sents),
+sents AS (SELECT doc_id, body, {S.sentences('body')} AS segs FROM one WHERE body <> ''),
+folded AS (SELECT doc_id, CASE WHEN length(body) <= 500 THEN {{'o': [body], 'c': ''}} ELSE {S.FOLD.format(segs='segs')} END AS st FROM sents),
 wins AS (SELECT doc_id, {S.CLOSE} AS w FROM folded)
 SELECT doc_id, no AS window_no, total AS window_total, body AS window_text FROM
  (SELECT doc_id, unnest(w) AS body, unnest(range(len(w))) AS no, len(w) AS total FROM wins)
 """)
 def sentence_windows(spark, sf):
     docs = C.documents(spark, sf).select("doc_id", text.strip(F.col("text")).alias("body"))
-    wins = docs.where(F.length("body") > 500).select("doc_id", pack(text.sentences(F.col("body"))).alias("w"))
+    whole = F.when(F.length("body") <= 500, F.array("body")).otherwise(pack(text.sentences(F.col("body"))))
+    wins = docs.where("body <> ''").select("doc_id", whole.alias("w"))
     return wins.select("doc_id", F.size("w").cast("long").alias("window_total"), F.posexplode_outer("w")).select(
         "doc_id", F.col("pos").cast("long").alias("window_no"), "window_total", F.col("col").alias("window_text")
     )

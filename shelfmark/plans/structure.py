@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import geometry
@@ -51,9 +51,11 @@ def section_children(spark, sf):
 
 
 @query("section_tree", f"""
-WITH {_SECTIONS}, kept AS (SELECT * FROM sec WHERE level <> 2)
-SELECT k.doc_id, k.section_id, CASE WHEN p.section_id IS NULL THEN 0 ELSE k.depth END AS depth, p.section_id IS NULL AS is_root
-FROM kept k LEFT JOIN kept p ON p.doc_id = k.doc_id AND p.section_id = k.parent_section_id
+WITH RECURSIVE {_SECTIONS}, kept AS (SELECT * FROM sec WHERE level <> 2),
+up AS (SELECT k.doc_id, k.section_id, p.section_id AS above FROM kept k LEFT JOIN kept p ON p.doc_id = k.doc_id AND p.section_id = k.parent_section_id),
+walk AS (SELECT doc_id, section_id, 0 AS depth FROM up WHERE above IS NULL
+  UNION ALL SELECT u.doc_id, u.section_id, w.depth + 1 FROM up u JOIN walk w ON w.doc_id = u.doc_id AND w.section_id = u.above)
+SELECT doc_id, section_id, depth, depth = 0 AS is_root FROM walk
 """)
 def section_tree(spark, sf):
     """Stored sections whose middle level got lost: their children become roots."""
@@ -61,6 +63,31 @@ def section_tree(spark, sf):
     return hierarchy.section_tree(secs).select("doc_id", "section_id", "depth", "is_root")
 
 
+_CIRCLES = """
+cs AS (SELECT o_custkey AS doc_id, o_orderkey AS section_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL
+  ELSE coalesce(lag(o_orderkey) OVER w, CASE WHEN o_custkey % 2 = 0 THEN max(o_orderkey) OVER (PARTITION BY o_custkey) END) END AS parent_section_id
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+"""
+
+
+@query("section_circles", f"""
+WITH RECURSIVE {_CIRCLES},
+up AS (SELECT c.*, p.section_id AS above FROM cs c LEFT JOIN cs p ON p.doc_id = c.doc_id AND p.section_id = c.parent_section_id),
+walk AS (SELECT doc_id, section_id, 0 AS depth FROM up WHERE above IS NULL
+  UNION ALL SELECT u.doc_id, u.section_id, w.depth + 1 FROM up u JOIN walk w ON w.doc_id = u.doc_id AND w.section_id = u.above)
+SELECT doc_id, section_id, coalesce(depth, 0) AS depth, coalesce(depth, 0) = 0 AS is_root, depth IS NULL AS in_cycle FROM cs LEFT JOIN walk USING (doc_id, section_id)
+""")
+def section_circles(spark, sf):
+    """Orders of a customer as sections below the one before; some customers' parents run in a circle."""
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("section_id"))
+    w = Window.partitionBy("doc_id")
+    first = F.when(F.col("doc_id") % 2 == 0, F.max("section_id").over(w))
+    parent = F.when(F.col("section_id") % 3 != 0, F.coalesce(F.lag("section_id").over(w.orderBy("section_id")), first))
+    return hierarchy.section_tree(orders.withColumn("parent_section_id", parent)).select(
+        "doc_id", "section_id", "depth", "is_root", "in_cycle"
+    )
+
+
 # ---- heading levels -------------------------------------------------------------------------
 
 _PREFIX = {0: "1.2.3 ", 1: "第三章 ", 2: "第2节 ", 3: "（4）", 4: "③", 5: "二、", 6: "2 ", 7: ""}

@@ -91,28 +91,28 @@ def hits(spark, ids):
 
 
 def test_fusion_and_rerank(spark):
-    fused = R.fuse(hits(spark, ["v1", "v2", "v3"]), hits(spark, ["k1", "v2"]))
+    fused = R.fuse(hits(spark, ["d7", "m4", "p9"]), hits(spark, ["a3", "m4"]))
     rows = fused.orderBy("rank").collect()
-    assert [r.chunk_id for r in rows] == ["v2", "v1", "k1", "v3"]  # v1 and k1 tie, the vector list comes first
+    assert [r.chunk_id for r in rows] == ["m4", "d7", "a3", "p9"]  # d7 and a3 tie, the vector list comes first
     assert abs(rows[0].score - (1 / 62 + 1 / 62)) < 1e-12
     chunks = spark.createDataFrame(
-        [("v1", "x"), ("v2", "y"), ("v3", "x y z"), ("k1", "n")], "child_chunk_id string, retrieval_text string"
+        [("d7", "x"), ("m4", "y"), ("p9", "x y z"), ("a3", "n")], "child_chunk_id string, retrieval_text string"
     ).withColumn("header_path", F.array().cast("array<string>"))
     queries = spark.createDataFrame([("q", "x y z")], "query_id string, text string")
     top = R.rerank(fused, queries, chunks).orderBy("rank").collect()
-    assert top[0].chunk_id == "v3" and top[0].prev_rank == 3 and top[0].delta == 3 and not top[0].degraded
+    assert top[0].chunk_id == "p9" and top[0].prev_rank == 3 and top[0].delta == 3 and not top[0].degraded
     bad = R.rerank(fused, queries, chunks, scorer=lambda q, d: F.lit(None).cast("double")).orderBy("rank").collect()
-    assert [r.chunk_id for r in bad] == ["v2", "v1", "k1", "v3"] and all(r.degraded for r in bad)
+    assert [r.chunk_id for r in bad] == ["m4", "d7", "a3", "p9"] and all(r.degraded for r in bad)
 
 
 def test_matched_tokens(spark):
-    plans = spark.createDataFrame([("q", ["for 循环", "in 关键字", "API", "二维数组"])], "query_id string, keywords array<string>")
-    chunks = spark.createDataFrame([("c", "printing a FOR loop over 循环 with api")], "child_chunk_id string, retrieval_text string").select(
+    plans = spark.createDataFrame([("q", ["on 山谷", "off 河岸", "GPS", "雪地车"])], "query_id string, keywords array<string>")
+    chunks = spark.createDataFrame([("c", "walking ON a path through 山谷 by gps")], "child_chunk_id string, retrieval_text string").select(
         "*", F.lit("").alias("embedding_text"), *[F.lit("").alias(c) for c in ("parent_chunk_id", "doc_id", "chunk_type", "index_kind")],
         F.array().cast("array<string>").alias("header_path"),
     )
     row = trace.keyword_hits(hits(spark, ["c"]), chunks, plans).first()
-    assert row.matched_tokens == ["for", "循环", "API"] and row.matched_keywords == ["for 循环", "API"]
+    assert row.matched_tokens == ["on", "山谷", "GPS"] and row.matched_keywords == ["on 山谷", "GPS"]
 
 
 def test_query_plans(spark):

@@ -82,9 +82,9 @@ def test_scans_across_ranges(spark):
     assert all(r.n == r.o / 3 for r in num)
 
 
-CHAPTERS = [
-    ("title", "第一章 绪论", 1), ("title", "1.1 背景", 2), ("paragraph", "甲", None), ("title", "1.2 目标", 2), ("paragraph", "乙", None),
-    ("title", "第二章 设计", 1, 1), ("title", "2.1 架构", 2, 1), ("paragraph", "丙", None, 1),
+GARDEN = [
+    ("title", "Part A: Soil", 1), ("title", "A1 Clay", 2), ("paragraph", "heavy", None), ("title", "A2 Sand", 2), ("paragraph", "light", None),
+    ("title", "Part B: Water", 1, 1), ("title", "B1 Rain", 2, 1), ("paragraph", "soft", None, 1), ("paragraph", "free", None, 1),
 ]
 
 
@@ -94,13 +94,13 @@ def parents_of(spark, rows, level):
 
 
 def test_granularity(spark):
-    parents, kids = parents_of(spark, CHAPTERS, 1)
-    assert [p.title for p in parents] == ["第一章 绪论", "第二章 设计"] and len(kids) == 3
-    assert kids[0].header_path == ["第一章 绪论", "1.1 背景"]
-    assert kids[0].embedding_text == "第一章 绪论 > 1.1 背景\n甲"
-    parents, again = parents_of(spark, CHAPTERS, 2)
-    assert [p.title for p in parents] == ["1.1 背景", "1.2 目标", "2.1 架构"] and len(again) == 3
-    assert parents[0].text_full == "第一章 绪论\n\n1.1 背景\n\n甲"
+    parents, kids = parents_of(spark, GARDEN, 1)
+    assert [p.title for p in parents] == ["Part A: Soil", "Part B: Water"] and len(kids) == 4
+    assert kids[1].header_path == ["Part A: Soil", "A2 Sand"]
+    assert kids[1].embedding_text == "Part A: Soil > A2 Sand\nlight"
+    parents, again = parents_of(spark, GARDEN, 2)
+    assert [p.title for p in parents] == ["A1 Clay", "A2 Sand", "B1 Rain"] and len(again) == 4
+    assert parents[2].text_full == "Part B: Water\n\nB1 Rain\n\nsoft\n\nfree"
     assert {k.parent_chunk_id for k in again} <= {p.parent_chunk_id for p in parents}
 
 
@@ -158,9 +158,9 @@ def test_audit_follows_children(spark):
         {"type": "image", "bbox": None, "content": {"image_source": {"path": 3}}},
     ])).collect()
     said = {(r.block_idx, r.issue) for r in found}
-    assert (0, "未知 TextSegment 类型: 'odd'") in said and (1, "块应为 dict，实际为 int") in said
+    assert (0, "other segment type: odd") in said and (1, "block is no object: int") in said
     assert (2, "缺少预期核心字段 'title_content'（title 块通常必有此字段）") in said
-    assert (3, "image_source.path 应为 str，实际为 int") in said
+    assert (3, "picture path is no text: int") in said
     counts = quality.deviation_counts(quality.audit_blocks(raw(spark, [{"type": "code", "content": {"code_content": []}}])),
                                       spark.createDataFrame([("d",)], "doc_id string")).first()
     assert counts.is_clean
