@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,39 +10,50 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text
 from shelfmark.functions.windows import pack
-from shelfmark.operators import context, evaluation, extra_index, providers, trace
+from shelfmark.operators import chunking, context, evaluation, extra_index, providers, trace
 from shelfmark.operators import postings as P
 from shelfmark.operators import retrieval as R
 from shelfmark.operators import vectors as V
 from shelfmark.plans import corpora as C
 from shelfmark.plans import sql as S
 from shelfmark.plans.registry import query
-from shelfmark.session import cut, table
+from shelfmark.session import checkpoint_root, cut, table
+from shelfmark.sources import search_index
 
 
 @dataclass
 class Index:
-    """The stored index of the text documents: chunks with tokens, and vectors."""
+    """The stored index of the text documents, and the queries put to it."""
 
-    chunks: DataFrame
-    toks: DataFrame
+    stored: search_index.SearchIndex
     queries: DataFrame
 
+    @property
+    def chunks(self) -> DataFrame:
+        return self.stored.chunks
+
+    @property
+    def toks(self) -> DataFrame:
+        return self.stored.toks
+
+
+#: Index folders of this application by tables folder: built by the first search, read by all.
+_FOLDERS: dict[tuple[str, str], str] = {}
+
 
 def index(spark: SparkSession, sf: str) -> Index:
-    """Chunks with their tokens, written once and read by every step after that."""
-    chunks = C.text_chunks(spark, sf)
-    stored = cut(
-        chunks.withColumn("chunk_id", F.col("child_chunk_id"))
-        .withColumn("toks", text.tokens(F.col("embedding_text"))).withColumn("doc_len", F.size("toks"))
-    )
-    return Index(stored, stored.select("chunk_id", "doc_id", "toks", "doc_len"), C.queries(spark, sf))
+    """The search index of ``documents``, written once an application."""
+    key = (spark.conf.get("spark.app.id"), sf)
+    if key not in _FOLDERS:
+        root = f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}"
+        search_index.add_batch(C.text_chunks(spark, sf), table(spark, sf, "documents"), root)
+        _FOLDERS[key] = root
+    return Index(search_index.opened(spark, _FOLDERS[key]), C.queries(spark, sf))
 
 
 def embedded(ix: Index) -> tuple[DataFrame, DataFrame]:
-    docs = providers.embed(ix.chunks.select("chunk_id", "doc_id", "embedding_text"), "embedding_text")
     asked = providers.embed(ix.queries, "text", text_type="query")
-    return asked.select("query_id", "kb_id", "embedding"), docs.select("chunk_id", "doc_id", "embedding")
+    return asked.select("query_id", "kb_id", "embedding"), ix.stored.vectors.select("chunk_id", "doc_id", "embedding")
 
 
 def hits(df: DataFrame) -> DataFrame:
@@ -126,6 +138,48 @@ def bm25_topk(spark, sf):
     return hits(R.keyword_search(ix.queries, ix.toks, mode="or"))
 
 
+def updated_index(spark: SparkSession, sf: str) -> search_index.SearchIndex:
+    """An index of three batches: old texts of some documents and one that goes; the true texts; those once more."""
+    docs = C.documents(spark, sf)
+    root = f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}"
+    goes = F.lit(-1).cast("long").alias("doc_id")
+    old = docs.where(F.col("doc_id") % 7 == 0).withColumn("text", F.concat(F.lit("former words. "), F.coalesce("text", F.lit(""))))
+    old = old.unionByName(old.where("doc_id = 0").withColumn("doc_id", goes))
+    for rows in (old, docs, docs.where(F.col("doc_id") % 5 == 0)):
+        names = rows.select("doc_id").unionByName(spark.range(1).select(goes))
+        search_index.add_batch(chunking.text_children(chunking.plain_sections(rows)), names, root)
+    return search_index.opened(spark, root)
+
+
+@query("indexed_bm25", f"""
+WITH {S.CHUNKS}, {S.QUERY}, {S.keyword('or')} SELECT query_id, chunk_id, rank, score FROM kw
+""")
+def indexed_bm25(spark, sf):
+    """Keyword hits from stored postings after documents were replaced, removed and replayed."""
+    return hits(search_index.keyword_hits(updated_index(spark, sf), C.queries(spark, sf), mode="or"))
+
+
+@query("indexed_vector", f"""
+WITH {S.CHUNKS}, {S.QUERY}, {S.vector()} SELECT query_id, chunk_id, rank, score FROM vec
+""")
+def indexed_vector(spark, sf):
+    """Vector hits from stored vectors after the same batches."""
+    asked = providers.embed(C.queries(spark, sf), "text", text_type="query").select("query_id", "embedding")
+    return hits(search_index.vector_hits(updated_index(spark, sf), asked))
+
+
+@query("index_rows", f"""
+WITH {S.CHUNKS} SELECT doc_id, count(*) AS chunks, sum(len(toks))::BIGINT AS tokens, sum(len(list_distinct(toks)))::BIGINT AS postings, count(*) AS vectors
+FROM ctoks GROUP BY doc_id
+""")
+def index_rows(spark, sf):
+    """What the index holds of each document after the same batches."""
+    ix = updated_index(spark, sf)
+    chunks = ix.chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("doc_len").alias("tokens"))
+    posts = ix.postings.groupBy("doc_id").agg(F.count("*").alias("postings"))
+    return chunks.join(posts, "doc_id", "left").join(ix.vectors.groupBy("doc_id").agg(F.count("*").alias("vectors")), "doc_id").na.fill(0)
+
+
 @query("bm25_and_topk", f"""
 WITH {S.CHUNKS}, {S.QUERY}, {S.keyword('and')} SELECT query_id, chunk_id, rank, score FROM kw
 """)
