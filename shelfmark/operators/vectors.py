@@ -2,8 +2,8 @@
 
 Vectors are scored where they lie, a batch at a time against a block of
 queries, and only the best ``k`` rows per query and task leave the task. A
-query set of proven size is shipped to every task; a larger one is cut into
-blocks that meet blocks of vectors.
+block of queries has about ``QUERY_BLOCK`` rows; more queries are more passes
+over the vectors, which are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,11 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.session import at_most
+from shelfmark.session import cut
 
-# A shipped block: at most this many queries.
 QUERY_BLOCK = 4096
-VECTOR_BLOCK = 65536
 SCORE_DIGITS = 6
 
 
@@ -76,8 +74,7 @@ def _hit_schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
 
 
 def top_cosine(
-    queries: DataFrame, vectors: DataFrame, k: int, *, same: str | None = None,
-    query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK,
+    queries: DataFrame, vectors: DataFrame, k: int, *, same: str | None = None, query_block: int = QUERY_BLOCK
 ) -> DataFrame:
     """Best ``k`` vectors per query by cosine, ties by id.
 
@@ -85,14 +82,14 @@ def top_cosine(
     ``same`` both carry that column and only equal values are compared.
     """
     extra = [same] if same else []
-    q = queries.select("query_id", "embedding", *extra)
+    q = cut(queries.select("query_id", "embedding", *extra))
     v = vectors.select("chunk_id", "embedding", *extra)
     schema = _hit_schema(q, v)
-    found = (
-        _shipped(q, v, k, same, schema)
-        if at_most(q, query_block)
-        else _blocked(q, v, k, same, schema, query_block, vector_block)
-    )
+    blocks = max(1, -(-q.count() // query_block))
+    found = None
+    for i in range(blocks):
+        part = _passed(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), v, k, same, schema)
+        found = part if found is None else found.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").asc())
     return (
         found.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
@@ -100,20 +97,15 @@ def top_cosine(
     )
 
 
-def _shipped(q: DataFrame, v: DataFrame, k: int, same: str | None, schema: T.StructType) -> DataFrame:
-    local = q.toPandas()  # at most QUERY_BLOCK rows, checked above
+def _passed(q: DataFrame, v: DataFrame, k: int, same: str | None, schema: T.StructType) -> DataFrame:
+    """One pass over the vectors with one block of queries, which travels with the task."""
+    local = q.toPandas()  # a block
     if local.empty:
         return q.sparkSession.createDataFrame([], schema)
-    sent = q.sparkSession.sparkContext.broadcast(
-        (
-            local["query_id"].to_numpy(),
-            _unit(_matrix(local["embedding"])),
-            local[same].to_numpy() if same else None,
-        )
-    )
+    q_ids, q_unit = local["query_id"].to_numpy(), _unit(_matrix(local["embedding"]))
+    q_same = local[same].to_numpy() if same else None
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q_unit, q_same = sent.value
         state = None
         for batch in batches:
             if len(batch):
@@ -124,31 +116,6 @@ def _shipped(q: DataFrame, v: DataFrame, k: int, same: str | None, schema: T.Str
     return v.mapInPandas(scan, schema)
 
 
-def _blocked(
-    q: DataFrame, v: DataFrame, k: int, same: str | None, schema: T.StructType,
-    query_block: int, vector_block: int,
-) -> DataFrame:
-    n_q = -(-q.count() // query_block)
-    n_v = max(1, -(-v.count() // vector_block))
-    spread_q = q.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn(
-        "_v", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)).cast("array<bigint>"))
-    )
-    spread_v = v.withColumn("_v", F.pmod(F.xxhash64("chunk_id"), F.lit(n_v))).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>"))
-    )
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        q_same = left[same].to_numpy() if same else None
-        unit = _unit(_matrix(left["embedding"]))
-        return best(None, _score(left["query_id"].to_numpy(), unit, q_same, right, k, same), k)
-
-    return (
-        spread_q.groupBy("_q", "_v").cogroup(spread_v.groupBy("_q", "_v")).applyInPandas(meet, schema)
-    )
-
-
 def centroids(vectors: DataFrame, by: str) -> DataFrame:
     """Mean vector per group as a query set, summed inside tasks before the shuffle."""
     parts = vectors.select(by, F.posexplode("embedding").alias("i", "x"))
