@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 MESSAGE = "segment long, block long, body binary"
 
 
@@ -27,12 +27,13 @@ def bytes_of(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def split_by_bytes(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``limit`` bytes of text; a longer text has a slice of its own."""
+def split_by_bytes(batch: pa.RecordBatch, text: str, limit: int, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` bytes of text and at most ``rows`` rows; a longer text has a slice of its own."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     total, start = np.cumsum(sizes.astype(np.int64)), 0
     while start < batch.num_rows:
         end = max(int(np.searchsorted(total, (total[start - 1] if start else 0) + limit, "right")), start + 1)
+        end = min(end, start + rows)
         yield batch.slice(start, end - start)
         start = end
 
