@@ -14,9 +14,12 @@ Two documents agree in a coordinate with the probability of their weighted Jacca
 3. Pairs are checked exactly on their shingles: first the most alike partner of every node,
    then what is left between the classes that makes. Links are joined to classes.
 4. Buckets whose other members still belong to different classes are compared between
-   classes, in tiles of bounded size on packed signatures; pairs that may reach the bound are
-   checked exactly too. So no link between texts that share a bucket is lost, and groups of
-   near copies collapse before they are compared.
+   classes, in tiles of bounded size, on packed signatures and then exactly. So no link between
+   texts that share a bucket is lost, and groups of near copies collapse before they are
+   compared.
+
+Keys that many rows share (a large bucket, a leader, the text of many copies) meet small sides
+in sort-merge joins, whose large partitions Spark splits at run time.
 """
 
 from __future__ import annotations
@@ -40,12 +43,12 @@ BANDS = 30
 BAND_ROWS = 5
 COORDINATES = BANDS * BAND_ROWS
 SLICE_BYTES = 1 << 19
+SLICE_ROWS = 512
 TILE = 256
-#: Two texts of similarity ``LEAST`` agree in fewer coordinates with a chance under one in a million.
-MAYBE = 0.62
-SALTS = 16
+#: Two texts of similarity ``LEAST`` agree in fewer coordinates with a chance of about one in 100,000.
+MAYBE = 0.66
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-SHINGLE_BITS = np.uint64(40)
+SHINGLE_BITS = np.uint64(32)
 
 
 def weighted_shingles(texts: list[bytes | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,7 +128,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in split_by_bytes(batch, "text", SLICE_BYTES):
+            for part in split_by_bytes(batch, "text", SLICE_BYTES, SLICE_ROWS):
                 texts = bytes_of(part.column("text"))
                 signature = dart_signatures(len(texts), *weighted_shingles(texts))
                 some = signature.any(axis=1)
@@ -158,14 +161,6 @@ def band_rows(nodes: DataFrame) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("bucket", "node"))
 
 
-def salted(df: DataFrame, *by: str) -> DataFrame:
-    return df.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
-
-
-def for_all_salts(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
 def agreement(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b, low_a, low_b) with the share of agreeing coordinates, if it may be enough."""
 
@@ -209,7 +204,7 @@ def linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity is ``least`` or more."""
     left = sets.select(F.col("node").alias("a"), F.col("body").alias("body_a"))
     right = sets.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
-    both = for_all_salts(right).join(salted(salted(pairs, "b").join(for_all_salts(left), ["a", "salt"]), "a"), ["b", "salt"])
+    both = pairs.join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,28 +215,43 @@ def linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "body_a", "body_b").mapInArrow(run, "a binary, b binary")
 
 
-def tiles(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b, share) of different roots in a bucket; ``rows`` is (bucket, n, h, node, root, low)."""
+def tiles(rows: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join different roots in a bucket; ``rows`` is (bucket, n, h, node, root, low, body).
+
+    A bucket is cut into parts of ``TILE`` members, and every two parts meet in one tile. A tile
+    compares members of different classes: by signature, then exactly. What it has linked it
+    counts as one class, so it emits fewer links than it has members.
+    """
     parts = F.ceil(F.col("n") / TILE).cast("int")
     rows = rows.withColumns({"parts": parts, "own": F.pmod("h", parts).cast("int")})
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    rows = rows.select("bucket", "i", "j", "own", "node", "root", "low")
+    rows = rows.select("bucket", "i", "j", "own", "node", "root", "low", "body")
     shuffled = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def compared(part: pa.Table) -> pa.RecordBatch:
         own, i, j = (part.column(c).to_numpy() for c in ("own", "i", "j"))
         low = np.frombuffer(b"".join(part.column("low").to_pylist()), np.uint8).reshape(-1, COORDINATES)
         node, root = part.column("node").to_pylist(), part.column("root").to_pylist()
-        _, cls = np.unique(np.array(root, object), return_inverse=True)
-        out: list[tuple] = []
+        names = {r: k for k, r in enumerate(sorted(set(root)))}
+        cls = np.array([names[r] for r in root])
+        body, sets, out = part.column("body").to_pylist(), {}, []
+
+        def shingles(k: int) -> tuple[np.ndarray, np.ndarray]:
+            if k not in sets:
+                sets[k] = tuple(unsqueeze(body[k]))
+            return sets[k]
+
         for x in np.flatnonzero(own == i):
             ys = np.arange(x + 1, len(own)) if i[0] == j[0] else np.flatnonzero(own == j)
             ys = ys[cls[ys] != cls[x]]
-            share = (low[ys] == low[x]).mean(axis=1) if len(ys) else np.zeros(0)
-            out += [(*sorted((node[x], node[y])), s) for y, s in zip(ys[share >= MAYBE], share[share >= MAYBE], strict=True)]
-        a, b, s = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(s, pa.float64())], names=["a", "b", "share"])
+            ys = ys[(low[ys] == low[x]).mean(axis=1) >= MAYBE] if len(ys) else ys
+            for y in ys.tolist():
+                if cls[y] != cls[x] and similarity(shingles(int(x)), shingles(y)) >= least:
+                    out.append(tuple(sorted((node[x], node[y]))))
+                    cls[cls == cls[y]] = cls[x]
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -261,15 +271,13 @@ def tiles(rows: DataFrame) -> DataFrame:
         if held:
             yield compared(pa.Table.from_batches(held))
 
-    return shuffled.mapInArrow(run, "a binary, b binary, share double")
+    return shuffled.mapInArrow(run, "a binary, b binary")
 
 
 def with_roots(df: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
     """``df`` with the class of ``node``; a node without links is its own."""
-    named = for_all_salts(roots.select(F.col("node").alias(node), F.col("root").alias("_root")))
-    return salted(df, *[c for c in df.columns if c != node][:1], node).join(named, [node, "salt"], "left").withColumn(
-        root, F.coalesce("_root", node)
-    ).drop("salt", "_root")
+    named = roots.select(F.col("node").alias(node), F.col("root").alias("_root"))
+    return df.join(named, node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
 
 
 def key_of(doc_id: str) -> Column:
@@ -297,14 +305,11 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     )
     bands = band_rows(nodes)
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("h").alias("low_h"), F.max("h").alias("high_h")).where("n > 1")
-    members = cut(
-        salted(bands, "node").join(for_all_salts(shared), ["bucket", "salt"]).drop("salt")
-        .join(nodes.select("node", "low"), "node")
-    )
+    members = cut(bands.join(shared, "bucket").join(nodes.select("node", "low"), "node"))
     lead = (F.col("h") == F.col("low_h")) | (F.col("h") == F.col("high_h"))
     leaders = members.where(lead).select("bucket", F.col("node").alias("leader"), F.col("low").alias("leader_low"))
     pairs = (
-        salted(members.select("bucket", "node", "low"), "node").join(for_all_salts(leaders), ["bucket", "salt"]).where("node != leader")
+        members.select("bucket", "node", "low").join(leaders, "bucket").where("node != leader")
         .select(
             F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"),
             F.when(F.col("node") < F.col("leader"), F.col("low")).otherwise(F.col("leader_low")).alias("low_a"),
@@ -323,16 +328,15 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     roots = components(links)
     others = cut(with_roots(members.where(~lead), roots, "node", "root"))
     mixed = others.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("bucket")
-    rest = salted(others, "node").join(for_all_salts(mixed), ["bucket", "salt"])
-    between = tiles(rest.select("bucket", "n", "h", "node", "root", "low")).select("a", "b").distinct()
-    links = links.unionByName(linked(between.join(pairs, ["a", "b"], "left_anti"), sets, least))
-    roots = components(links)
+    rest = others.join(mixed, "bucket").join(sets, "node")
+    between = tiles(rest.select("bucket", "n", "h", "node", "root", "low", "body"), least)
+    roots = components(links.unionByName(between))
     classed = with_roots(nodes.select("node", "doc_id"), roots, "node", "root")
     best = classed.groupBy("root").agg(F.min(F.struct(key_of("doc_id"), "node")).alias("best"))
-    named = for_all_salts(classed.select("node", "root").join(best, "root").select(
-        "node", F.col("best.col1.id").alias("class_id"), F.col("best.node").alias("best_node"))
+    named = classed.select("node", "root").join(best, "root").select(
+        "node", F.col("best.col1.id").alias("class_id"), F.col("best.node").alias("best_node")
     )
-    return salted(rows.select("doc_id", "node"), "doc_id").join(named, ["node", "salt"]).select(
+    return rows.select("doc_id", "node").join(named, "node").select(
         "doc_id", "node", "class_id",
         (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("best_node"))).alias("first"),
     )
