@@ -436,20 +436,21 @@ sp AS (SELECT *, CASE WHEN ord % 50 = 7 THEN '' ELSE text END AS text2, CASE WHE
 """
 
 
-@query("block_violations", f"""
-WITH {S.TREE}, {_SPOILED}
+_VIOLATIONS = """
 SELECT doc_id, 'text_blank' AS "check", 'warning' AS severity, block2 AS ctx, count(*) AS times FROM sp WHERE type IN ('title', 'paragraph', 'list', 'code') AND text2 = '' GROUP BY ALL
 UNION ALL SELECT doc_id, 'section_missing', 'warning', block2, count(*) FROM sp WHERE role = 'main' AND section2 = '' GROUP BY ALL
 UNION ALL SELECT doc_id, 'page_idx_negative', 'error', block2, count(*) FROM sp WHERE page2 < 0 GROUP BY ALL
 UNION ALL SELECT doc_id, 'bbox_range', 'warning', block2, count(*) FROM sp WHERE x1 > 1010 GROUP BY ALL
 UNION ALL SELECT doc_id, 'bbox_order', 'warning', block2, count(*) FROM sp WHERE NOT ((ord % 500) < x1 AND (ord % 700) < y1) GROUP BY ALL
 UNION ALL SELECT doc_id, 'block_id_repeated', 'error', block2, count(*) - 1 FROM sp GROUP BY doc_id, block2 HAVING count(*) > 1
-""")
-def block_violations(spark, sf):
-    """Checks over the tree after some of its blocks were spoiled."""
+"""
+
+
+def spoiled_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree after some of its blocks were spoiled."""
     n = F.col("order_in_doc")
     box = F.col("bbox_norm1000")
-    bad = C.tree(spark, sf).withColumns({
+    return C.tree(spark, sf).withColumns({
         "text": F.when(n % 50 == 7, "").otherwise(F.col("text")),
         "section_id": F.when(n % 60 == 11, "").otherwise(F.col("section_id")),
         "page_idx": F.when(n % 40 == 3, -1).otherwise(F.col("page_idx")),
@@ -459,7 +460,11 @@ def block_violations(spark, sf):
             box[0], box[1], F.when(n % 30 == 2, 2000.0).otherwise(box[2]), F.when(n % 30 == 4, -5.0).otherwise(box[3])
         ),
     })
-    found = quality.check_blocks(bad)
+
+
+@query("block_violations", f"WITH {S.TREE}, {_SPOILED} {_VIOLATIONS}")
+def block_violations(spark, sf):
+    found = quality.check_blocks(spoiled_blocks(spark, sf))
     return found.groupBy("doc_id", "check", "severity", "ctx").agg(F.sum("times").alias("times"))
 
 
@@ -488,20 +493,15 @@ def violations(spark, sf):
 
 
 @query("document_warnings", f"""
-WITH {S.TREE}, {_SPOILED}, v AS (
-  SELECT DISTINCT doc_id, 'warning' AS severity, 'text_blank' AS "check", block2 AS ctx FROM sp WHERE type IN ('title', 'paragraph', 'list', 'code') AND text2 = ''),
+WITH {S.TREE}, {_SPOILED}, v AS (SELECT DISTINCT doc_id, severity, "check", ctx FROM ({_VIOLATIONS})),
 r AS (SELECT doc_id, substr("check" || ': ' || ctx, 1, 40) AS message, row_number() OVER (PARTITION BY doc_id ORDER BY severity, "check", ctx) AS no FROM v)
 SELECT doc_id, coalesce(string_agg(DISTINCT message, '|' ORDER BY message), '') AS warnings,
   CASE WHEN count(message) > 0 THEN 'needs_review' ELSE 'indexed' END AS status FROM (SELECT DISTINCT doc_id FROM tree) d LEFT JOIN r USING (doc_id) WHERE no <= 3 OR no IS NULL GROUP BY doc_id
 """)
 def document_warnings(spark, sf):
-    n = F.col("order_in_doc")
+    """The first messages of all checks, and the status that follows."""
     blocks = C.tree(spark, sf)
-    bad = blocks.withColumns({
-        "text": F.when(n % 50 == 7, "").otherwise(F.col("text")), "order_in_page": n,
-        "block_id": F.when(n % 70 == 5, "p-twice").otherwise(F.col("block_id")),
-    })
-    found = quality.check_blocks(bad).where(F.col("check") == "text_blank").dropDuplicates(["doc_id", "check", "ctx"])
+    found = quality.check_blocks(spoiled_blocks(spark, sf)).dropDuplicates(["doc_id", "check", "ctx"])
     docs = blocks.select("doc_id").distinct()
     return quality.document_status(docs, quality.top_messages(found)).select(
         "doc_id", F.array_join("warnings", "|").alias("warnings"), "status"
