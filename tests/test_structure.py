@@ -159,7 +159,7 @@ def test_audit_follows_children(spark):
     ])).collect()
     said = {(r.block_idx, r.issue) for r in found}
     assert (0, "other segment type: odd") in said and (1, "block is no object: int") in said
-    assert (2, "缺少预期核心字段 'title_content'（title 块通常必有此字段）") in said
+    assert (2, "core key is absent: title_content") in said
     assert (3, "picture path is no text: int") in said
     counts = quality.deviation_counts(quality.audit_blocks(raw(spark, [{"type": "code", "content": {"code_content": []}}])),
                                       spark.createDataFrame([("d",)], "doc_id string")).first()
