@@ -1,12 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are compared without case (A-Z) and ASCII punctuation. The n-grams of the test items
-are counted in the whole corpus; of every ``SPREAD`` neighbouring n-grams of an item the
-rarest is a seed, so a copy keeps a seed as long as ``NGRAM + SPREAD - 1`` words in a row are
-unedited, and stretches of frequent words are not seeds unless there is nothing rarer near
-them. A seed that a document and an item share proposes a diagonal; the item is aligned with
-the passage around it, and the passage is a copy if the alignment scores at least
-``LEAST`` of a perfect one. Documents are read where they lie and never shuffled.
+are counted in the whole corpus; those that occur are seeds, however rare or frequent they
+are, so a copy keeps a seed as long as ``NGRAM`` words in a row are unedited. Seeds that a
+document and an item share propose diagonals. Near ones are one passage, wide enough for all
+gaps that a copy may have; the item is aligned with it unless the words that both have are
+too few for a copy. The passage is a copy if the alignment scores at least ``LEAST`` of a
+perfect one. Documents are read where they lie and never shuffled.
 
 The items are worked on in blocks of at most about ``BLOCK_WORDS`` words, so what is sent to
 the tasks is bounded; more items mean more passes.
@@ -22,10 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.blocks import bytes_of, split_by_bytes
-from shelfmark.llm.words import LOWER, Words
+from shelfmark.llm.words import LOWER, Words, mix
 
 NGRAM = 3
-SPREAD = 4
 LEAST = 0.5
 BLOCK_WORDS = 1 << 20
 SLICE_BYTES = 1 << 21
@@ -53,18 +52,38 @@ class Items:
         self.gram = words.run_hash(starts, n)
         self.known = np.unique(self.gram)
 
-    def seeded(self, counts: np.ndarray, spread: int) -> None:
-        """Keep of every ``spread`` neighbouring n-grams of an item the rarest, the first of equals."""
-        count = counts[np.searchsorted(self.known, self.gram)]
-        keep = np.zeros(len(count), bool)
-        bounds = np.searchsorted(self.item, np.arange(len(self.ids) + 1))
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            for i in range(a, max(a + 1, b - spread + 1) if b > a else a):
-                keep[i + int(np.argmin(count[i : min(i + spread, b)]))] = True
-        order = np.flatnonzero(keep)
+        # Words of each item, as one key a pair of word and item, with how often the item has them.
+        self.pair, self.pair_n = np.unique(self.pair_key(np.repeat(np.arange(len(ids)), words.counts), self.words), return_counts=True)
+
+    @staticmethod
+    def pair_key(item: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return mix(word + mix(item.astype(np.uint64), 1))
+
+    def seeded(self, counts: np.ndarray) -> None:
+        """Keep the n-grams that occur."""
+        order = np.flatnonzero(counts[np.searchsorted(self.known, self.gram)] > 0)
         order = order[np.argsort(self.gram[order], kind="stable")]
         self.seed, self.seed_item, self.seed_at = self.gram[order], self.item[order], self.at[order]
 
+    def shared(self, item: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many words each item has in common with its passage ``words[low:high]``: no alignment has more matches."""
+        out = np.zeros(len(item), np.int64)
+        size, at = high - low, 0
+        total = np.cumsum(size)
+        while at < len(item):
+            to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + CELLS // 8, "right")), at + 1)
+            n = size[at:to]
+            task = np.repeat(np.arange(at, to), n)
+            place = np.arange(len(task)) + np.repeat(low[at:to] - (np.cumsum(n) - n), n)
+            key = self.pair_key(item[task], words[place])
+            which = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            met = self.pair[which] == key
+            both, times = np.unique((task[met] - at) * len(self.pair) + which[met], return_counts=True)
+            often = np.minimum(times, self.pair_n[both % len(self.pair)])
+            out[at:to] = np.bincount(both // len(self.pair), often, minlength=to - at)
+            at = to
+        return out
+
 
 def aligned(item: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment of each item row with its passage row: score, end column.
@@ -96,29 +115,41 @@ def padded(parts: list[np.ndarray], fill: int, backwards: bool = False) -> np.nd
     return out
 
 
-def found(texts: list[bytes | None], items: Items, least: float) -> list[tuple[int, int, float, int, int, int]]:
-    """(text, item, score, item words, first word, word after the last) of the best copy of each item in each text."""
-    words = plain(texts)
+def passages(words: Words, items: Items, least: float) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first word, word after the last) of the passages that may hold a copy of the item."""
     starts, text = words.runs(items.n)
     grams = words.run_hash(starts, items.n)
     low, high = np.searchsorted(items.seed, grams, "left"), np.searchsorted(items.seed, grams, "right")
-    hit = np.flatnonzero(high > low)
-    reps = (high - low)[hit]
-    which = np.repeat(low[hit], reps) + np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
-    doc, item = np.repeat(text[hit], reps), items.seed_item[which]
-    diagonal = np.repeat(starts[hit] - words.first[:-1][text[hit]], reps) - items.seed_at[which]
-    order = np.lexsort((diagonal, item, doc))
-    doc, item, diagonal = doc[order], item[order], diagonal[order]
-    tasks: list[tuple[int, int, int, int]] = []
-    last = None
-    for d, i, g in zip(doc.tolist(), item.tolist(), diagonal.tolist(), strict=True):
-        m = int(items.first[i + 1] - items.first[i])
-        pad = max(8, m // 3)
-        if last and last[:2] == (d, i) and g <= last[2] + pad:
-            continue
-        last = (d, i, g)
-        n = int(words.first[d + 1] - words.first[d])
-        tasks.append((d, i, max(0, g - pad), min(n, g + pad + m + pad)))
+    hits = np.flatnonzero(high > low)
+    total, at = np.cumsum((high - low)[hits]), 0
+    while at < len(hits):
+        to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + CELLS // 8, "right")), at + 1)
+        hit, at = hits[at:to], to
+        reps = (high - low)[hit]
+        which = np.repeat(low[hit], reps) + np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
+        doc, item = np.repeat(text[hit], reps), items.seed_item[which]
+        diagonal = np.repeat(starts[hit] - words.first[:-1][text[hit]], reps) - items.seed_at[which]
+        m = np.diff(items.first)[item]
+        pad = np.maximum(m - np.ceil(least * m).astype(np.int64), 0)  # a copy has no more gaps
+        near = diagonal // np.maximum(pad, 8)
+        order = np.lexsort((diagonal, near, item, doc))
+        doc, item, diagonal, near, m, pad = (x[order] for x in (doc, item, diagonal, near, m, pad))
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (near[1:] != near[:-1])
+        one = np.flatnonzero(new)
+        end = np.append(one[1:], len(doc)) - 1
+        doc, item, m, pad = doc[one], item[one], m[one], pad[one]
+        a = np.maximum(diagonal[one] - pad, 0)
+        b = np.minimum(diagonal[end] + m + pad, words.counts[doc])
+        base = words.first[:-1][doc]
+        keep = items.shared(item, words.hash, base + a, base + b) >= least * m
+        yield from zip(doc[keep].tolist(), item[keep].tolist(), a[keep].tolist(), b[keep].tolist(), strict=True)
+
+
+def found(texts: list[bytes | None], items: Items, least: float) -> list[tuple[int, int, float, int, int, int]]:
+    """(text, item, score, item words, first word, word after the last) of the best copy of each item in each text."""
+    words = plain(texts)
+    tasks = list(passages(words, items, least))
     tasks.sort(key=lambda t: t[3] - t[2])
     best: dict[tuple[int, int], tuple[int, int]] = {}
     at = 0
@@ -157,7 +188,7 @@ def item_blocks(items: DataFrame, text: str, item_id: str, block_words: int) ->
 
 
 def seeded_blocks(docs: DataFrame, items: DataFrame, text: str, item_text: str, item_id: str, block_words: int) -> Iterator[Items]:
-    """Blocks of items with seeds chosen by how often their n-grams occur in all of ``docs``."""
+    """Blocks of items with the seeds that occur in ``docs``."""
     for ids, texts in item_blocks(items, item_text, item_id, block_words):
         block = Items(ids, texts, NGRAM)
         if not len(block.known):
@@ -178,7 +209,7 @@ def seeded_blocks(docs: DataFrame, items: DataFrame, text: str, item_text: str,
         counts = np.zeros(len(known), np.int64)
         for r in docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
             counts[r[0]] = r[1]
-        block.seeded(counts, SPREAD)
+        block.seeded(counts)
         yield block
 
 
@@ -191,7 +222,7 @@ def leaks(
     ``score`` is the alignment score per item word (1.0: the whole item word for word),
     ``start_word`` and ``end_word`` bound the copy among the document's plain words. Null and
     empty texts hold nothing; items of fewer than three plain words have no seed and are not
-    looked for. Equal rows or items are reported each. Empty tables give no rows. Other
+    looked for, nor are copies without three unedited words in a row. Equal rows or items are reported each. Empty tables give no rows. Other
     columns are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

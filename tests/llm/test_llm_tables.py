@@ -186,6 +186,30 @@ def test_leaks(spark, block_words):
     assert decontaminate.without_leaks(df, bench.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("intact_copy", [False, True])
+def test_copies_with_every_few_words_edited(spark, intact_copy):
+    rng = random.Random(8)
+    items = [(k, sentence(rng, 16 + k)) for k in range(24)]
+    rows = [(i, sentence(rng, 60)) for i in range(10)]
+    for k, text in items:
+        step = 4 + k % 3
+        words = [f"new{i}" if i % step == k % 4 else w for i, w in enumerate(text.split())]
+        if k % 8 == 7:
+            words = [x for i, w in enumerate(text.split()) for x in ([w, "added"] if i % 3 == 2 else [w])]
+        rows.append((len(rows), " ".join([sentence(rng, 30), *words, sentence(rng, 30)])))
+    if intact_copy:
+        rows += [(1000 + k, text) for k, text in items]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(df, bench).collect()}
+    want = {}
+    for i, t in rows:
+        for k, q in items:
+            if (s := smith_waterman(plain(q), plain(t))) >= 0.5 * len(plain(q)):
+                want[i, k] = s / len(plain(q))
+    assert got == want and len(want) >= 20
+
+
 # licences -------------------------------------------------------------------------
 
 
