@@ -8,9 +8,9 @@ share of the corpus counts of tail words.
 
 The network is a GRU whose softmax is factored into a class and a word in the class, classes
 being ranks of frequency. It is fitted by truncated backpropagation in numpy: in each round
-every block starts from the same weights, learns from its share of training tokens (a fixed
-number a block, so the work grows with the corpus and in parallel), and the weights are
-averaged in two steps of bounded size. All documents are scored whole: windows of a batch of
+every block starts from the same weights and learns from the next part of its training tokens,
+so that after the last round each token has been learned from; the weights are averaged by
+tokens in two steps of bounded size. All documents are scored whole: windows of a batch of
 documents follow each other and carry the state.
 """
 
@@ -35,8 +35,9 @@ CLASSES = 32
 CLASS_WORDS = 64
 UNITS = 16
 ROUNDS = 3
-STREAMS = 16
-STREAM_TOKENS = 2048
+#: Streams of a part: as many as leave it about so many updates, within bounds.
+UPDATES = 128
+STREAMS = 16, 256
 STEP = 16
 WINDOW = 64
 RATE = 0.2
@@ -70,18 +71,26 @@ class Tokens:
         count = np.bincount(where[~self.held_out[self.doc]], minlength=len(known))
         return known, count, where
 
-    def sample(self, streams: int, length: int) -> np.ndarray:
-        """Training tokens for one block, as streams of whole neighbouring documents."""
+    def training(self) -> np.ndarray:
+        """All tokens of the training documents, in an order of documents by hash."""
         order = [d for d in np.argsort(mix(self.first[:-1].astype(np.uint64), 9)) if not self.held_out[d]]
-        parts, size = [np.zeros(0, np.uint64)], 0
-        for d in order:
-            parts.append(self.hash[self.first[d] : self.first[d + 1]])
-            size += len(parts[-1])
-            if size >= streams * length:
-                break
-        got = np.concatenate(parts)[: streams * length]
-        wide = len(got) // streams
-        return got[: wide * streams].reshape(streams, wide)
+        return np.concatenate([np.zeros(0, np.uint64), *[self.hash[self.first[d] : self.first[d + 1]] for d in order]])
+
+
+def parts_of(numbers: np.ndarray, parts: int) -> list[np.ndarray]:
+    """Consecutive parts of a token sequence, each with the sign before it: every token has its turn as a target."""
+    full = np.concatenate([[CLASSES * CLASS_WORDS], numbers]).astype(np.uint16 if CLASSES * CLASS_WORDS < 2**16 else np.uint32)
+    at = len(numbers) * np.arange(parts + 1) // parts
+    return [full[a : b + 1] for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
+
+
+def streams_of(part: np.ndarray) -> np.ndarray:
+    """A part as rows of equal length; neighbours share the sign before, and a few tokens where the length doesn't divide."""
+    n = len(part) - 1
+    streams = min(max(STREAMS[0], min(STREAMS[1], n // (STEP * UPDATES))), n)
+    wide = -(-n // streams)
+    begin = np.arange(streams) * (n - wide) // max(streams - 1, 1)
+    return part[begin[:, None] + np.arange(wide + 1)].astype(np.int64)
 
 
 def in_sample(doc_id: int | None) -> bool:
@@ -286,29 +295,34 @@ def averaged(parts: DataFrame, rows: int) -> np.ndarray:
     return np.frombuffer(row[0], np.float32)
 
 
-def trained(samples: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, rounds: int) -> Network:
-    """The network after ``rounds`` of learning in every block and averaging."""
+def trained(blocks: DataFrame, training, vocabulary: Vocabulary, counts: np.ndarray, rounds: int) -> Network:
+    """The network after ``rounds`` of learning in every block and averaging; each round has its own tokens."""
     net = Network.fresh(counts)
-    blocks = samples.count()
-    for _ in range(rounds if blocks else 0):
+
+    def divide(table: pa.Table) -> list[tuple[int, bytes]]:
+        parts = parts_of(vocabulary.numbers(training(table)), rounds)
+        return [(k, squeeze(part)) for k, part in enumerate(parts)]
+
+    samples = cut(asked(blocks, divide)) if rounds else None
+    for k in range(rounds):
         start = net.vector()
+        mine = samples.where(F.col("segment") == k)
+        n = mine.count()
+        if not n:
+            continue
 
         def learn(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for body in batch.column("body").to_pylist():
-                    flat = unsqueeze(body)[0]
-                    if len(flat) < 2 * STREAMS:
-                        continue
-                    mine = Network.flat(start)
-                    mine.learn(vocabulary.numbers(flat).reshape(STREAMS, -1))
+                    part = unsqueeze(body)[0]
+                    one = Network.flat(start)
+                    one.learn(streams_of(part))
                     yield pa.RecordBatch.from_pydict(
-                        {"body": pa.array([mine.vector().tobytes()], pa.binary()), "n": pa.array([len(flat)], pa.int64())}
+                        {"body": pa.array([one.vector().tobytes()], pa.binary()), "n": pa.array([len(part) - 1], pa.int64())}
                     )
 
-        parts = samples.select("body").repartition(max(1, min(blocks, 4096))).mapInArrow(learn, "body binary, n long")
-        parts = cut(parts)
-        if parts.limit(1).count():
-            net = Network.flat(averaged(parts, blocks))
+        parts = cut(mine.select("body").repartition(max(1, min(n, 4096))).mapInArrow(learn, "body binary, n long"))
+        net = Network.flat(averaged(parts, n))
     return net
 
 
@@ -336,11 +350,10 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out
         tokens = Tokens(table, "text", "doc_id", held_out)
         known, count, _ = tokens.distinct()
         order, at = shares(known)
-        rows = [
+        return [
             (s, squeeze(known[order[a:b]], count[order[a:b]].astype(np.uint32)))
             for s, a, b in zip(range(segments), at[:-1], at[1:], strict=True) if b > a
         ]
-        return [*rows, (-1, squeeze(tokens.sample(STREAMS, STREAM_TOKENS).reshape(-1)))]
 
     def summed(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
         parts = [unsqueeze(b) for b in bodies]
@@ -353,8 +366,7 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out
         narrow = counts.astype(np.uint32) if len(counts) and counts.max() < 2**32 else counts
         return [squeeze(c) for c in np.split(narrow, np.cumsum(sizes)[:-1])]
 
-    sent = cut(asked(blocks, ask))
-    requests, samples = sent.where("segment >= 0"), sent.where("segment < 0")
+    requests = cut(asked(blocks, ask))
     most = CLASSES * CLASS_WORDS - 1
 
     def tally(table: pa.Table) -> pa.Table:
@@ -382,7 +394,7 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out
     counts[: len(top)] = [r[1] for r in top]
     counts[most] = train_tokens - in_top
     tail_total = train_tokens - in_top + train_words - len(top) + 1
-    net = trained(samples, vocabulary, counts, rounds)
+    net = trained(blocks, lambda table: Tokens(table, "text", "doc_id", held_out).training(), vocabulary, counts, rounds)
     ratio = tail_total / (counts[most] + 0.1) * (train_tokens + 0.1) / (train_tokens + train_words + 1)
     weights = net.with_tail(ratio, float((counts[most] + 0.1) / (counts[-CLASS_WORDS:] + 0.1).sum())).vector()
     answers = answered(requests, answer).withColumn("kind", F.lit("counts"))

@@ -303,6 +303,24 @@ def test_language_scores(spark, corpus):
     assert recurrent.scored(frame(spark, [(None, None)])).first().n_tokens == 1
 
 
+def test_every_training_token_is_learned_from(spark, monkeypatch):
+    rng = random.Random(2)
+    long = next(k for k in range(12) if not recurrent.in_sample(k))
+    rows = [(k, sentence(rng, 40_000 if k == long else 300)) for k in range(12)]
+    table = frame(spark, rows, 1).select("doc_id", "text").toArrow()
+    tokens = recurrent.Tokens(table, "text", "doc_id", recurrent.in_sample)
+    got = tokens.training()
+    assert len(got) == sum(len(words(t)) + 1 for k, t in rows if not recurrent.in_sample(k)) > 40_000
+    for n in (1, 2, 63, 64, 65, 1000, 4099):
+        parts = recurrent.parts_of(np.arange(n) % 2000, 3)
+        assert [x for p in parts for x in p[1:].tolist()] == (np.arange(n) % 2000).tolist()
+        for part in parts:
+            assert set(range(1, len(part))) == set(recurrent.streams_of(np.arange(len(part)))[:, 1:].reshape(-1).tolist())
+    learned = []
+    monkeypatch.setattr(recurrent, "averaged", lambda parts, n, f=recurrent.averaged: learned.append(parts.agg(F.sum("n")).first()[0]) or f(parts, n))
+    assert recurrent.scored(frame(spark, rows)).first().train_tokens == sum(learned) == len(got)
+
+
 def test_network_is_a_distribution_and_learns():
     rng = np.random.default_rng(0)
     size = recurrent.CLASSES * recurrent.CLASS_WORDS
