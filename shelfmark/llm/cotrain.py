@@ -35,7 +35,6 @@ PSEUDO_WEIGHT = 0.5
 WORD_BITS = 16
 META_BITS = 12
 LEAST_CHI = 20.0
-KEPT_GOOD = 0.998
 SLICE_BYTES = 1 << 21
 SHAPES = 10
 DECAY = 1e-5
@@ -205,6 +204,16 @@ def columns_of(docs: DataFrame) -> DataFrame:
     return docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
 
+def weighed(z: np.ndarray, good: np.ndarray) -> float:
+    """The log-odds from which rows are kept, so that lost good and missed bad rows are fewest; of equals the nearest to even odds."""
+    order = np.argsort(z, kind="stable")
+    at = np.concatenate([[0.0], z[order], np.nextafter(z[order[-1:]], np.inf)])
+    first = np.searchsorted(z[order], at)
+    lost = np.concatenate([[0], np.cumsum(good[order])])[first]
+    missed = (~good).sum() - np.concatenate([[0], np.cumsum(~good[order])])[first]
+    return float(at[np.lexsort((np.abs(at), lost + missed))[0]])
+
+
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL, rounds: int = ROUNDS) -> Model | None:
     """The model, or None without labelled good and bad documents to learn from (both at least twice)."""
     docs = columns_of(docs)
@@ -249,16 +258,15 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int
     model = Model(*models, prior=float(np.log((n1 + 1) / (n0 + 1))), threshold=0.5)
     at = np.flatnonzero(held)
     z = model.logits(text.take(at), meta.take(at))[2]
-    cut = np.sort(z[good[at] == 1])[int((1 - KEPT_GOOD) * n1)]
-    model.threshold = float(min(0.5, sigmoid(np.array([cut - 1e-9]))[0]))
+    model.threshold = float(sigmoid(np.array([weighed(z, good[at] == 1)]))[0])
     return model
 
 
 def scored(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """``docs`` with ``p_text``, ``p_meta``, ``p_good`` and ``keep``; other columns as they were.
 
-    ``keep`` is whether ``p_good`` reaches the threshold that keeps nearly all good held-out
-    rows, 0.5 at most. Null and empty texts are texts without words; null or missing metadata
+    ``keep`` is whether ``p_good`` reaches the threshold by which the fewest held-out rows are
+    wrong, lost good and missed bad ones alike. Null and empty texts are texts without words; null or missing metadata
     columns are a value of their own. An id labelled twice is bad if one of its labels says so;
     null labels and ids teach nothing. Without labels to learn from every probability is null
     and every document is kept. Columns named like the four new ones are replaced.

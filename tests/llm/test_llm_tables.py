@@ -114,6 +114,25 @@ def test_cotraining_on_held_out_rows(spark):
     assert sum(r.keep == (r.doc_id % 4 != 0) for r in named) / len(named) > 0.97
 
 
+def test_threshold_weighs_missed_bad_against_lost_good():
+    rng = np.random.default_rng(7)
+    for shift in (0.5, 2.0, 5.0):
+        good = rng.random(2000) < 0.76
+        z = np.where(good, rng.normal(shift, 2, 2000), rng.normal(-shift, 2, 2000)).round(1)
+        wrong = lambda c: (z[good] < c).sum() + (z[~good] >= c).sum()  # noqa: B023, E731
+        assert wrong(cotrain.weighed(z, good)) == min(wrong(c) for c in [*z, z.max() + 1])
+    even = np.array([-3.0, -2.0, 4.0, 5.0])
+    assert cotrain.weighed(even, even > 0) == 0.0
+
+
+def test_trained_threshold_is_the_weighed_one(spark, monkeypatch):
+    docs, labels = labelled(random.Random(3), 600)
+    df, lf = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(cotrain, "weighed", lambda z, good, f=cotrain.weighed: seen.append(f(z, good)) or seen[-1])
+    assert math.isclose(cotrain.trained(df, lf).threshold, 1 / (1 + math.exp(-seen[0])), rel_tol=1e-9)
+
+
 def test_classifier_without_labels(spark):
     docs, labels = labelled(random.Random(3), 40)
     df = spark.createDataFrame(docs, DOCS)
