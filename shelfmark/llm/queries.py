@@ -9,6 +9,7 @@ from shelfmark.llm.cotrain import scored
 from shelfmark.llm.dart import near_classes
 from shelfmark.llm.decontaminate import leaks
 from shelfmark.llm.fingerprint import fingerprints
+from shelfmark.llm.laesa import codes_sql, vector_codes
 from shelfmark.llm.licences import scanned
 from shelfmark.llm.packing import packed_sequences
 from shelfmark.llm.recurrent import scored as language_scores
@@ -102,10 +103,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_sequences(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all ``embeddings`` with their errors."""
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup, "op2_warc": op2_warc, "op3_quality": op3_quality,
     "op4_ring_shards": op4_ring_shards, "op5_near_duplicates": op5_near_duplicates,
     "op6_decontamination": op6_decontamination, "op7_recurrent_scores": op7_recurrent_scores, "op8_fingerprints": op8_fingerprints, "op9_licences": op9_licences,
-    "op10_packing": op10_packing,
+    "op10_packing": op10_packing, "op11_vector_codes": op11_vector_codes,
 }
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op11_vector_codes": codes_sql()}
