@@ -14,6 +14,7 @@ from shelfmark.llm.licences import scanned
 from shelfmark.llm.packing import packed_sequences
 from shelfmark.llm.recurrent import scored as language_scores
 from shelfmark.llm.ring import sharded
+from shelfmark.llm.secrets import secret_digests, secrets_sql
 from shelfmark.llm.substring import without_repeats
 from shelfmark.llm.warc import archived
 from shelfmark.session import table
@@ -108,10 +109,15 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all ``documents``."""
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup, "op2_warc": op2_warc, "op3_quality": op3_quality,
     "op4_ring_shards": op4_ring_shards, "op5_near_duplicates": op5_near_duplicates,
     "op6_decontamination": op6_decontamination, "op7_recurrent_scores": op7_recurrent_scores, "op8_fingerprints": op8_fingerprints, "op9_licences": op9_licences,
-    "op10_packing": op10_packing, "op11_vector_codes": op11_vector_codes,
+    "op10_packing": op10_packing, "op11_vector_codes": op11_vector_codes, "op12_secret_scan": op12_secret_scan,
 }
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op11_vector_codes": codes_sql()}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op11_vector_codes": codes_sql(), "op12_secret_scan": secrets_sql()}
