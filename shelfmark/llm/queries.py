@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.llm.alignment import alignments
 from shelfmark.llm.cotrain import scored
 from shelfmark.llm.dart import near_classes
 from shelfmark.llm.decontaminate import leaks
@@ -114,10 +115,16 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens that two tokenizers give all ``documents``."""
+    return alignments(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup, "op2_warc": op2_warc, "op3_quality": op3_quality,
     "op4_ring_shards": op4_ring_shards, "op5_near_duplicates": op5_near_duplicates,
     "op6_decontamination": op6_decontamination, "op7_recurrent_scores": op7_recurrent_scores, "op8_fingerprints": op8_fingerprints, "op9_licences": op9_licences,
     "op10_packing": op10_packing, "op11_vector_codes": op11_vector_codes, "op12_secret_scan": op12_secret_scan,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op11_vector_codes": codes_sql(), "op12_secret_scan": secrets_sql()}
