@@ -7,8 +7,12 @@ the numbering of the kept blocks.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions import geometry, text
 from shelfmark.operators.scan import number_rows
@@ -72,7 +76,8 @@ ASSET_OF = {
 _CONTENT_FIELDS = sorted(
     {k for keys in CONTENT_KEYS.values() for k in keys} | {"text"}
 )
-CHILD_DEPTH = 8
+#: Levels of children that column expressions read; blocks with deeper ones are unnested before.
+CHILD_DEPTH = 1
 WIDE = 4096
 
 
@@ -91,11 +96,51 @@ def _objects(raw: Column) -> Column:
     return F.coalesce(F.filter(items, lambda s: s.startswith("{")), _empty("string"))
 
 
+def segment_text(segs: list) -> str:
+    """Text of parsed segments in order; one without content stands for its children, at any depth."""
+    out, open_lists = [], [iter(segs)]
+    while open_lists:
+        for seg in open_lists[-1]:
+            if not isinstance(seg, dict):
+                continue
+            own = seg.get("content")
+            if own not in (None, ""):
+                out.append(own if isinstance(own, str) else json.dumps(own, ensure_ascii=False))
+            elif isinstance(seg.get("children"), list):
+                open_lists.append(iter(seg["children"]))
+                break
+        else:
+            open_lists.pop()
+    return "".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def unnested(blocks: pd.Series) -> pd.Series:
+    """Blocks as JSON whose outermost segments hold the text of all their children."""
+
+    def one(block: str | None) -> str | None:
+        try:
+            read = json.loads(block) if block is not None else None
+        except ValueError:
+            return None
+        content = read.get("content") if isinstance(read, dict) else None
+        if not isinstance(content, dict):
+            return None
+        lists = [v for v in content.values() if isinstance(v, list)]
+        lists += [i["item_content"] for v in lists for i in v if isinstance(i, dict) and isinstance(i.get("item_content"), list)]
+        for seg in [s for v in lists for s in v if isinstance(s, dict)]:
+            if seg.get("content") in (None, "") and isinstance(seg.get("children"), list):
+                seg["content"] = segment_text(seg["children"])
+        return json.dumps(read, ensure_ascii=False)
+
+    return blocks.map(one)
+
+
 def segments(raw: Column, depth: int = CHILD_DEPTH) -> Column:
     """Text segments as ``array<struct<type, content>>``.
 
     A segment without content takes the text of its ``children``, down to
-    ``depth`` levels.
+    ``depth`` levels; ``parse_blocks`` brings deeper ones up first.
     """
 
     def one(seg: Column) -> Column:
@@ -144,9 +189,11 @@ def _asset_path(path: Column, base: Column) -> Column:
 
 def parse_blocks(raw: DataFrame) -> DataFrame:
     """Project raw blocks to types, text, segments, assets, boxes and flags."""
-    top = raw.where(F.col("block").startswith("{")).withColumn(
+    # Columns cannot recurse: the few blocks with children of children pass through one UDF, all others as nulls.
+    deep = F.when(F.col("block").rlike('(?s)"children".*"children"'), F.col("block"))
+    top = raw.where(F.col("block").startswith("{")).withColumn("_flat", unnested(deep)).withColumn(
         "_b",
-        F.from_json("block", "type string, bbox string, content string, anchor string"),
+        F.from_json(F.coalesce("_flat", "block"), "type string, bbox string, content string, anchor string"),
     )
     top = top.select(
         *raw.columns,

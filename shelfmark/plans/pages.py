@@ -30,6 +30,40 @@ def page_blocks(spark, sf):
     )
 
 
+#: Segments nested in segments: 1 to 14 levels, with text before and after each inner one.
+_LEVELS = "(1 + c_custkey % 14)"
+
+
+@query("nested_segments", f"""
+SELECT c_nationkey AS doc_id, CAST(c_custkey AS BIGINT) AS raw_pos,
+  CASE c_custkey % 3 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'list' ELSE 'title' END AS type,
+  list_aggregate(list_transform(range({_LEVELS}, 0, -1), lambda n: 'L' || n || ' '), 'string_agg', '') || c_name || repeat('|', {_LEVELS}) AS text,
+  CASE c_custkey % 3 WHEN 1 THEN 1 ELSE 3 END AS n_segments FROM customer
+""")
+def nested_segments(spark, sf):
+    """Blocks whose text lies up to 14 levels of children deep."""
+    at = lambda text: F.format_string('{"type":"text","content":"%s"}', text)
+    inner = F.aggregate(
+        F.sequence(F.lit(1), F.expr(_LEVELS).cast("int")), F.concat(F.lit("["), at(F.col("c_name")), F.lit("]")),
+        lambda below, n: F.concat(
+            F.lit("["), at(F.concat(F.lit("L"), n.cast("string"), F.lit(" "))), F.lit(',{"type":"hyperlink","content":"","children":'),
+            below, F.lit("},"), at(F.lit("|")), F.lit("]"),
+        ),
+    )
+    paragraph, listed, title = (
+        F.concat(F.lit(f'{{"type":"{kind}","bbox":[0,0,10,10],"content":{{{before}'), inner, F.lit(f"{after}}}}}"))
+        for kind, before, after in (
+            ("paragraph", '"paragraph_content":', ""), ("list", '"list_items":[{"item_content":', "}]"), ("title", '"level":2,"title_content":', ""),
+        )
+    )
+    third = F.col("c_custkey") % 3
+    raw = table(spark, sf, "customer").select(
+        F.col("c_nationkey").alias("doc_id"), F.lit(0).alias("page_idx"), F.col("c_custkey").cast("long").alias("raw_pos"),
+        F.when(third == 0, paragraph).when(third == 1, listed).otherwise(title).alias("block"),
+    )
+    return normalize.parse_blocks(raw).select("doc_id", "raw_pos", "type", "text", F.size("segments").alias("n_segments"))
+
+
 def stored_pages(spark: SparkSession, sf: str) -> DataFrame:
     return cut(hierarchy.with_sections(normalize.normalize(C.page_blocks(spark, sf))))
 

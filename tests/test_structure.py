@@ -57,6 +57,35 @@ def test_normalise(spark):
     assert out[6].degraded == [f"content_none_{out[6].block_id}"]
 
 
+def nested(rng, depth):
+    """Segments with their children ``depth`` levels deep, and their text."""
+    if depth == 0:
+        return [{"type": "text", "content": f"é{rng.randrange(100)}\""}], None
+    inner, _ = nested(rng, depth - 1)
+    return [{"content": f"a{depth} "}, "no segment", {"type": "hyperlink", "content": rng.choice(["", None]), "children": inner},
+            {"content": "", "children": "no list"}, {"content": "own", "children": [{"content": "not read"}]}], None
+
+
+def flat(segs):
+    own = [s for s in segs if isinstance(s, dict)]
+    return "".join(s.get("content") or (flat(s["children"]) if isinstance(s.get("children"), list) else "") for s in own)
+
+
+def test_segments_of_any_depth(spark):
+    rng = random.Random(3)
+    rows, want = [], []
+    for depth in [0, 1, 2, 3, 8, 9, 12, 40, 120]:
+        segs = nested(rng, depth)[0]
+        rows.append({"type": "paragraph", "bbox": [0.5, 1e2, 3, 4], "content": {"paragraph_content": segs}})
+        rows.append({"type": "list", "content": {"list_items": [{"item_content": segs, "prefix": "-"}, {"item_content": [{"content": "x"}]}]}})
+        want += [flat(segs), f"- {flat(segs)}\nx"]
+    broken = [{"type": "paragraph", "content": '"children" and "children"'}, {"type": "paragraph", "content": None, '"children"': '"children"'}]
+    out = normalize.normalize(raw(spark, rows + broken)).orderBy("order_in_doc").collect()
+    assert [r.text for r in out] == [*want, "", ""]
+    assert all(r.segments[0].type == "text" and len(r.segments) == 1 for r in out[1:-2:2])
+    assert out[4].bbox_norm1000 == out[0].bbox_norm1000  # a block read anew keeps its numbers
+
+
 def test_paths_match_a_stack(spark):
     rnd = random.Random(3)
     rows = [("title", f"t{i}", rnd.randint(1, 6)) if rnd.random() < 0.4 else ("paragraph", f"p{i}", None) for i in range(400)]
