@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
@@ -268,6 +268,42 @@ def review_sections(docs: DataFrame) -> DataFrame:
     )
 
 
+def section_listing(docs: DataFrame) -> DataFrame:
+    """Recordings with their notes and the places of both, numbered by section within each date.
+
+    Needs also ``bound_file_path`` and ``upload_path``; the bound file goes first, without either the place is empty.
+    Recordings of the same section follow each other by id.
+    """
+    filled = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    place = docs.select("doc_id", F.coalesce(filled("bound_file_path"), filled("upload_path"), F.lit("")).alias("path"))
+    rows = review_sections(docs)
+    for side in ("txt", "note"):
+        rows = rows.join(place.select(F.col("doc_id").alias(f"{side}_doc_id"), F.col("path").alias(f"{side}_path")), f"{side}_doc_id", "left")
+    order = Window.partitionBy("date").orderBy("section_num", "txt_doc_id")  # the recordings of one day
+    return rows.withColumn("no", F.row_number().over(order).cast("long"))
+
+
+def date_listing(docs: DataFrame) -> DataFrame:
+    """Dates in ascending order, numbered; there are as many as days."""
+    return review_dates(docs).withColumn("no", F.row_number().over(Window.orderBy("date")).cast("long")).orderBy("no")
+
+
+def with_defaults(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """Optional columns filled, and added where the table has none."""
+    have = set(rows.columns)
+    return rows.withColumns({c: F.coalesce(F.col(c), v) if c in have else v for c, v in defaults.items()})
+
+
+def document_listing(docs: DataFrame) -> DataFrame:
+    """Documents as they are listed: the path is the file name where none is known, other gaps are empty."""
+    empty = dict.fromkeys(("warnings", "origin_pdf_path", "folder_category", "bound_file_path"), F.lit(""))
+    return with_defaults(docs, {"relative_path": F.col("filename"), **empty, "parent_heading_level": F.lit(0)})
+
+
+def kb_listing(kbs: DataFrame) -> DataFrame:
+    return with_defaults(kbs, {"kb_type": F.lit("general"), "bound_folder_path": F.lit("")})
+
+
 def latest_status(events: DataFrame, key: str, status: str, order: Sequence[str]) -> DataFrame:
     """Current status per key out of a status event table."""
     return events.groupBy(key).agg(F.max_by(status, F.struct(*order)).alias(status), F.count(F.lit(1)).alias("n_events"))

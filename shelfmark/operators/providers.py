@@ -162,3 +162,9 @@ def describe(blocks: DataFrame, provider: Describer | None = None) -> DataFrame:
         .when(F.col("status") == "partial_failed", failed_formula)
         .alias("enriched_text"),
     )
+
+
+def with_enrichment(blocks: DataFrame, described: DataFrame) -> DataFrame:
+    """Blocks with ``enrichment`` (status, enriched_text), empty where no stage described them."""
+    told = described.select("doc_id", "block_id", F.struct("status", "enriched_text").alias("enrichment"))
+    return blocks.join(told, ["doc_id", "block_id"], "left")

@@ -109,3 +109,14 @@ def min_max(hits: DataFrame, score: str = "score") -> DataFrame:
         F.when(F.col("_hi") > F.col("_lo"), (F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
         .otherwise(1.0),
     ).drop("_lo", "_hi")
+
+
+def with_documents(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """Hits with ``filename`` and ``source_format`` of their documents; empty where a document is not registered."""
+    return hits.join(docs.select("doc_id", "filename", "source_format"), "doc_id", "left")
+
+
+def documents_of(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, filename, source_format): the registered documents of each query's hits, each once."""
+    found = hits.where(F.col("doc_id").isNotNull()).select("query_id", "doc_id").distinct()
+    return found.join(docs.select("doc_id", "filename", "source_format"), "doc_id").select("query_id", "doc_id", "filename", "source_format")

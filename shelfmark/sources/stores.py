@@ -1,85 +1,125 @@
-"""Writing and reading the tables of a knowledge base."""
+"""Writing and reading the tables of a knowledge base.
+
+A store is a folder of versions. A batch writes the rows of its documents, and the keys of the
+documents that it replaces or removes, into folders of its own; one appended row in ``log`` then
+makes all tables of the batch visible together. A batch costs what it holds, a reader sees whole
+versions only, and a job that dies leaves nothing visible. Rows of documents that a later version
+names are passed over when they are read; ``compact`` writes the live rows as one version.
+A store has one writer at a time.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator, Mapping
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.utils import AnalysisException
 
 from shelfmark.functions import text
 from shelfmark.operators.catalog import replace_documents
 from shelfmark.operators.scan import joined_text
-from shelfmark.session import cut
-
-BUCKETS = 64
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-def with_bucket(df: DataFrame, key: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int"))
-
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+LOG = "version long, folder string, tables array<string>, base boolean"
+ROWS = "rows"
 
 
-def replace_in_store(
-    df: DataFrame, path: str, key: str = "doc_id", buckets: int = BUCKETS, gone: DataFrame | None = None
-) -> None:
-    """Replace the rows of the documents in ``df``; only their buckets are rewritten.
+def versions(spark: SparkSession, path: str) -> list[Row]:
+    """The committed versions that readers need, oldest first: those since the last compaction.
 
-    ``gone(key)`` names documents that leave without new rows. Rows are a
-    function of their document, so writing the same batch twice changes nothing.
+    The list has a row a batch; compaction keeps it short.
     """
-    spark = df.sparkSession
-    new, emptied = cut(with_bucket(df, key, buckets)), []
-    if _exists(spark, path):
-        keys = new.select(key, "bucket").distinct()
-        if gone is not None:
-            keys = keys.unionByName(with_bucket(gone.select(key), key, buckets)).distinct()
-        touched = keys.select("bucket").distinct()
-        # The bucket list is at most ``buckets`` long; it becomes a partition filter.
-        wanted = [r[0] for r in touched.collect()]
-        old = spark.read.parquet(path).where(F.col("bucket").isin(wanted))
-        kept = old.join(keys.select(key), key, "left_anti")
-        merged = cut(kept.unionByName(new, allowMissingColumns=True))
-        filled = {r[0] for r in merged.select("bucket").distinct().collect()}
-        new, emptied = merged, [b for b in wanted if b not in filled]
-    (
-        new.hint("rebalance", "bucket").write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    )
-    for bucket in emptied:  # an overwrite by partition leaves partitions without new rows alone
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def write_ir(tables: dict[str, DataFrame], root: str, partition: str | None = None) -> None:
-    """Blocks, sections, pages and documents as one Parquet table each."""
+    try:
+        log = sorted(spark.read.schema(LOG).parquet(f"{path}/log").collect(), key=lambda r: r.version)
+    except AnalysisException:  # nothing was written yet
+        return []
+    last = max((i for i, r in enumerate(log) if r.base), default=0)
+    return log[last:]
+
+
+def commit(
+    spark: SparkSession, path: str, tables: Mapping[str, DataFrame], key: str = "doc_id", gone: DataFrame | None = None, base: bool = False,
+) -> int:
+    """Write the rows of ``tables`` as one version and make them visible together; returns the version.
+
+    Every document in any of them replaces its rows in all of them. ``gone(key)`` names documents that
+    leave without new rows. Null keys count as one document. Rows are a function of their document, so the same
+    batch twice changes nothing. ``base`` leaves all earlier versions behind.
+    """
+    known = versions(spark, path)
+    version = known[-1].version + 1 if known else 1
+    folder = f"v{version}-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition) if partition else writer).parquet(f"{root}/{name}")
+        df.withColumn("_version", F.lit(version)).hint("rebalance").write.parquet(f"{path}/{folder}/{name}")
+    if known and not base:  # the first version replaces nothing
+        keys = [spark.read.parquet(f"{path}/{folder}/{name}").select(key) for name in tables]
+        keys += [gone.select(key)] if gone is not None else []
+        every = keys[0]
+        for more in keys[1:]:
+            every = every.unionByName(more)
+        every.distinct().withColumn("_last", F.lit(version)).write.parquet(f"{path}/{folder}/_replaced")
+    row = [(version, folder, list(tables), base)]
+    spark.createDataFrame(row, LOG).coalesce(1).write.mode("append").parquet(f"{path}/log")
+    return version
+
+
+def read_store(spark: SparkSession, path: str, name: str = ROWS, key: str = "doc_id") -> DataFrame:
+    """The live rows of one table as of now; later versions do not change what was returned."""
+    known = versions(spark, path)
+    parts = [f"{path}/{v.folder}/{name}" for v in known if name in v.tables]
+    if not parts:
+        raise FileNotFoundError(f"no committed version of {name} below {path}")
+    rows = spark.read.option("mergeSchema", "true").parquet(*parts)
+    later = [f"{path}/{v.folder}/_replaced" for v in known[1:]]
+    if later:
+        # Only what later batches name is joined, not the keys of the whole store.
+        last = spark.read.parquet(*later).groupBy(F.col(key).alias("_key")).agg(F.max("_last").alias("_last"))
+        rows = rows.join(last, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_version") < F.col("_last")), "left_anti")
+    return rows.drop("_version")
+
+
+def compact(spark: SparkSession, path: str, key: str = "doc_id") -> int:
+    """The live rows of all tables as one version, from which readers start."""
+    names = {name for v in versions(spark, path) for name in v.tables}
+    return commit(spark, path, {name: read_store(spark, path, name, key) for name in sorted(names)}, key, base=True)
+
+
+def replace_in_store(df: DataFrame, path: str, key: str = "doc_id", gone: DataFrame | None = None) -> None:
+    """Replace the rows of the documents in ``df`` in a store of one table."""
+    commit(df.sparkSession, path, {ROWS: df}, key, gone)
+
+
+def write_ir(tables: Mapping[str, DataFrame], root: str) -> int:
+    """Blocks, sections, pages and documents of a batch, visible together."""
+    return commit(next(iter(tables.values())).sparkSession, root, tables)
 
 
 def read_ir(spark: SparkSession, basic: str, enriched: str, table: str = "blocks") -> DataFrame:
     """Enriched rows where a document has them, else the basic ones."""
-    plain = spark.read.parquet(f"{basic}/{table}")
-    if not _exists(spark, f"{enriched}/{table}"):
+    plain = read_store(spark, basic, table)
+    if not any(table in v.tables for v in versions(spark, enriched)):
         return plain
-    return replace_documents(plain, spark.read.parquet(f"{enriched}/{table}"))
+    return replace_documents(plain, read_store(spark, enriched, table))
 
 
-def write_chunks(parents: DataFrame, children: DataFrame, root: str) -> None:
-    parents.write.mode("overwrite").json(f"{root}/parent_chunks")
-    children.write.mode("overwrite").json(f"{root}/child_chunks")
+def write_chunks(parents: DataFrame, children: DataFrame, root: str) -> int:
+    """Parent and child chunks as lines of JSON in a column ``value``, visible together."""
+    line = lambda df: df.select("doc_id", F.to_json(F.struct(*df.columns)).alias("value"))
+    return commit(parents.sparkSession, root, {"parent_chunks": line(parents), "child_chunks": line(children)})
 
 
-def read_chunks(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Chunk lines; blank and malformed ones are skipped."""
-    return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
+def read_chunks(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """Chunks of one kind (``schema`` as DDL); blank and malformed lines are skipped."""
+    return parsed_lines(read_store(spark, root, name).select("value"), schema)
+
+
+def parsed_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """Lines of JSON (``value``) as rows; blank and malformed ones, and those that are no objects, are skipped."""
+    read = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.where(F.trim("value").startswith("{")).select(read.alias("r")).where("r._bad IS NULL")
+    return rows.select("r.*").drop("_bad")
 
 
 def index_rows(children: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -128,6 +168,73 @@ def note_files(notes: DataFrame) -> DataFrame:
     )
 
 
+class NoteWriter(DataSourceWriter):
+    """Files of the names that the rows give, below one folder. A task writes under names of its own; the job's end renames them."""
+
+    def __init__(self, options: Mapping[str, str], overwrite: bool) -> None:
+        self.root, self.attempt = options["path"], uuid.uuid4().hex
+
+    def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
+        import posixpath
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), self.root)
+        written = []
+        try:
+            for row in rows:
+                path = f"{root}/{row['path']}"
+                if any(part in ("", ".", "..") for part in row["path"].split("/")):
+                    raise ValueError(f"not a path below the folder: {row['path']!r}")
+                store.create_dir(posixpath.dirname(path), recursive=True)
+                made = f"{posixpath.dirname(path)}/.{posixpath.basename(path)}.{uuid.uuid4().hex}"
+                written.append((made, path))
+                with store.open_output_stream(made) as out:
+                    out.write((row["content"] or "").encode())
+        except Exception:
+            for made, _ in written:
+                if store.get_file_info(made).type != fs.FileType.NotFound:
+                    store.delete_file(made)
+            raise
+        return Written(written)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        self.each(messages, lambda store, made, path: store.move(made, path))
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self.each(messages, lambda store, made, path: store.delete_file(made))
+
+    def each(self, messages: list[WriterCommitMessage | None], act) -> None:
+        from pyarrow import fs
+
+        store = fs.FileSystem.from_uri(self.root)[0] if "://" in self.root else fs.LocalFileSystem()
+        for message in messages:
+            for made, path in message.files if message is not None else ():
+                act(store, made, path)
+
+
+class Written(WriterCommitMessage):
+    def __init__(self, files: list[tuple[str, str]]) -> None:
+        self.files = files
+
+
+class NoteFiles(DataSource):
+    """``df.write.format("note_files").save(folder)`` for rows of (path, content)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "note_files"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return NoteWriter(self.options, overwrite)
+
+
 def write_notes(files: DataFrame, root: str) -> None:
-    """Notes as text below one folder per path."""
-    files.select(F.col("content").alias("value"), "path").write.mode("overwrite").partitionBy("path").text(root)
+    """One file a note, under the name its ``path`` gives below ``root``; a note of the same path replaces it.
+
+    Files appear when all tasks are done; a job that fails leaves none. Each path is written once: of
+    rows with the same path the one with the greatest content stays.
+    """
+    files.sparkSession.dataSource.register(NoteFiles)
+    once = files.groupBy("path").agg(F.max("content").alias("content"))
+    once.write.format("note_files").mode("append").save(root)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,7 +23,7 @@ def register_batch(files: DataFrame, table: str) -> None:
         catalog.source_format(F.col("relative_path")).alias("source_format"),
         catalog.folder_category(F.col("relative_path")).alias("folder_category"),
     )
-    if stores._exists(files.sparkSession, table):
+    if stores.versions(files.sparkSession, table):
         known = stores.read_store(files.sparkSession, table).select("path")
         rows = rows.join(known, "path", "left_anti")
     stores.replace_in_store(rows, table)
@@ -29,10 +31,11 @@ def register_batch(files: DataFrame, table: str) -> None:
 
 def register_files(spark: SparkSession, root: str, table: str, checkpoint: str) -> StreamingQuery:
     """Files below ``root`` as a stream of registrations."""
+    mark = re.sub("^[a-z0-9]+:/*", "/", root.rstrip("/")) + "/"
     found = (
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").load(root)
         .select("path", F.col("length").alias("size"))
-        .withColumn("relative_path", F.element_at(F.split("path", root.rstrip("/") + "/", 2), -1))
+        .withColumn("relative_path", F.substring("path", F.locate(mark, "path") + len(mark), F.length("path")))
     )
     return (
         found.writeStream.foreachBatch(lambda df, _: register_batch(df, table))

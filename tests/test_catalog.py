@@ -51,12 +51,12 @@ def test_text_documents(spark, tmp_path):
 def test_store_replaces_and_replays(spark, tmp_path):
     path = str(tmp_path / "store")
     rows = lambda data: spark.createDataFrame(data, "doc_id int, piece string")
-    stores.replace_in_store(rows([(1, "a"), (1, "b"), (2, "c")]), path, buckets=4)
+    stores.replace_in_store(rows([(1, "a"), (1, "b"), (2, "c")]), path)
     for _ in range(2):
-        stores.replace_in_store(rows([(1, "x")]), path, buckets=4)
+        stores.replace_in_store(rows([(1, "x")]), path)
     read = lambda: sorted((r.doc_id, r.piece) for r in stores.read_store(spark, path).collect())
     assert read() == [(1, "x"), (2, "c")]
-    stores.replace_in_store(rows([]), path, buckets=4, gone=spark.createDataFrame([(2,)], "doc_id int"))
+    stores.replace_in_store(rows([]), path, gone=spark.createDataFrame([(2,)], "doc_id int"))
     assert read() == [(1, "x")]
 
 
