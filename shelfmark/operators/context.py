@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
 from shelfmark.functions.numbers import digits
+from shelfmark.operators.model_stage import Model, asked
 from shelfmark.operators.scan import joined_text, running
+from shelfmark.session import cut
 
 CONTEXT_CAP = 2800
 CITATION = 300
@@ -160,3 +164,66 @@ def second_round(first: DataFrame, found: DataFrame) -> DataFrame:
     """Append what a second round of queries found and the first had not."""
     fresh = merge_queries(found).join(first.select("task_id", "chunk_id"), ["task_id", "chunk_id"], "left_anti")
     return first.withColumn("round", F.lit(1)).unionByName(fresh.withColumn("round", F.lit(2)))
+
+
+def judge_prompts(found: DataFrame, chunks: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(task_id, prompt): the task and the texts of its chunks, numbered in order of appearance.
+
+    A task has as many chunks as its queries and their limits allow, so its texts fit in one row.
+    """
+    order = Window.partitionBy("task_id").orderBy("round", "query_no", "rank", "chunk_id")
+    numbered = found.withColumn("_no", F.row_number().over(order)).select("task_id", "chunk_id", "_no")
+    texts = chunks.select("chunk_id", F.col("embedding_text").alias("_text"))
+    piece = F.struct("_no", F.concat(F.lit("[来源"), F.col("_no").cast("string"), F.lit("]\n"), "_text").alias("_piece"))
+    joined = texts.join(numbered, "chunk_id").groupBy("task_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda s: s["_piece"]), "\n---\n").alias("_sources")
+    )
+    return joined.join(tasks.select("task_id", "task"), "task_id").select("task_id", F.concat_ws("\n", "task", "_sources").alias("prompt"))
+
+
+def new_queries(told: DataFrame) -> DataFrame:
+    """(task_id, query_no, text) that judges asked for; tasks they call complete, and unreadable answers, give none."""
+    read = F.from_json(
+        text.strip_code_fence(F.col("answer")), "status string, new_queries array<struct<query:string,keywords:array<string>>>"
+    )
+    open_tasks = told.where(F.col("status") == "ok").select("task_id", read.alias("r")).where("r.status <> 'complete'")
+    rows = open_tasks.select("task_id", F.posexplode_outer("r.new_queries").alias("query_no", "q")).where("q IS NOT NULL")
+    body = text.strip(F.concat_ws(" ", F.array_join(F.coalesce("q.keywords", F.array().cast("array<string>")), " "), "q.query"))
+    return rows.select("task_id", "query_no", body.alias("text")).where(F.col("text") != "")
+
+
+def gather_rounds(
+    queries: DataFrame, tasks: DataFrame, chunks: DataFrame, search: Callable[[DataFrame, int], DataFrame], judge: Model,
+    first_k: int = 5, more_k: int = 10, rounds: int = 2,
+) -> tuple[DataFrame, DataFrame]:
+    """Rounds of search until a judge calls a task complete.
+
+    ``queries(task_id, query_no, text)`` are those of round 1 and ``tasks(task_id, task)`` what the judge is told;
+    ``search(queries(query_id, text), k)`` gives hits. After each round but the last the judge sees the
+    chunks of every task that is still open and names further queries, whose unseen chunks are
+    added. A task is closed by the verdict "complete", by a verdict without queries, by a judge that
+    fails, and by a round that adds nothing. Returns the chunks (task_id, chunk_id, query_no, rank, round) and, for
+    every judged round, (task_id, round, status, n_queries, n_added).
+    """
+    def hits(asking: DataFrame, k: int, n: int) -> DataFrame:
+        numbered = asking.withColumn("query_id", F.concat_ws("/", "task_id", "query_no"))
+        found = search(numbered.select("query_id", "text"), k).select("query_id", "chunk_id", "rank", "score")
+        named = numbered.select("query_id", "task_id", "query_no")
+        return merge_queries(found.join(named, "query_id")).select("task_id", "chunk_id", "query_no", "rank", F.lit(n).alias("round"))
+
+    all_found = cut(hits(queries, first_k, 1))
+    open_tasks, log = tasks.select("task_id", "task"), None
+    for n in range(2, rounds + 1):
+        prompts = judge_prompts(all_found, chunks, open_tasks)
+        told = cut(asked(prompts, F.lit("judge"), F.col("prompt"), judge).select("task_id", "answer", "status"))
+        asking = cut(new_queries(told))
+        fresh = cut(hits(asking, more_k, n).join(all_found.select("task_id", "chunk_id"), ["task_id", "chunk_id"], "left_anti"))
+        count = lambda df, name: df.groupBy("task_id").agg(F.count(F.lit(1)).alias(name))
+        step = told.select("task_id", F.lit(n - 1).alias("round"), "status").join(count(asking, "n_queries"), "task_id", "left")
+        step = step.join(count(fresh, "n_added"), "task_id", "left").na.fill(0, ["n_queries", "n_added"])
+        log = step if log is None else log.unionByName(step)
+        all_found = all_found.unionByName(fresh)
+        open_tasks = open_tasks.join(fresh.select("task_id").distinct(), "task_id", "left_semi")
+    if log is None:
+        log = tasks.sparkSession.createDataFrame([], "task_id string, round int, status string, n_queries long, n_added long")
+    return all_found, log

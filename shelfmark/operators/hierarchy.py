@@ -44,11 +44,12 @@ def heuristic_level(title: Column) -> Column:
     )
 
 
-def assign_levels(blocks: DataFrame, provider_levels: DataFrame | None = None) -> DataFrame:
+def assign_levels(blocks: DataFrame, provider_levels: DataFrame | None = None, max_titles: int = MAX_TITLES) -> DataFrame:
     """Write heading levels back to ``metadata.title_level``.
 
     ``provider_levels(doc_id, i, level)`` numbers the non-blank titles of a
-    document from 0. Documents with at most one such title stay as they are.
+    document from 0. Documents with at most one such title stay as they are. Given levels of
+    documents with more than ``max_titles`` titles are not used; ``generation.title_levels`` counts them.
     """
     titled = (F.col("type") == "title") & ~text.blank(F.col("text"))
     numbered = running(
@@ -61,7 +62,7 @@ def assign_levels(blocks: DataFrame, provider_levels: DataFrame | None = None) -
         levels = (
             provider_levels.where(F.col("level").isNotNull())
             .join(totals, "doc_id")
-            .where((F.col("i") >= 0) & (F.col("i") < F.col("_n")) & (F.col("_n") <= MAX_TITLES))
+            .where((F.col("i") >= 0) & (F.col("i") < F.col("_n")) & (F.col("_n") <= max_titles))
             .groupBy("doc_id", "i", "_n")
             .agg(F.max(F.least(F.greatest("level", F.lit(1)), F.lit(MAX_LEVEL))).alias("_level"))
         )

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
+from shelfmark.operators.model_stage import BATCH, asked
+from shelfmark.session import cut
 
 # Batch and input sizes of the stages.
 EMBED_BATCH = 10
@@ -93,13 +95,26 @@ class EchoDescriber:
         return f"[功能说明]: {note}\n[核心代码]: {content[:60]}" if kind == "code" else note
 
 
-def describe(blocks: DataFrame, provider: Describer | None = None) -> DataFrame:
+class OneByOne:
+    """A describer of single blocks as a model of the stage; one that has ``answer`` is taken as it is."""
+
+    def __init__(self, provider: Describer) -> None:
+        self.provider = provider
+
+    def answer(self, kind: str, texts: list[str]) -> list[str]:
+        many = getattr(self.provider, "answer", None)
+        return many(kind, texts) if many else [self.provider.describe(kind, t) for t in texts]
+
+
+def describe(blocks: DataFrame, provider: Describer | None = None, batch: int | None = None, keep: str | None = None) -> DataFrame:
     """(doc_id, block_id, status, enriched_text) for image, table, code and formula blocks.
 
     Only images whose asset is a plain image are described, not charts. A failed
-    call gives ``partial_failed``, a block without input ``skipped``.
+    call gives ``partial_failed``, a block without input ``skipped``. Equal inputs are
+    described once; a provider with ``answer(kind, texts)`` gets them in batches.
     """
     model = provider or EchoDescriber()
+    batch = batch or (BATCH if hasattr(model, "answer") else 1)
     kind, body = F.col("type"), F.col("text")
     image = F.try_element_at(
         F.filter("assets", lambda a: (a["asset_type"] == "image") & (F.coalesce(a["path"], F.lit("")) != "")),
@@ -116,25 +131,8 @@ def describe(blocks: DataFrame, provider: Describer | None = None) -> DataFrame:
         kind.isin("image", "table") | (kind.isin("code", "equation") & ~text.blank(body))
     ).select("doc_id", "block_id", "type", "text", ask.alias("ask"))
 
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            answers, states = [], []
-            for block_kind, content in zip(pdf["type"], pdf["ask"]):
-                if content is None:
-                    answers.append(None)
-                    states.append("skipped")
-                    continue
-                try:
-                    answers.append(model.describe(block_kind, content))
-                    states.append("ok")
-                except Exception:  # the row is marked, the job goes on
-                    answers.append(None)
-                    states.append("partial_failed")
-            yield pdf.assign(answer=answers, status=states)
-
-    schema = "doc_id {}, block_id string, type string, text string, ask string, answer string, status string"
-    doc_type = blocks.schema["doc_id"].dataType.simpleString()
-    answered = wanted.mapInPandas(call, schema.format(doc_type))
+    # The rows are written once: they are reduced to distinct inputs and joined to the answers.
+    answered = asked(cut(wanted), F.col("type"), F.col("ask"), OneByOne(model), batch=batch, keep=keep)
     note = text.labelled_note(F.col("answer"), text.strip(F.col("text")))
     filled = lambda label, c: F.when(c != "", F.concat(F.lit(f"[{label}]: "), c))
     nonempty = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
