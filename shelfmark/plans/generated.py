@@ -16,6 +16,7 @@ from shelfmark.plans import search, structure
 from shelfmark.plans import sql as S
 from shelfmark.plans.registry import query
 from shelfmark.session import cut, table
+from shelfmark.sources import search_index
 
 
 class Unsteady(generation.OfflineModel):
@@ -140,11 +141,10 @@ r2 AS (SELECT query_id AS task_id, chunk_id, rank FROM fus2 WHERE (query_id, chu
 
 def _gathered(spark, sf):
     ix = search.index(spark, sf)
-    vectors = search.embedded(ix)[1]
 
     def find(asking, k):
         told = providers.embed(asking, "text", text_type="query").select("query_id", "embedding")
-        return R.hybrid_search(asking, ix.toks, told, vectors, k)
+        return search_index.hybrid_hits(ix.stored, asking, told, k)
 
     task = F.floor(F.col("query_id") / 5)
     queries = cut(ix.queries.select(task.alias("task_id"), (F.col("query_id") % 5).alias("query_no"), "text"))

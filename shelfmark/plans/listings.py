@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.operators import catalog, trace
-from shelfmark.operators import retrieval as R
 from shelfmark.plans import corpora as C
 from shelfmark.plans import records, search
 from shelfmark.plans import sql as S
 from shelfmark.plans.registry import query
 from shelfmark.session import table
+from shelfmark.sources import search_index
 
 
 def _named(spark, sf):
@@ -81,7 +81,7 @@ FROM kw JOIN chunks c USING (chunk_id) LEFT JOIN nd USING (doc_id)
 def hit_documents(spark, sf):
     """Keyword hits with file name and format of their documents; some documents are not registered."""
     ix = search.index(spark, sf)
-    found = search.with_docs(R.keyword_search(ix.queries, ix.toks), ix)
+    found = search.with_docs(search_index.keyword_hits(ix.stored, ix.queries), ix)
     named = trace.with_documents(found, _named(spark, sf).where(F.col("doc_id") % 10 != 0))
     return named.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "doc_id", "filename", "source_format")
 
@@ -93,4 +93,4 @@ SELECT DISTINCT query_id, c.doc_id, filename, source_format FROM kw JOIN chunks
 def hit_document_list(spark, sf):
     """The documents that a query's hits come from, each once."""
     ix = search.index(spark, sf)
-    return trace.documents_of(search.with_docs(R.keyword_search(ix.queries, ix.toks), ix), _named(spark, sf))
+    return trace.documents_of(search.with_docs(search_index.keyword_hits(ix.stored, ix.queries), ix), _named(spark, sf))

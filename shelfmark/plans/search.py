@@ -37,18 +37,25 @@ class Index:
         return self.stored.toks
 
 
-#: Index folders of this application by tables folder: built by the first search, read by all.
-_FOLDERS: dict[tuple[str, str], str] = {}
+#: Index folders of this application by what they were built from: built by the first search, read by all.
+_BUILT: dict[tuple, str] = {}
+
+
+def built_from(spark: SparkSession, sf: str) -> tuple:
+    """What an index of ``documents`` depends on: its files, when they were last written, and their rows."""
+    docs = table(spark, sf, "documents")
+    state = docs.agg(F.max("_metadata.file_modification_time"), F.count(F.lit(1))).first()
+    return (spark.conf.get("spark.app.id"), sf, hash(tuple(sorted(docs.inputFiles()))), *state)
 
 
 def index(spark: SparkSession, sf: str) -> Index:
-    """The search index of ``documents``, written once an application."""
-    key = (spark.conf.get("spark.app.id"), sf)
-    if key not in _FOLDERS:
+    """The search index of ``documents``, written once an application and anew when the table changes."""
+    key = built_from(spark, sf)
+    if key not in _BUILT:
         root = f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}"
         search_index.add_batch(C.text_chunks(spark, sf), table(spark, sf, "documents"), root)
-        _FOLDERS[key] = root
-    return Index(search_index.opened(spark, _FOLDERS[key]), C.queries(spark, sf))
+        _BUILT[key] = root
+    return Index(search_index.opened(spark, _BUILT[key]), C.queries(spark, sf))
 
 
 def embedded(ix: Index) -> tuple[DataFrame, DataFrame]:
@@ -135,7 +142,7 @@ WITH {S.CHUNKS}, {S.QUERY}, {S.keyword('or')} SELECT query_id, chunk_id, rank, s
 """)
 def bm25_topk(spark, sf):
     ix = index(spark, sf)
-    return hits(R.keyword_search(ix.queries, ix.toks, mode="or"))
+    return hits(search_index.keyword_hits(ix.stored, ix.queries, mode="or"))
 
 
 def updated_index(spark: SparkSession, sf: str) -> search_index.SearchIndex:
@@ -185,7 +192,7 @@ WITH {S.CHUNKS}, {S.QUERY}, {S.keyword('and')} SELECT query_id, chunk_id, rank,
 """)
 def bm25_and_topk(spark, sf):
     ix = index(spark, sf)
-    return hits(R.keyword_search(ix.queries, ix.toks, mode="and"))
+    return hits(search_index.keyword_hits(ix.stored, ix.queries, mode="and"))
 
 
 _READY = """
@@ -202,7 +209,7 @@ WITH {S.CHUNKS}, {S.QUERY}, {_READY}, {S.keyword('or', where=_IN_SCOPE)} SELECT
 def kb_scoped_bm25(spark, sf):
     ix = index(spark, sf)
     scope = R.scoped_documents(C.registered(spark, sf))
-    return hits(R.keyword_search(ix.queries, ix.toks, mode="or", scope=scope))
+    return hits(search_index.keyword_hits(ix.stored, ix.queries, mode="or", scope=scope))
 
 
 @query("kb_scope", f"""
@@ -264,7 +271,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 """)
 def phrase_topk(spark, sf):
     ix = index(spark, sf)
-    return hits(R.phrase_search(ix.queries, ix.toks))
+    return hits(search_index.phrase_search(ix.stored, ix.queries))
 
 
 # ---- fusion, rerank, traces --------------------------------------------------------------------
@@ -285,7 +292,7 @@ def recall(spark: SparkSession, sf: str, mode: str = "or") -> Found:
     """Both legs and their fusion; the short hit lists are kept for the steps that follow."""
     ix = index(spark, sf)
     vec = cut(R.vector_search(*embedded(ix)))
-    kw = cut(R.keyword_search(ix.queries, ix.toks, mode=mode))
+    kw = cut(search_index.keyword_hits(ix.stored, ix.queries, mode=mode))
     return Found(ix, vec, kw, cut(R.fuse(vec, kw)))
 
 
@@ -305,8 +312,7 @@ def rrf_fusion(spark, sf):
 @query("hybrid_search", f"WITH {_LEGS_AND} SELECT query_id, chunk_id, vec_rank, kw_rank, rank, round(score, 9) AS score FROM fus")
 def hybrid_search(spark, sf):
     ix = index(spark, sf)
-    asked, vecs = embedded(ix)
-    return _fusion_rows(R.hybrid_search(ix.queries, ix.toks, asked, vecs))
+    return _fusion_rows(search_index.hybrid_hits(ix.stored, ix.queries, embedded(ix)[0]))
 
 
 @query("rerank_delta", f"""
@@ -356,7 +362,7 @@ def planned(spark: SparkSession, sf: str) -> tuple[Found, DataFrame]:
     asked = providers.embed(plans.select("query_id", "kb_id", "semantic_query"), "semantic_query", text_type="query")
     vecs = providers.embed(ix.chunks.select("chunk_id", "doc_id", "embedding_text"), "embedding_text")
     vec = cut(R.vector_search(asked, vecs))
-    kw = cut(R.keyword_search(words, ix.toks, mode="or"))
+    kw = cut(search_index.keyword_hits(ix.stored, words, mode="or"))
     return Found(ix, vec, kw, cut(R.fuse(vec, kw))), plans
 
 
@@ -486,7 +492,7 @@ FROM kw JOIN chunks USING (chunk_id)
 """)
 def citations(spark, sf):
     ix = index(spark, sf)
-    found = R.keyword_search(ix.queries, ix.toks, mode="or")
+    found = search_index.keyword_hits(ix.stored, ix.queries, mode="or")
     srcs = context.sources(found, ix.chunks, C.text_parents(spark, sf))
     return context.citations(srcs).select(
         "query_id", F.col("index").cast("long").alias("index"), "chunk_id", "parent_chunk_id", "doc_id", "retrieval_text", "score"
@@ -500,7 +506,7 @@ FROM kw JOIN chunks c USING (chunk_id) JOIN tsecs d ON d.doc_id = c.doc_id GROUP
 """)
 def prompt_sources(spark, sf):
     ix = index(spark, sf)
-    found = R.keyword_search(ix.queries, ix.toks, 5, mode="or")
+    found = search_index.keyword_hits(ix.stored, ix.queries, 5, mode="or")
     return context.prompt_blocks(context.sources(found, ix.chunks, C.text_parents(spark, sf)))
 
 
@@ -554,7 +560,7 @@ SELECT task_id, chunk_id, spot.query_no AS query_no, spot.rank AS rank FROM r1
 """)
 def multi_query_gather(spark, sf):
     ix = index(spark, sf)
-    found = R.keyword_search(ix.queries, ix.toks, 5, mode="or")
+    found = search_index.keyword_hits(ix.stored, ix.queries, 5, mode="or")
     return context.merge_queries(_round(found)).select("task_id", "chunk_id", "query_no", "rank")
 
 
@@ -570,10 +576,10 @@ UNION ALL SELECT task_id, chunk_id, spot.query_no, spot.rank, 2 FROM r2
 """)
 def two_round_gather(spark, sf):
     ix = index(spark, sf)
-    found = cut(R.keyword_search(ix.queries, ix.toks, 5, mode="or"))
+    found = cut(search_index.keyword_hits(ix.stored, ix.queries, 5, mode="or"))
     # The offline judge asks again with the best hit of every query.
     again = found.where(F.col("rank") == 0).join(ix.chunks.select("chunk_id", F.col("embedding_text").alias("text")), "chunk_id")
-    more = R.keyword_search(again.select("query_id", "text"), ix.toks, 10, mode="or")
+    more = search_index.keyword_hits(ix.stored, again.select("query_id", "text"), 10, mode="or")
     both = context.second_round(context.merge_queries(_round(found)), _round(more))
     return both.select("task_id", "chunk_id", "query_no", "rank", "round")
 
@@ -603,7 +609,7 @@ SELECT query_id, rank, chunk_id, doc_id, rel FROM fl
 """)
 def relevance_flags(spark, sf):
     ix = index(spark, sf)
-    found = with_docs(R.keyword_search(ix.queries, ix.toks, mode="or"), ix)
+    found = with_docs(search_index.keyword_hits(ix.stored, ix.queries, mode="or"), ix)
     return evaluation.relevance(found, gold(ix, spark, sf)).select(
         "query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "doc_id", "rel"
     )
@@ -617,7 +623,7 @@ SELECT count(*) AS n_queries, {S.averages()} FROM m
 def eval_metrics(spark, sf):
     ix = index(spark, sf)
     labels = cut(gold(ix, spark, sf))
-    found = with_docs(R.keyword_search(ix.queries, ix.toks, mode="or"), ix)
+    found = with_docs(search_index.keyword_hits(ix.stored, ix.queries, mode="or"), ix)
     counts = evaluation.relevant_counts(ix.queries, labels)
     return evaluation.macro(evaluation.query_metrics(evaluation.relevance(found, labels), counts))
 
@@ -668,9 +674,9 @@ def tokenizer_ablation(spark, sf):
     raw = ix.chunks.select("chunk_id", F.array(F.lower("embedding_text")).alias("toks"))
     unsplit = ix.toks.drop("toks").join(raw, "chunk_id").select(*ix.toks.columns)
     legs = {
-        "phrase": R.phrase_search(ix.queries, ix.toks, 10),
+        "phrase": search_index.phrase_search(ix.stored, ix.queries, 10),
         "raw": R.keyword_search(ix.queries, unsplit, 10, mode="or"),
-        "tokens": R.keyword_search(ix.queries, ix.toks, 10, mode="or"),
+        "tokens": search_index.keyword_hits(ix.stored, ix.queries, 10, mode="or"),
     }
     return _by_config(legs, ix, labels)
 
@@ -687,8 +693,8 @@ def config_comparison(spark, sf):
     ix = index(spark, sf)
     labels = cut(gold(ix, spark, sf))
     vec = cut(R.vector_search(*embedded(ix)))
-    kw_or = R.keyword_search(ix.queries, ix.toks, mode="or")
-    kw_and = R.keyword_search(ix.queries, ix.toks, mode="and")
+    kw_or = search_index.keyword_hits(ix.stored, ix.queries, mode="or")
+    kw_and = search_index.keyword_hits(ix.stored, ix.queries, mode="and")
     rrf = cut(R.fuse(vec, kw_and, 10))
     legs = {
         "bm25": kw_or.where(F.col("rank") < 10), "vector": vec.where(F.col("rank") < 10), "rrf": rrf,

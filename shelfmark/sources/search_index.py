@@ -1,35 +1,29 @@
-"""The stored search index: chunks with tokens, postings with positions, and vectors.
+"""The stored search index: chunks with tokens, postings with positions, lengths and vectors.
 
-An index is a folder of versions. A batch of documents writes the tables of a version of its
-own and is then committed by one appended row, so its cost follows the batch, a reader sees
-whole versions only, and a job that dies leaves nothing visible. The newest version that
-names a document holds it; older rows of it are passed over when they are read, and
-``compacted`` writes an index without them. Searches read the tables and write nothing.
+An index is a store of versions (``stores``): a batch of documents costs what it holds and becomes
+visible as a whole. A search first narrows the postings to the terms that are asked for and only then
+passes over rows of replaced documents; where nothing was replaced, nothing is joined. Corpus totals
+come from a table of one row a document. Searches read the tables and write nothing.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from shelfmark.functions import text
 from shelfmark.operators import postings as P
 from shelfmark.operators import providers
 from shelfmark.operators import retrieval as R
+from shelfmark.session import cut
+from shelfmark.sources import stores
 
-TABLES = ("documents", "chunks", "postings", "vectors")
 
-
-def commits(spark: SparkSession, root: str) -> DataFrame | None:
-    """(version, folder) of all committed batches; None before the first one."""
-    try:
-        return spark.read.parquet(f"{root}/commits")
-    except AnalysisException:
-        return None
+def by_term(posts: DataFrame) -> DataFrame:
+    """Files ordered by term: a search skips row groups whose range holds none of its terms."""
+    return posts.repartitionByRange("term", "chunk_id").sortWithinPartitions("term")
 
 
 def add_batch(
@@ -41,84 +35,110 @@ def add_batch(
     kept. ``documents`` (doc_id) names every document of the batch: one without chunks leaves
     the index. The same batch twice gives the same index.
     """
-    spark = chunks.sparkSession
-    before = commits(spark, root)
-    version = 1 + ((before.agg(F.max("version")).first()[0] or 0) if before is not None else 0)
-    folder = f"{root}/v{version}-{uuid.uuid4().hex}"
-    marked = documents.select("doc_id").distinct().withColumn("version", F.lit(version))
-    marked.write.parquet(f"{folder}/documents")
-    rows = chunks.withColumns({"chunk_id": F.col("child_chunk_id"), "version": F.lit(version)})
-    rows = rows.withColumn("toks", text.tokens(F.col("embedding_text"))).withColumn("doc_len", F.size("toks"))
-    rows.write.parquet(f"{folder}/chunks")
-    stored = spark.read.parquet(f"{folder}/chunks")
-    each = stored.select("doc_id", "chunk_id", "doc_len", "version", F.posexplode_outer("toks").alias("pos", "term")).where("term is not null")
-    posts = each.groupBy("term", "doc_id", "chunk_id", "doc_len", "version").agg(
+    rows = chunks.withColumn("chunk_id", F.col("child_chunk_id")).withColumn("toks", text.tokens(F.col("embedding_text")))
+    stored = cut(rows.withColumn("doc_len", F.size("toks")))
+    each = stored.select("doc_id", "chunk_id", "doc_len", F.posexplode_outer("toks").alias("pos", "term")).where("term is not null")
+    posts = each.groupBy("term", "doc_id", "chunk_id", "doc_len").agg(
         F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")
     )
-    # Files ordered by term: a search skips those whose range holds none of its terms.
-    posts.repartitionByRange("term", "chunk_id").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
-    vectors = providers.embed(stored.select("chunk_id", "doc_id", "version", "embedding_text"), "embedding_text", provider)
-    vectors.drop("embedding_text").write.parquet(f"{folder}/vectors")
-    spark.createDataFrame([(version, folder)], "version int, folder string").coalesce(1).write.mode("append").parquet(f"{root}/commits")
-    return version
+    lengths = stored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("doc_len").alias("n_tokens"))
+    vectors = providers.embed(stored.select("chunk_id", "doc_id", "embedding_text"), "embedding_text", provider)
+    tables = {"chunks": stored, "postings": by_term(posts), "lengths": lengths.hint("rebalance"), "vectors": vectors.drop("embedding_text")}
+    return stores.commit(chunks.sparkSession, root, tables, gone=documents)
 
 
 @dataclass
 class SearchIndex:
-    """Committed tables without the rows that newer versions replaced."""
+    """The committed tables of a folder without the rows that newer versions replaced."""
+
+    spark: SparkSession
+    root: str
+
+    def live(self, name: str, only=None) -> DataFrame:
+        return stores.read_store(self.spark, self.root, name, only=only)
 
-    chunks: DataFrame
-    postings: DataFrame
-    vectors: DataFrame
+    @property
+    def chunks(self) -> DataFrame:
+        return self.live("chunks")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.live("postings")
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.live("vectors")
 
     @property
     def toks(self) -> DataFrame:
         return self.chunks.select("chunk_id", "doc_id", "toks", "doc_len")
 
+    def postings_of(self, terms: DataFrame, *columns: str) -> DataFrame:
+        """Postings of some terms (``term``), narrowed before liveness is looked at."""
+        wanted = terms.select("term").distinct()
+        cols = dict.fromkeys(["term", "chunk_id", "doc_id", "tf", "doc_len", "_version", *columns])
+        return self.live("postings", lambda p: p.select(*cols).join(wanted, "term", "left_semi"))
+
+    def totals(self) -> DataFrame:
+        """One row: number of chunks and their average length, from one row a document."""
+        return self.live("lengths").agg(
+            F.sum("n_chunks").alias("n_chunks"), (F.sum("n_tokens") / F.sum("n_chunks")).alias("avg_len")
+        )
+
 
 def opened(spark: SparkSession, root: str) -> SearchIndex:
-    """The index as of now."""
-    listed = commits(spark, root)
-    # One row a batch; compaction keeps the list short.
-    folders = [r.folder for r in listed.orderBy("version").collect()]
-    read = lambda t: spark.read.parquet(*[f"{f}/{t}" for f in folders])
-    newest = read("documents").groupBy("doc_id").agg(F.max("version").alias("version"))
-    live = lambda t: read(t).join(newest, ["doc_id", "version"], "left_semi")
-    return SearchIndex(live("chunks"), live("postings"), live("vectors"))
-
-
-def compacted(spark: SparkSession, root: str, target: str) -> None:
-    """The live rows of an index as the single version of another folder."""
-    index, folder = opened(spark, root), f"{target}/v1-{uuid.uuid4().hex}"
-    one = lambda df: df.withColumn("version", F.lit(1))
-    one(index.chunks.select("doc_id").distinct()).write.parquet(f"{folder}/documents")
-    one(index.chunks).write.parquet(f"{folder}/chunks")
-    one(index.postings).repartitionByRange("term", "chunk_id").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
-    one(index.vectors).write.parquet(f"{folder}/vectors")
-    spark.createDataFrame([(1, folder)], "version int, folder string").coalesce(1).write.mode("append").parquet(f"{target}/commits")
-
-
-def keyword_hits(index: SearchIndex, queries: DataFrame, limit: int = R.LEG_LIMIT, mode: str = "and") -> DataFrame:
-    """Keyword leg from stored postings: only the postings of the queries' terms are shuffled."""
+    """The index below a folder, as of each reading."""
+    return SearchIndex(spark, root)
+
+
+def compact(spark: SparkSession, root: str) -> int:
+    """The live rows as one version, from which readers start."""
+    return stores.compact(spark, root, lay_out={"postings": by_term})
+
+
+def keyword_hits(
+    index: SearchIndex, queries: DataFrame, limit: int | None = R.LEG_LIMIT, mode: str = "and", *, scope: DataFrame | None = None
+) -> DataFrame:
+    """Keyword leg from stored postings: only the postings of the queries' terms are joined and shuffled."""
     terms = R.query_terms(queries)
-    asked = index.postings.join(terms.select("term").distinct(), "term", "left_semi").select("term", "chunk_id", "tf", "doc_len")
-    stats = P.term_statistics(asked, P.corpus_totals(index.chunks))
-    return R.top(R.keyword_scores(terms, asked, stats, mode), limit, R.by_score())
+    asked = index.postings_of(terms)
+    stats = P.term_statistics(asked, index.totals())
+    found = R.keyword_scores(terms, asked.select("term", "chunk_id", "tf", "doc_len"), stats, mode)
+    if scope is not None:
+        found = R.scope_hits(found, asked.select("chunk_id", "doc_id").distinct(), scope, queries)
+    return found if limit is None else R.top(found, limit, R.by_score())
 
 
 def phrase_hits(index: SearchIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, tf): chunks that hold all tokens of a query side by side, by intersecting positions."""
+    """(query_id, chunk_id, doc_len, tf): chunks that hold all tokens of a query side by side.
+
+    The rarest token of a query finds the candidates; only their positions are intersected.
+    """
     toks = queries.select("query_id", text.tokens(F.col("text")).alias("t"))
     terms = toks.select("query_id", F.size("t").alias("n"), F.posexplode_outer("t").alias("at", "term")).where("term is not null")
-    starts = index.postings.select("term", "chunk_id", "positions").join(terms, "term").select(
-        "query_id", "chunk_id", "n", "at", F.transform("positions", lambda p: p - F.col("at")).alias("s")
-    )
-    both = starts.select("query_id", "chunk_id", "n", F.explode("s").alias("start")).groupBy("query_id", "chunk_id", "start", "n").agg(
-        F.count("*").alias("hit")
-    )
-    return both.where("hit = n").groupBy("query_id", "chunk_id").agg(F.count("*").alias("tf"))
+    posts = index.postings_of(terms, "positions")
+    counted = terms.select("query_id", "term").distinct().join(P.document_frequency(posts), "term", "left")
+    anchor = counted.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    candidates = posts.select("term", "chunk_id").join(anchor, "term").select("query_id", "chunk_id")
+    pairs = posts.select("term", "chunk_id", "doc_len", "positions").join(terms, "term").join(candidates, ["query_id", "chunk_id"], "left_semi")
+    starts = pairs.select("query_id", "chunk_id", "doc_len", "n", F.explode(F.transform("positions", lambda p: p - F.col("at"))).alias("start"))
+    both = starts.groupBy("query_id", "chunk_id", "doc_len", "start", "n").agg(F.count("*").alias("hit"))
+    return both.where("hit = n").groupBy("query_id", "chunk_id", "doc_len").agg(F.count("*").alias("tf"))
+
+
+def phrase_search(index: SearchIndex, queries: DataFrame, limit: int | None = R.LEG_LIMIT) -> DataFrame:
+    """Whole queries as runs of tokens, ranked by BM25 of the run."""
+    return R.ranked_runs(phrase_hits(index, queries), index.totals(), limit)
 
 
 def vector_hits(index: SearchIndex, queries: DataFrame, limit: int = R.LEG_LIMIT) -> DataFrame:
     """Vector leg from stored vectors; ``queries`` carries ``embedding``."""
     return R.vector_search(queries, index.vectors, limit)
+
+
+def hybrid_hits(
+    index: SearchIndex, queries: DataFrame, query_vectors: DataFrame, top_k: int = R.FUSED_K, *, scope: DataFrame | None = None
+) -> DataFrame:
+    """Both legs from stored tables, the keyword one asking for all terms, fused."""
+    vec = R.vector_search(query_vectors, index.vectors.select("chunk_id", "doc_id", "embedding"), scope=scope)
+    return R.fuse(vec, keyword_hits(index, queries, mode="and", scope=scope), top_k)

@@ -11,7 +11,7 @@ A store has one writer at a time.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +52,7 @@ def commit(
     version = known[-1].version + 1 if known else 1
     folder = f"v{version}-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.withColumn("_version", F.lit(version)).hint("rebalance").write.parquet(f"{path}/{folder}/{name}")
+        df.withColumn("_version", F.lit(version)).write.parquet(f"{path}/{folder}/{name}")
     if known and not base:  # the first version replaces nothing
         keys = [spark.read.parquet(f"{path}/{folder}/{name}").select(key) for name in tables]
         keys += [gone.select(key)] if gone is not None else []
@@ -65,13 +65,19 @@ def commit(
     return version
 
 
-def read_store(spark: SparkSession, path: str, name: str = ROWS, key: str = "doc_id") -> DataFrame:
-    """The live rows of one table as of now; later versions do not change what was returned."""
+def read_store(
+    spark: SparkSession, path: str, name: str = ROWS, key: str = "doc_id", only: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """The live rows of one table as of now; later versions do not change what was returned.
+
+    ``only`` narrows the rows before they are held against what was replaced; it must keep ``key``.
+    """
     known = versions(spark, path)
     parts = [f"{path}/{v.folder}/{name}" for v in known if name in v.tables]
     if not parts:
         raise FileNotFoundError(f"no committed version of {name} below {path}")
     rows = spark.read.option("mergeSchema", "true").parquet(*parts)
+    rows = rows if only is None else only(rows)
     later = [f"{path}/{v.folder}/_replaced" for v in known[1:]]
     if later:
         # Only what later batches name is joined, not the keys of the whole store.
@@ -80,20 +86,24 @@ def read_store(spark: SparkSession, path: str, name: str = ROWS, key: str = "doc
     return rows.drop("_version")
 
 
-def compact(spark: SparkSession, path: str, key: str = "doc_id") -> int:
-    """The live rows of all tables as one version, from which readers start."""
+def compact(
+    spark: SparkSession, path: str, key: str = "doc_id", lay_out: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None
+) -> int:
+    """The live rows of all tables as one version, from which readers start; ``lay_out`` orders some of them."""
     names = {name for v in versions(spark, path) for name in v.tables}
-    return commit(spark, path, {name: read_store(spark, path, name, key) for name in sorted(names)}, key, base=True)
+    live = {name: read_store(spark, path, name, key) for name in sorted(names)}
+    return commit(spark, path, {name: (lay_out or {}).get(name, lambda d: d.hint("rebalance"))(df) for name, df in live.items()}, key, base=True)
 
 
 def replace_in_store(df: DataFrame, path: str, key: str = "doc_id", gone: DataFrame | None = None) -> None:
     """Replace the rows of the documents in ``df`` in a store of one table."""
-    commit(df.sparkSession, path, {ROWS: df}, key, gone)
+    commit(df.sparkSession, path, {ROWS: df.hint("rebalance")}, key, gone)
 
 
 def write_ir(tables: Mapping[str, DataFrame], root: str) -> int:
     """Blocks, sections, pages and documents of a batch, visible together."""
-    return commit(next(iter(tables.values())).sparkSession, root, tables)
+    spark = next(iter(tables.values())).sparkSession
+    return commit(spark, root, {name: df.hint("rebalance") for name, df in tables.items()})
 
 
 def read_ir(spark: SparkSession, basic: str, enriched: str, table: str = "blocks") -> DataFrame:

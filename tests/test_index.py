@@ -1,7 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
 from shelfmark.operators import hierarchy, providers
-from shelfmark.sources import bundles, search_index
+from shelfmark.operators import retrieval as R
+from shelfmark.sources import bundles, search_index, stores
 
 
 def chunks(spark, rows):
@@ -31,10 +34,26 @@ def test_batches_replace_remove_and_replay(spark, tmp_path):
     assert [(r.query_id, r.chunk_id, r.tf) for r in search_index.phrase_hits(index, queries).collect()] == [("q", "c4-0", 1)]
     asked = providers.embed(queries.where("query_id = 'q'"), "text").select("query_id", "embedding")
     assert search_index.vector_hits(index, asked, 1).first().chunk_id == "c4-0"
-    target = str(tmp_path / "small")
-    search_index.compacted(spark, root, target)
-    small = search_index.opened(spark, target)
-    assert small.postings.count() == 4 and small.chunks.count() == 3
+    search_index.compact(spark, root)
+    assert index.postings.count() == 4 and index.chunks.count() == 3 and index.totals().first().n_chunks == 3
+    assert len(stores.versions(spark, root)) == 1
+    search_index.add_batch(chunks(spark, [(5, 0, "tea")]), ids(spark, 5), root)
+    assert index.chunks.count() == 4
+
+
+def test_phrases_from_positions(spark, tmp_path):
+    rng = random.Random(2)
+    texts = [(d, k, " ".join(rng.choice("abcd") for _ in range(rng.randrange(12)))) for d in range(40) for k in range(2)]
+    root = str(tmp_path / "index")
+    search_index.add_batch(chunks(spark, texts), ids(spark, *range(40)), root)
+    index = search_index.opened(spark, root)
+    asked = [("q1", "a b"), ("q2", "a a a"), ("q3", "d c b a"), ("q4", "zz a"), ("q5", ""), ("q6", "c")]
+    queries = spark.createDataFrame(asked, "query_id string, text string")
+    pick = lambda df: sorted((r.query_id, r.chunk_id, r.score) for r in df.collect())
+    want = pick(R.phrase_search(queries, index.toks, limit=None))
+    assert pick(search_index.phrase_search(index, queries, None)) == want and len(want) > 20
+    for mode in ("and", "or"):
+        assert pick(search_index.keyword_hits(index, queries, None, mode)) == pick(R.keyword_search(queries, index.toks, 10_000, mode))
 
 
 def test_an_unfinished_batch_is_not_seen(spark, tmp_path):
