@@ -36,14 +36,23 @@ SCHEMA = (
 
 
 class Pieces(dict):
-    """Token ids, as little-endian unsigned 16-bit bytes, of pieces of text; most pieces recur."""
+    """Token ids, as little-endian unsigned 16-bit bytes, of pieces of text; most pieces recur.
 
-    def __init__(self, path: str | None) -> None:
+    ``added`` are the tokens that the vocabulary file lists beside its pieces: wherever their signs stand
+    in a text they are one token, and the texts before and after are encoded each by itself.
+    """
+
+    def __init__(self, path: str | None, added_path: str | None = None) -> None:
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
 
+        with open(added_path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+            self.added = {t["content"]: np.array([t["id"]], "<u2").tobytes() for t in json.load(file)["added_tokens"]}
+        longest_first = sorted(self.added, key=lambda t: (-len(t), t))
+        self.cut_added = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")" if self.added else r"(?!)()")
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding(
@@ -62,20 +71,26 @@ class Pieces(dict):
 CUT = re.compile(r" (?=\S)")
 
 
-def pieces_of(path: str | None) -> Pieces:
+def pieces_of(path: str | None, added_path: str | None = None) -> Pieces:
     """One table of pieces for each Python worker."""
     import tiktoken
 
     held = vars(tiktoken).setdefault("_held_pieces", {})
-    if path not in held:
-        held[path] = Pieces(path)
-    return held[path]
+    if (path, added_path) not in held:
+        held[path, added_path] = Pieces(path, added_path)
+    return held[path, added_path]
 
 
 def token_ids(text: str, pieces: Pieces) -> np.ndarray:
     """Ids of a whole text, then the end id."""
-    head, *rest = CUT.split(text)
-    body = b"".join([pieces[head], *[pieces[" " + x] for x in rest]]) if text else b""
+    bodies = []
+    for part in pieces.cut_added.split(text):
+        if part in pieces.added:
+            bodies.append(pieces.added[part])
+        elif part:
+            head, *rest = CUT.split(part)
+            bodies += [pieces[head], *[pieces[" " + x] for x in rest]]
+    body = b"".join(bodies)
     return np.append(np.frombuffer(body, "<u2"), END_ID).astype("<u4")
 
 
@@ -133,7 +148,7 @@ class Packer:
 
 def packed_sequences(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tiers: tuple[int, ...] = TIERS,
-    step_tokens: int = STEP_TOKENS, ranks_path: str | None = None,
+    step_tokens: int = STEP_TOKENS, ranks_path: str | None = None, added_path: str | None = None,
 ) -> DataFrame:
     """One row per piece: its document, place and checksum, its window and place there, its step.
 
@@ -147,7 +162,7 @@ def packed_sequences(
         raise ValueError("tier sizes are powers of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(ranks_path)
+        pieces = pieces_of(ranks_path, added_path)
         task = TaskContext.get().partitionId() << 32
         packer, docs_open, number, made, steps = Packer(tiers), {}, 0, 0, {}
 
