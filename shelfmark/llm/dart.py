@@ -344,7 +344,10 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = LEAST) -> DataFrame:
     """``docs`` with one row of each class (see ``near_classes``), all its columns as they were."""
-    firsts = near_classes(docs, text, doc_id, least).where("first").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
-    own = docs.withColumn("_own", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    kept = own.join(firsts, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_own"]).drop("_own")
+    firsts = near_classes(docs, text, doc_id, least).where("first").select(F.col("doc_id").alias("first_id"), "node").distinct()
+    # The rows travel as one column, so no name of theirs can meet one of ours.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    own = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+    rows = docs.select(row.alias("row"), F.col(doc_id).cast("long").alias("id"), own.alias("own"))
+    kept = rows.join(firsts, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("own") == F.col("node")), "left_semi")
+    return kept.dropDuplicates(["id", "own"]).select("row.*")

@@ -365,3 +365,26 @@ def test_gradient():
 def test_column_order_is_kept(spark):
     df = frame(spark, [(1, "a b")]).withColumn("zeta", F.lit(3))
     assert substring.without_repeats(df).columns[-4:] == ["zeta", "kept_text", "n_words", "n_removed"]
+
+
+def test_added_tokens_are_those_of_the_vocabulary_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    sign = "<|endoftext|>"
+    bits = [sign, sign + sign, " ", "  ", "\n", "a", " word", "é", "中", "<|", "|>", "endoftext", "<|endoftext", "'s", "12"]
+    texts = [sign, f"{sign} a", f"a {sign}b", f" {sign} ", f"x{sign}{sign}y  {sign}", ""] + ["".join(rng.choice(bits) for _ in range(12)) for _ in range(2000)]
+    pieces = packing.pieces_of(None)
+    for text in texts:
+        assert packing.token_ids(text, pieces).tolist() == [*whole.encode(text, add_special_tokens=False).ids, packing.END_ID], repr(text)
+
+
+def test_one_of_each_keeps_any_columns(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, t, i, str(i), i, 2 * i, i, 3.5) for i, t in enumerate([words, words + " x", "other text", None, words, "other text"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _node string, _own long, node long, first_id int, `a.b` double")
+    kept = dart.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(r for r in rows if r[0] in (0, 2, 3))
