@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators import providers
+from shelfmark.operators import notices, providers
 from shelfmark.plans import corpora as C
 from shelfmark.plans import records
 from shelfmark.plans import sql as S
@@ -109,3 +109,44 @@ def registered_files(spark, sf):
         incremental.register_files(spark, root, store, checkpoint).awaitTermination()
     rows = stores.read_store(spark, store)
     return rows.groupBy("relative_path", "size", "source_format", "folder_category", "status").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+# ---- notices ------------------------------------------------------------------------------------
+
+
+def odd_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as raw blocks of their customer; all but one kind in ten hold something unexpected."""
+    text_ = '{"type":"text","content":"x"}'
+    body = {
+        0: f'{{"type":"paragraph","bbox":[0,0,9,9],"content":{{"paragraph_content":[{text_}]}}}}',
+        1: '{"type":"table","bbox":[0,0,9,9],"content":{"html":" ","image_source":{"path":"images/"},"table_caption":[]}}',
+        2: f'{{"type":"title","zz":1,"content":{{"level":1,"title_content":[{text_}]}}}}',
+        3: f'{{"type":"paragraph","content":{{"paragraph_content":[{text_}],"rank":2,"other":[]}}}}',
+        4: '{"type":"paragraph","content":{"paragraph_content":[{"content":"a","font":1},{"content":"","children":[{"children":[{"content":"b","ruby":""}],"tone":1}]}]}}',
+        5: f'{{"type":"list","content":{{"list_items":[{{"item_content":[{text_}],"mark":"-"}},{{"item_content":[{{"content":"y","font":2}}]}},7]}}}}',
+        6: f'{{"type":"weird","content":{{"paragraph_content":[{text_}]}}}}',
+        7: '{"type":"code","bbox":[1,2],"content":null}',
+        8: '{"type":"image","content":{"image_source":{"path":"images/a.jpg","sha":"1"},"image_caption":[]}}',
+        9: '{"type":"equation_interline","content":{"math_content":"","math_type":"latex"}}',
+    }
+    kind = F.create_map(*[v for k, b in body.items() for v in (F.lit(k), F.lit(b))])
+    return table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("doc_id"), F.lit(0).alias("page_idx"), F.col("o_orderkey").alias("raw_pos"),
+        kind[(F.col("o_orderkey") % 10).cast("int")].alias("block"),
+    )
+
+
+@query("notice_counts", """
+WITH k(r, level, detail) AS (VALUES (1, 'ghost', 'table'), (9, 'ghost', 'equation'), (2, 'block', 'zz'), (3, 'content', 'rank'), (3, 'content', 'other'),
+  (4, 'text_segment', 'font'), (5, 'text_segment', 'font'), (4, 'text_segment', 'tone'), (4, 'text_segment', 'ruby'), (5, 'list_item', 'mark'),
+  (6, 'type', 'weird'), (7, 'bbox', 'code'), (7, 'no_content', 'code'), (8, 'image_source', 'sha'))
+SELECT level, detail, count(*) AS n_blocks, count(DISTINCT o_custkey) AS n_docs, min({'d': o_custkey, 'p': o_orderkey}).p AS first_pos
+FROM orders JOIN k ON o_orderkey % 10 = r GROUP BY level, detail
+""")
+def notice_counts(spark, sf):
+    """Notices of all blocks, half of the documents recorded twice."""
+    root, raw = folder(spark), odd_blocks(spark, sf)
+    notices.record(raw, root)
+    notices.record(raw.where("doc_id % 2 = 0"), root)
+    found = notices.counts(stores.read_store(spark, root, "notices"))
+    return found.select("level", "detail", "n_blocks", "n_docs", F.col("example.raw_pos").alias("first_pos"))
