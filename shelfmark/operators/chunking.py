@@ -69,8 +69,8 @@ def parent_chunks(members: DataFrame) -> DataFrame:
         heads.select(*keys, "_full"),
         ["doc_id"],
         "root_ord",
-        {"_target": ("min", F.when(F.col("_full"), F.col("root_ord")))},
-        backward=True,
+        {},
+        backward={"_target": ("min", F.when(F.col("_full"), F.col("root_ord")))},
     ).where(F.col("_target").isNotNull())
     kind, body = F.col("type"), F.col("text")
     piece = (

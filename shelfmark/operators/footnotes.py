@@ -13,38 +13,36 @@ CONFIDENCE = 0.8
 
 
 def nearest(
-    rows: DataFrame, keys: list[str], order: str, is_anchor, is_note
+    rows: DataFrame, keys: list[str], order: str, is_anchor, is_note, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """For each note the anchor with the smallest distance, the earlier one on a tie.
 
     Only the last anchor before and the first one after can win, and both are
-    running values; notes and anchors of a page never meet as pairs.
+    running values of one pass; notes and anchors of a page never meet as pairs. The anchor's columns
+    in ``carry`` come along as ``anchor_<name>``.
     """
-    at = F.when(is_anchor, F.col(order))
-    both = running(rows, keys, order, {"_before": ("max", at)})
-    both = running(both, keys, order, {"_after": ("min", at)}, backward=True)
-    back, ahead = F.col(order) - F.col("_before"), F.col("_after") - F.col(order)
-    pick = F.when(F.col("_before").isNotNull() & (F.col("_after").isNull() | (back <= ahead)), F.col("_before"))
-    return (
-        both.where(is_note)
-        .withColumn("anchor_order", F.coalesce(pick, F.col("_after")))
-        .drop("_before", "_after")
+    at = F.when(is_anchor, F.struct(F.col(order).alias("at"), *carry))
+    both = running(rows, keys, order, {"_before": ("max", at)}, backward={"_after": ("min", at)})
+    back, ahead = F.col(order) - F.col("_before.at"), F.col("_after.at") - F.col(order)
+    earlier = F.col("_before").isNotNull() & (F.col("_after").isNull() | (back <= ahead))
+    chosen = both.where(is_note).withColumn("_chosen", F.when(earlier, F.col("_before")).otherwise(F.col("_after")))
+    return chosen.select(
+        *rows.columns, F.col("_chosen.at").alias("anchor_order"), *[F.col(f"_chosen.{c}").alias(f"anchor_{c}") for c in carry]
     )
 
 
 def link(blocks: DataFrame) -> DataFrame:
     """Footnote links; a footnote on a page without main blocks has none."""
+    rows = blocks.where((F.col("role") == "main") | (F.col("type") == "page_footnote"))
     found = nearest(
-        blocks.select("doc_id", "page_idx", "order_in_doc", "block_id", "role", "type"),
+        rows.select("doc_id", "page_idx", "order_in_doc", "block_id", "role", "type"),
         ["doc_id", "page_idx"],
         "order_in_doc",
         F.col("role") == "main",
         F.col("type") == "page_footnote",
+        ("block_id",),
     ).where(F.col("anchor_order").isNotNull())
-    anchors = blocks.select(
-        "doc_id", F.col("order_in_doc").alias("anchor_order"), F.col("block_id").alias("anchor_block_id")
-    )
-    return found.join(anchors, ["doc_id", "anchor_order"]).select(
+    return found.select(
         "doc_id",
         F.col("anchor_block_id").alias("block_id"),
         F.col("block_id").alias("footnote_block_id"),

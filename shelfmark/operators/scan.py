@@ -1,6 +1,6 @@
 """Ordered state without one task per key.
 
-A window over ``doc_id`` puts a whole document into one task. The two helpers
+A window over ``doc_id`` puts a whole document into one task. The helpers
 here split each key into ranges of its order column, summarise the ranges,
 carry the summaries forward and finish inside each range. A range holds at most
 ``width`` rows of a unique integer order, so a key with a third of all rows is
@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.session import cut
+
 WIDTH = 1 << 16
 
 _REDUCE = {"max": F.max, "min": F.min, "sum": F.sum}
@@ -32,44 +34,44 @@ def running(
     order: str,
     states: Mapping[str, tuple[str, Column]],
     *,
-    backward: bool = False,
+    backward: Mapping[str, tuple[str, Column]] | None = None,
     width: int = WIDTH,
 ) -> DataFrame:
     """Add the running ``max``, ``min`` or ``sum`` of each state up to its row.
 
-    ``states`` maps a new column to (kind, expression). Rows of ``order`` are
-    unique per key. ``backward`` runs from the last row to the first.
+    ``states`` maps a new column to (kind, expression); those of ``backward`` run from the last
+    row to the first. Rows of ``order`` are unique per key. The input is read once: its rows with the states
+    inside their ranges are written, the ends of the ranges are carried from there, and only
+    keys of more than one range have something to add.
     """
-    keys = list(keys)
+    keys, after = list(keys), dict(backward or {})
     ranged = df.withColumn("_range", F.floor(F.col(order) / width))
-    for name, (_, expr) in states.items():
-        ranged = ranged.withColumn(f"_v_{name}", expr)
-    spans = ranged.groupBy(*keys, "_range").agg(
-        *[_REDUCE[kind](f"_v_{name}").alias(f"_s_{name}") for name, (kind, _) in states.items()]
-    )
-    way = F.col("_range").desc() if backward else F.col("_range").asc()
-    earlier = Window.partitionBy(*keys).orderBy(way).rowsBetween(Window.unboundedPreceding, -1)
-    carried = spans.select(
-        *keys,
-        "_range",
-        *[
-            _REDUCE[kind](f"_s_{name}").over(earlier).alias(f"_c_{name}")
-            for name, (kind, _) in states.items()
-        ],
+    every = {**states, **after}
+    local = Window.partitionBy(*keys, "_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up, down = local.orderBy(F.col(order).asc()), local.orderBy(F.col(order).desc())
+    here = {n: _REDUCE[kind](expr).over(down if n in after else up) for n, (kind, expr) in every.items()}
+    staged = cut(ranged.select(*df.columns, "_range", *[c.alias(f"_l_{n}") for n, c in here.items()]))
+
+    def end(name: str, kind: str) -> Column:
+        """The state of a whole range: that of the row that is reached last."""
+        if kind != "sum":
+            return _REDUCE[kind](f"_l_{name}")
+        return (F.min_by if name in after else F.max_by)(f"_l_{name}", order)
+
+    spans = staged.groupBy(*keys, "_range").agg(*[end(n, kind).alias(f"_s_{n}") for n, (kind, _) in every.items()])
+    before = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    first, last = before.orderBy(F.col("_range").asc()), before.orderBy(F.col("_range").desc())
+    carried = spans.withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_many > 1").select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_k_range"),
+        *[_REDUCE[kind](f"_s_{n}").over(last if n in after else first).alias(f"_c_{n}") for n, (kind, _) in every.items()],
     )
-    step = F.col(order).desc() if backward else F.col(order).asc()
-    local = (
-        Window.partitionBy(*keys, "_range")
-        .orderBy(step)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = F.col("_range") == F.col("_k_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = staged.join(cut(carried), same, "left")
+    return out.select(
+        *df.columns, *[_merge(kind, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n, (kind, _) in every.items()]
     )
-    out = ranged.join(carried, [*keys, "_range"])
-    for name, (kind, _) in states.items():
-        here = _REDUCE[kind](f"_v_{name}").over(local)
-        out = out.withColumn(f"_l_{name}", here)
-    for name, (kind, _) in states.items():
-        out = out.withColumn(name, _merge(kind, F.col(f"_c_{name}"), F.col(f"_l_{name}")))
-    return out.select(*df.columns, *states)
 
 
 def number_rows(

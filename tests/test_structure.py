@@ -102,7 +102,7 @@ def test_paths_match_a_stack(spark):
 def test_scans_across_ranges(spark):
     df = spark.range(1000).select(F.lit("k").alias("k"), F.col("id").alias("o"), (F.col("id") * 37 % 101).alias("v"))
     out = running(df, ["k"], "o", {"m": ("max", F.col("v")), "s": ("sum", F.col("v"))}, width=64).orderBy("o").collect()
-    back = running(df, ["k"], "o", {"m": ("min", F.col("v"))}, backward=True, width=64).orderBy("o").collect()
+    back = running(df, ["k"], "o", {"s": ("sum", F.col("v"))}, backward={"m": ("min", F.col("v")), "t": ("sum", F.col("v"))}, width=64).orderBy("o").collect()
     vals = [i * 37 % 101 for i in range(1000)]
     for i in range(1000):
         assert out[i].m == max(vals[: i + 1]) and out[i].s == sum(vals[: i + 1]) and back[i].m == min(vals[i:])
