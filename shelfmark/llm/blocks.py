@@ -38,17 +38,22 @@ def split_by_bytes(batch: pa.RecordBatch, text: str, limit: int, rows: int = 1 <
         start = end
 
 
-def packed(df: DataFrame, text: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
-    """Rows as blocks (block, n_words, payload). Write the result before it is read twice: ids are random."""
+def packed(df: DataFrame, text: str = "text", limit: int = BLOCK_BYTES, even: bool = False) -> DataFrame:
+    """Rows as blocks (block, n_words, payload). Write the result before it is read twice: ids are random.
+
+    Blocks end before ``limit`` bytes of text. With ``even`` they are filled to the limit from slices of an
+    eighth of it, and a remainder of less than half of it joins the block before.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
         held: list[pa.RecordBatch] = []
+        full: list[pa.RecordBatch] = []
         size = 0
 
-        def block() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
+        def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(parts)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(table)
@@ -61,15 +66,23 @@ def packed(df: DataFrame, text: str = "text", limit: int = BLOCK_BYTES) -> DataF
             )
 
         for batch in batches:
-            for part in split_by_bytes(batch, text, limit):
+            for part in split_by_bytes(batch, text, limit // 8 if even else limit):
                 n = part.column(text).nbytes
                 if held and size + n > limit:
-                    yield block()
+                    if full:
+                        yield block(full)
+                    if even:
+                        full = held
+                    else:
+                        yield block(held)
                     held, size = [], 0
                 held.append(part)
                 size += n
-        if held:
-            yield block()
+        if full and size < limit // 2:
+            full, held = full + held, []
+        for rest in (full, held):
+            if rest:
+                yield block(rest)
 
     return df.mapInArrow(pack, "block long, n_words long, payload binary")
 

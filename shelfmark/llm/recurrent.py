@@ -40,6 +40,8 @@ UPDATES = 128
 STREAMS = 16, 256
 STEP = 16
 WINDOW = 64
+#: Windows are longer where few documents go on, so that each holds about so many tokens.
+WINDOW_TOKENS = 1 << 15
 RATE = 0.2
 BLOCK_BYTES = 8 << 20
 SEGMENT_WORDS = 1 << 20
@@ -98,8 +100,12 @@ def in_sample(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(1) / (np.float32(1) + np.exp(-x))
+def sigmoid(x: np.ndarray) -> None:
+    """The logistic function in place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += np.float32(1)
+    np.reciprocal(x, out=x)
 
 
 class Network:
@@ -143,30 +149,36 @@ class Network:
     def vector(self) -> np.ndarray:
         return np.concatenate([self.p[k].reshape(-1) for k in self.SHAPES])
 
-    def states(self, tokens: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-        """States before each token's successor: ``tokens`` is (time, streams); also what backpropagation needs."""
-        x = (self.p["embed"] @ self.p["input"] + self.p["gate"])[tokens]
-        u, out, held = self.p["state"], np.empty((*tokens.shape, UNITS), np.float32), []
+    def states(self, tokens: np.ndarray, h: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
+        """States before each token's successor: ``tokens`` is (time, streams); also what backpropagation needs, if kept."""
+        # Inside, units come before streams: gates are then whole rows, and each step works on long ones.
+        x = np.ascontiguousarray((self.p["embed"] @ self.p["input"] + self.p["gate"])[tokens].transpose(0, 2, 1))
+        u, h = np.ascontiguousarray(self.p["state"].T), np.ascontiguousarray(h.T)
+        out, held = np.empty((len(tokens), *h.shape), np.float32), []
         for t in range(len(tokens)):
-            hu = h @ u
-            zr = sigmoid(x[t, :, : 2 * UNITS] + hu[:, : 2 * UNITS])
-            z, r = zr[:, :UNITS], zr[:, UNITS:]
-            c = np.tanh(x[t, :, 2 * UNITS :] + r * hu[:, 2 * UNITS :])
-            held.append((h, zr, c, hu[:, 2 * UNITS :]))
-            h = h + z * (c - h)
-            out[t] = h
-        return out, held
+            hu = u @ h
+            zr, c, uc = x[t, : 2 * UNITS], x[t, 2 * UNITS :], hu[2 * UNITS :]
+            zr += hu[: 2 * UNITS]
+            sigmoid(zr)
+            c += zr[UNITS:] * uc
+            np.tanh(c, out=c)
+            if keep:
+                held.append((h, zr, c, uc))
+            move = c - h
+            move *= zr[:UNITS]
+            h = np.add(h, move, out=out[t])
+        return out.transpose(0, 2, 1), held
 
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target word after its state."""
-        cls, word = target // CLASS_WORDS, target % CLASS_WORDS
-        out = log_share(h @ self.p["class_w"] + self.p["class_b"], cls)
-        order = np.argsort(cls, kind="stable")
-        at = cuts(cls[order], CLASSES)
-        for c in range(CLASSES):
-            rows = order[at[c] : at[c + 1]]
-            if len(rows):
-                out[rows] += log_share(h[rows] @ self.p["word_w"][c] + self.p["word_b"][c], word[rows])
+        order, at, cls, word = by_class(target)
+        h = h[order]
+        got = log_share(h @ self.p["class_w"] + self.p["class_b"], cls)
+        for c in np.flatnonzero(np.diff(at)):
+            rows = slice(at[c], at[c + 1])
+            got[rows] += log_share(h[rows] @ self.p["word_w"][c] + self.p["word_b"][c], word[rows])
+        out = np.empty(len(got))
+        out[order] = got
         return out
 
     def learn(self, streams: np.ndarray, rate: float = RATE, step: int = STEP) -> None:
@@ -184,51 +196,76 @@ class Network:
             h = states[-1]
 
     def gradient(self, x: np.ndarray, y: np.ndarray, states: np.ndarray, held: list) -> dict[str, np.ndarray]:
-        p, n = self.p, np.float32(x.size)
+        p, n = self.p, x.size
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        h, target = states.reshape(-1, UNITS), y.reshape(-1)
-        cls, word = target // CLASS_WORDS, target % CLASS_WORDS
-        d = softmax(h @ p["class_w"] + p["class_b"])
-        d[np.arange(len(d)), cls] -= 1
-        d /= n
+        order, at, cls, word = by_class(y.reshape(-1))
+        h = states.reshape(-1, UNITS)[order]
+        d = surprise(h @ p["class_w"] + p["class_b"], cls, n)
         g["class_w"], g["class_b"] = h.T @ d, d.sum(0)
-        dh = d @ p["class_w"].T
-        for c in np.unique(cls):
-            rows = np.flatnonzero(cls == c)
-            d = softmax(h[rows] @ p["word_w"][c] + p["word_b"][c])
-            d[np.arange(len(d)), word[rows]] -= 1
-            d /= n
+        back = d @ p["class_w"].T
+        for c in np.flatnonzero(np.diff(at)):
+            rows = slice(at[c], at[c + 1])
+            d = surprise(h[rows] @ p["word_w"][c] + p["word_b"][c], word[rows], n)
             g["word_w"][c], g["word_b"][c] = h[rows].T @ d, d.sum(0)
-            dh[rows] += d @ p["word_w"][c].T
-        dh = dh.reshape(states.shape)
-        carry = np.zeros_like(states[0])
-        dx = np.empty((*x.shape, 3 * UNITS), np.float32)
+            back[rows] += d @ p["word_w"][c].T
+        dh = np.empty_like(back)
+        dh[order] = back
+        dh = np.ascontiguousarray(dh.reshape(states.shape).transpose(0, 2, 1))
+        carry = np.zeros_like(dh[0])
+        dx, du = np.empty((2, len(x), 3 * UNITS, x.shape[1]), np.float32)
         for t in range(len(x) - 1, -1, -1):
             before, zr, c, hu = held[t]
-            z, r = zr[:, :UNITS], zr[:, UNITS:]
-            carry = carry + dh[t]
-            dc = carry * z * (1 - c * c)
-            dz = carry * (c - before) * z * (1 - z)
-            dr = dc * hu * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dc], axis=1)
-            du = np.concatenate([dz, dr, dc * r], axis=1)
-            g["state"] += before.T @ du
-            carry = carry * (1 - z) + du @ p["state"].T
-        flat = dx.reshape(-1, 3 * UNITS)
-        embed = p["embed"][x.reshape(-1)]
-        g["input"], g["gate"] = embed.T @ flat, flat.sum(0)
-        np.add.at(g["embed"], x.reshape(-1), flat @ p["input"].T)
+            z, r = zr[:UNITS], zr[UNITS:]
+            carry += dh[t]
+            dc = carry * z
+            stay = 1 - z
+            dx[t, :UNITS] = dc * (c - before) * stay
+            dc *= 1 - c * c
+            dx[t, UNITS : 2 * UNITS] = dc * hu * r * (1 - r)
+            dx[t, 2 * UNITS :] = dc
+            du[t, : 2 * UNITS] = dx[t, : 2 * UNITS]
+            np.multiply(dc, r, out=du[t, 2 * UNITS :])
+            carry *= stay
+            carry += p["state"] @ du[t]
+        for (before, *_), d in zip(held, du, strict=True):
+            g["state"] += before @ d.T
+        words, flat = x.reshape(-1), dx.transpose(0, 2, 1).reshape(-1, 3 * UNITS)
+        g["input"], g["gate"] = p["embed"][words].T @ flat, flat.sum(0)
+        by_word = np.argsort(words, kind="stable")
+        first = np.flatnonzero(np.diff(words[by_word], prepend=-1))
+        g["embed"][words[by_word[first]]] = np.add.reduceat((flat @ p["input"].T)[by_word], first)
         return g
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+def by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows ordered by the class of their target: the order, bounds of classes, class and word in it of the ordered rows."""
+    cls = (target // CLASS_WORDS).astype(np.uint8 if CLASSES <= 256 else np.uint32)
+    order = np.argsort(cls, kind="stable")
+    at = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))])
+    return order, at, cls[order], (target % CLASS_WORDS)[order]
+
+
+def tamed(x: np.ndarray) -> np.ndarray:
+    """Rows shifted, where some are too large or small for ``exp``; the shares stay."""
+    return x - x.max(axis=1, keepdims=True) if x.size and (x.max() > 60 or x.min() < -60) else x
+
+
+def surprise(x: np.ndarray, chosen: np.ndarray, n: int) -> np.ndarray:
+    """Gradient of the mean of ``n`` negative log-shares by the values in rows; ``x`` is overwritten."""
+    x = tamed(x)
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], np.float32)
+    x *= (1 / (n * total))[:, None]
+    x[np.arange(len(x)), chosen] -= np.float32(1 / n)
+    return x
 
 
 def log_share(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return (x[np.arange(len(x)), chosen] - top - np.log(np.exp(x - top[:, None]).sum(axis=1))).astype(np.float64)
+    """Log of the chosen value's share in each row; ``x`` is overwritten."""
+    x = tamed(x)
+    picked = x[np.arange(len(x)), chosen]
+    np.exp(x, out=x)
+    return (picked - np.log(x @ np.ones(x.shape[1], np.float32))).astype(np.float64)
 
 
 class Vocabulary:
@@ -258,20 +295,22 @@ def document_scores(net: Network, tokens: np.ndarray, first: np.ndarray) -> np.n
     out = np.zeros(len(order))
     start_sign = CLASSES * CLASS_WORDS
     h = np.zeros((len(order), UNITS), np.float32)
-    for a in range(0, int(sizes[0]) if len(sizes) else 0, WINDOW):
+    a, longest = 0, int(sizes[0]) if len(sizes) else 0
+    while a < longest:
         live = int(np.searchsorted(-sizes, -a, "left"))  # those longer than a
-        width = int(min(WINDOW, sizes[0] - a))
+        width = min(max(WINDOW, WINDOW_TOKENS // live), longest - a)
         at = starts[:live, None] + a + np.arange(width)
         real = a + np.arange(width) < sizes[:live, None]
         words = tokens[np.where(real, at, starts[:live, None])]
         before = tokens[np.where(real & (at > starts[:live, None]), at - 1, starts[:live, None])]
         if a == 0:
             before[:, 0] = start_sign
-        states, _ = net.states(before.T, h[:live])
+        states, _ = net.states(before.T, h[:live], keep=False)
         h[:live] = states[-1]
         doc = np.nonzero(real)[0]
         got = net.log_probability(states.transpose(1, 0, 2)[real], words[real])
         out[order[:live]] += np.bincount(doc, got, minlength=live)
+        a += width
     return out
 
 
@@ -338,7 +377,7 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out
     apart by 64-bit hashes. Other columns are not read.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = cut(packed(docs, limit=BLOCK_BYTES))
+    blocks = cut(packed(docs, limit=BLOCK_BYTES, even=True))
     segments = -(-max(total_words(blocks), 1) // SEGMENT_WORDS)
 
     def shares(known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
