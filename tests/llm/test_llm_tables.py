@@ -7,6 +7,7 @@ import os
 import random
 import re
 import sys
+import textwrap
 import zlib
 
 import numpy as np
@@ -251,23 +252,55 @@ def test_notices_and_inheritance(spark):
 
 
 def test_cosine_equals_plain_arithmetic(spark):
-    texts = [(1, "Licensed under the Apache License"), (2, "licensed by the state, not the Apache License\nThe MIT License"), (3, "copyright somebody")]
+    """Every piece against every template, with rarities over all texts and no choice of candidates."""
+    texts = [
+        (1, "Licensed under the Apache License"), (2, "licensed by the state, not the Apache License\nThe MIT License"), (3, "copyright somebody"),
+        (4, "x = 1\n# Licensed under\n#\n# the Apache\n# License\ny = 2"), (5, "the MIT\nLicense\n\nand more of it"), (6, "/* the\n MIT License */ code(); it's"), (7, ""), (8, None),
+    ]
     templates = (("A", "Licensed under the Apache License"), ("M", "the MIT License"), ("T", "it's a licence"))
-    got = {r.id: (r.licence, r.cosine) for r in licences.notices(spark.createDataFrame(texts, "id long, body string"), "id", "body", templates, 0.1).collect()}
+    blocks = {4: ["Licensed under the Apache License"], 6: ["the MIT License"]}
+    paragraphs = {4: ["x = 1 Licensed under", "the Apache License y = 2"], 5: ["the MIT License", "and more of it"]}
     split = lambda s: [t for t in re.split(r"[^\w]+", s.lower()) if t]
-    lines = {(i, s) for i, t in texts for s in t.split("\n") if re.search(licences.CUE, s)}
-    pool = [split(s) for s in {s for _, s in lines}] + [split(s) for _, s in templates]
-    df = collections.Counter(t for p in pool for t in set(p))
-    vec = lambda ts: {t: (1 + math.log(n)) * (math.log((1 + len(pool)) / (1 + df[t])) + 1) for t, n in collections.Counter(ts).items()}
+    whole = [split(t) for _, t in texts if t is not None]
+    df = collections.Counter(t for p in whole for t in set(p))
+    vec = lambda ts: {t: (1 + math.log(n)) * (math.log((1 + len(whole)) / (1 + df[t])) + 1) for t, n in collections.Counter(ts).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    want = {}
-    for i, s in lines:
-        for name, t in templates:
-            a, b = vec(split(s)), vec(split(t))
-            c = round(sum(x * b.get(k, 0) for k, x in a.items()) / norm(a) / norm(b), 6)
-            if c >= 0.1:
-                want[i] = min(want.get(i, (0, "")), (-c, name))
-    assert {i: (n, pytest.approx(-c, abs=2e-6)) for i, (c, n) in want.items()} == got
+    frame = spark.createDataFrame(texts, "id long, body string")
+    for least in (0.1, 0.6, 0.9):
+        got = {r.id: (r.licence, r.cosine) for r in licences.notices(frame, "id", "body", templates, least).collect()}
+        want = {}
+        for i, s in texts:
+            for piece in [s or "", *(s or "").split("\n"), *blocks.get(i, []), *paragraphs.get(i, [])]:
+                for name, t in templates if split(piece) else ():
+                    a, b = vec(split(piece)), vec(split(t))
+                    c = round(sum(x * b.get(k, 0) for k, x in a.items()) / norm(a) / norm(b), 6)
+                    if c >= least:
+                        want[i] = min(want.get(i, (0, "")), (-c, name))
+        assert {i: (n, pytest.approx(-c, abs=2e-6)) for i, (c, n) in want.items()} == got and got
+    assert licences.notices(frame, "id", "body", ()).count() == 0
+
+
+def test_headers_and_licence_texts_in_common_use(spark):
+    """Each is wrapped at 72 signs, plain and in comments, before code and prose; the licence is that of its words."""
+    gnu = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.\n\nIt is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} for more details."
+    bsd = ["Copyright (c) 2019, Jane Doe\nAll rights reserved.", *re.split(r"(?= [123]\. )", licences.BSD_TWO), licences.BSD_THIRD, licences.BSD_REST.replace("HOLDERS", "OWNERS")]
+    cases = {
+        **{n: gnu.format("Foo", f"{k}", v, k) for n, k, v in [
+            ("GPL-2.0", "General Public License", 2), ("GPL-3.0", "General Public License", 3), ("LGPL-3.0", "Lesser General Public License", 3), ("AGPL-3.0", "Affero General Public License", 3)]},
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "BSD-2-Clause": "\n\n".join(bsd[:-2] + bsd[-1:]), "BSD-3-Clause": "\n\n".join(bsd), "MIT": "The MIT License\n\nCopyright (c) 2001 A. U. Thor\n\n" + licences.MIT_GRANT + "\n\n" + licences.MIT_REST,
+        "Apache-2.0": "Copyright 2020 The Foo Authors\n\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    }
+    rows, want = [], {}
+    for name, text in cases.items():
+        lines = [w for line in text.split("\n") for w in (textwrap.wrap(line, 72) or [""])]
+        for open_, mark, close in [("", "", ""), ("", "# ", ""), ("", "// ", ""), ("/*\n", " * ", "\n */"), ("/*\n", "  ", "\n*/")]:
+            body = open_ + "\n".join((mark + x).rstrip() for x in lines) + close
+            want[len(rows)] = name
+            rows.append((len(rows), body if not mark else body + "\n\nimport os\nprint(os.name)\n"))
+    rows += [(1000 + k, f"A page about the history of town {k}, its public library, and the general terms of use of software there.") for k in range(60)]
+    got = {r.id: r.licence for r in licences.notices(spark.createDataFrame(rows, "id long, body string"), "id", "body").collect()}
+    assert got == want
 
 
 # pipeline -------------------------------------------------------------------------
