@@ -127,7 +127,8 @@ def pieces(text: Column) -> Column:
 def weighted(statements: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """(key, term, weight) from the term's count in the statement and its rarity."""
     tokens = statements.select(key, F.explode(terms(F.col("statement"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    salted = idf.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mine = idf.join(tokens.select("term").distinct(), "term", "left_semi")  # only these are copied for each salt
+    salted = mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     tokens = tokens.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
     return tokens.join(salted, ["term", "salt"]).select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
 
