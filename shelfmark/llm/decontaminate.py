@@ -1,15 +1,22 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are compared without case (A-Z) and ASCII punctuation. The n-grams of the test items
-are counted in the whole corpus; those that occur are seeds, however rare or frequent they
-are, so a copy keeps a seed as long as ``NGRAM`` words in a row are unedited. Seeds that a
-document and an item share propose diagonals. Near ones are one passage, wide enough for all
-gaps that a copy may have; the item is aligned with it unless the words that both have are
-too few for a copy. The passage is a copy if the alignment scores at least ``LEAST`` of a
-perfect one. Documents are read where they lie and never shuffled.
+Words are compared without case (A-Z) and ASCII punctuation. The n-grams and words of the
+test items are counted in the whole corpus. An n-gram that at most ``HELD`` items hold is a
+rare seed: wherever a document has it, it proposes the diagonals of these items. One that
+more items hold (a common opening) proposes an item only where the passage also has one of
+the item's rarest words: a copy shares at least ``LEAST`` of an item's words, so it has one
+of the others plus one, the rarest in corpus and items. Nothing is lost by that, and a common
+opening costs what its passages hold in common with items, not the number of items. A copy
+keeps a seed as long as ``NGRAM`` words in a row are unedited.
+
+Near diagonals are one passage, wide enough for all gaps that a copy may have; the item is
+aligned with it unless the words that both have are too few for a copy. The passage is a copy
+if the alignment scores at least ``LEAST`` of a perfect one. Documents are read where they lie
+and never shuffled.
 
 The items are worked on in blocks of at most about ``BLOCK_WORDS`` words, so what is sent to
-the tasks is bounded; more items mean more passes.
+the tasks is bounded; more items mean more passes. An alignment costs the product of the
+words of item and passage.
 """
 
 from __future__ import annotations
@@ -26,6 +33,8 @@ from shelfmark.llm.words import LOWER, Words, mix
 
 NGRAM = 3
 LEAST = 0.5
+#: Items that may hold a rare seed. Either way of joining gives the same rows.
+HELD = 8
 BLOCK_WORDS = 1 << 20
 SLICE_BYTES = 1 << 21
 CELLS = 1 << 22
@@ -51,6 +60,7 @@ class Items:
         self.at = starts - words.first[:-1][self.item]
         self.gram = words.run_hash(starts, n)
         self.known = np.unique(self.gram)
+        self.known_words, self.word_n = np.unique(self.words, return_counts=True)
 
         # Words of each item, as one key a pair of word and item, with how often the item has them.
         self.pair, self.pair_n = np.unique(self.pair_key(np.repeat(np.arange(len(ids)), words.counts), self.words), return_counts=True)
@@ -59,11 +69,37 @@ class Items:
     def pair_key(item: np.ndarray, word: np.ndarray) -> np.ndarray:
         return mix(word + mix(item.astype(np.uint64), 1))
 
-    def seeded(self, counts: np.ndarray) -> None:
-        """Keep the n-grams that occur."""
-        order = np.flatnonzero(counts[np.searchsorted(self.known, self.gram)] > 0)
+    def seeded(self, grams: np.ndarray, words: np.ndarray, least: float) -> None:
+        """Choose seeds by the corpus counts of ``known`` n-grams and ``known_words``."""
+        m = np.diff(self.first)
+        need = np.maximum(np.ceil(least * m), 1).astype(np.int64)
+        which = np.searchsorted(self.known_words, self.words)
+        count, load = words[which], (words * self.word_n)[which]
+        owner = np.repeat(np.arange(len(m)), m)
+        possible = np.bincount(owner[count > 0], minlength=len(m)) >= need
+
+        # n-grams that occur, of items that a document can hold.
+        order = np.flatnonzero((grams[np.searchsorted(self.known, self.gram)] > 0) & possible[self.item])
         order = order[np.argsort(self.gram[order], kind="stable")]
-        self.seed, self.seed_item, self.seed_at = self.gram[order], self.item[order], self.at[order]
+        seed, item, at = self.gram[order], self.item[order], self.at[order]
+        both = np.unique(np.stack([seed, item.astype(np.uint64)]), axis=1) if len(seed) else np.zeros((2, 0), np.uint64)
+        held, items = np.unique(both[0], return_counts=True)
+        self.frequent = held[items > HELD]
+        often = np.isin(seed, self.frequent)
+        self.seed, self.seed_item, self.seed_at = seed[~often], item[~often], at[~often]
+
+        # Frequent n-grams are known by item; a copy has one of the ``m - need + 1`` rarest words of the item.
+        key = self.pair_key(item[often], seed[often])
+        by_key = np.argsort(key, kind="stable")
+        self.held, self.held_at = key[by_key], at[often][by_key]
+        order = np.lexsort((self.words, load, owner))
+        place = np.arange(len(order)) - self.first[:-1][owner]
+        wanted = np.zeros(len(m), bool)
+        wanted[item[often]] = True
+        rare = order[(place <= (m - need)[owner]) & wanted[owner]]
+        rare = rare[count[rare] > 0]
+        word, one = np.unique(np.stack([self.words[rare], owner[rare].astype(np.uint64)]), axis=1) if len(rare) else np.zeros((2, 0), np.uint64)
+        self.rare, self.rare_item = word, one.astype(np.int64)
 
     def shared(self, item: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """How many words each item has in common with its passage ``words[low:high]``: no alignment has more matches."""
@@ -115,22 +151,74 @@ def padded(parts: list[np.ndarray], fill: int, backwards: bool = False) -> np.nd
     return out
 
 
-def passages(words: Words, items: Items, least: float) -> Iterator[tuple[int, int, int, int]]:
-    """(text, item, first word, word after the last) of the passages that may hold a copy of the item."""
+def pieces(sizes: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows of ``sizes`` entries each, in pieces of bounded total: (rows, row of each entry within them, entry within its row)."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + CELLS // 8, "right")), at + 1)
+        n = sizes[at:to]
+        row = np.repeat(np.arange(to - at), n)
+        yield slice(at, to), row, np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        at = to
+
+
+def proposals(words: Words, items: Items, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, item, diagonal) of the seeds that texts and items share, in pieces."""
     starts, text = words.runs(items.n)
     grams = words.run_hash(starts, items.n)
     low, high = np.searchsorted(items.seed, grams, "left"), np.searchsorted(items.seed, grams, "right")
     hits = np.flatnonzero(high > low)
-    total, at = np.cumsum((high - low)[hits]), 0
-    while at < len(hits):
-        to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + CELLS // 8, "right")), at + 1)
-        hit, at = hits[at:to], to
-        reps = (high - low)[hit]
-        which = np.repeat(low[hit], reps) + np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
-        doc, item = np.repeat(text[hit], reps), items.seed_item[which]
-        diagonal = np.repeat(starts[hit] - words.first[:-1][text[hit]], reps) - items.seed_at[which]
+    for rows, row, k in pieces((high - low)[hits]):
+        hit = hits[rows][row]
+        which = low[hit] + k
+        yield text[hit], items.seed_item[which], starts[hit] - words.first[:-1][text[hit]] - items.seed_at[which]
+
+    # Frequent seeds: each rare word of an item looks for the item's n-grams within its reach.
+    if not len(items.frequent):
+        return
+    near = np.minimum(np.searchsorted(items.frequent, grams), len(items.frequent) - 1)
+    near = np.flatnonzero(items.frequent[near] == grams)
+    if not len(near):
+        return
+    place, gram = starts[near], grams[near]
+    low, high = np.searchsorted(items.rare, words.hash, "left"), np.searchsorted(items.rare, words.hash, "right")
+    doc_of = np.repeat(np.arange(len(words.counts)), words.counts)
+    size = np.diff(items.first)
+    hits = np.flatnonzero(high > low)
+    for rows, row, k in pieces((high - low)[hits]):
+        at = hits[rows][row]
+        item, doc = items.rare_item[low[at] + k], doc_of[at]
+        m = size[item]
+        pad = gaps(m, least)
+        a = np.searchsorted(place, np.maximum(at - m - pad, words.first[:-1][doc]))
+        b = np.searchsorted(place, np.minimum(at + m + pad + 1, words.first[1:][doc]))
+        for part, r, j in pieces(np.maximum(b - a, 0)):
+            p = a[part][r] + j
+            key = items.pair_key(item[part][r], gram[p])
+            left = np.searchsorted(items.held, key, "left")
+            ok = np.flatnonzero(items.held[np.minimum(left, len(items.held) - 1)] == key)
+            r, p, left = r[ok], p[ok], left[ok]
+            n = np.searchsorted(items.held, key[ok], "right") - left
+            for some, s, e in pieces(n):
+                of = r[some][s]
+                diagonal = place[p[some][s]] - items.held_at[left[some][s] + e]
+                word, d, i = at[part][of], doc[part][of], item[part][of]
+                inside = (word >= diagonal - pad[part][of]) & (word < diagonal + m[part][of] + pad[part][of])
+                rows3 = np.stack([d, i, diagonal - words.first[:-1][d]])[:, inside]
+                if rows3.shape[1]:
+                    yield tuple(np.unique(rows3, axis=1))
+
+
+def gaps(m: np.ndarray, least: float) -> np.ndarray:
+    """How many gaps a copy of an item of ``m`` words has at most."""
+    return np.maximum(m - np.ceil(least * m).astype(np.int64), 0)
+
+
+def passages(words: Words, items: Items, least: float) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first word, word after the last) of the passages that may hold a copy of the item."""
+    for doc, item, diagonal in proposals(words, items, least):
         m = np.diff(items.first)[item]
-        pad = np.maximum(m - np.ceil(least * m).astype(np.int64), 0)  # a copy has no more gaps
+        pad = gaps(m, least)
         near = diagonal // np.maximum(pad, 8)
         order = np.lexsort((diagonal, near, item, doc))
         doc, item, diagonal, near, m, pad = (x[order] for x in (doc, item, diagonal, near, m, pad))
@@ -149,7 +237,7 @@ def passages(words: Words, items: Items, least: float) -> Iterator[tuple[int, in
 def found(texts: list[bytes | None], items: Items, least: float) -> list[tuple[int, int, float, int, int, int]]:
     """(text, item, score, item words, first word, word after the last) of the best copy of each item in each text."""
     words = plain(texts)
-    tasks = list(passages(words, items, least))
+    tasks = sorted(set(passages(words, items, least)))
     tasks.sort(key=lambda t: t[3] - t[2])
     best: dict[tuple[int, int], tuple[int, int]] = {}
     at = 0
@@ -187,29 +275,30 @@ def item_blocks(items: DataFrame, text: str, item_id: str, block_words: int) ->
         yield [r[0] for r in rows], [None if r[1] is None else r[1].encode() for r in rows]
 
 
-def seeded_blocks(docs: DataFrame, items: DataFrame, text: str, item_text: str, item_id: str, block_words: int) -> Iterator[Items]:
-    """Blocks of items with the seeds that occur in ``docs``."""
+def seeded_blocks(docs: DataFrame, items: DataFrame, text: str, item_text: str, item_id: str, block_words: int, least: float) -> Iterator[Items]:
+    """Blocks of items with their seeds, chosen by what occurs in ``docs``."""
     for ids, texts in item_blocks(items, item_text, item_id, block_words):
         block = Items(ids, texts, NGRAM)
         if not len(block.known):
             continue
-        known = block.known
+        known = block.known, block.known_words
 
-        def count(batches: Iterator[pa.RecordBatch], known: np.ndarray = known) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(known), np.int64)
+        def count(batches: Iterator[pa.RecordBatch], known: tuple = known) -> Iterator[pa.RecordBatch]:
+            totals = [np.zeros(len(k), np.int64) for k in known]
             for batch in batches:
                 for part in split_by_bytes(batch, text, SLICE_BYTES):
                     words = plain(bytes_of(part.column(text)))
-                    grams = words.run_hash(words.runs(NGRAM)[0], NGRAM)
-                    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                    total += np.bincount(at[known[at] == grams], minlength=len(known))
+                    for total, k, keys in zip(totals, known, (words.run_hash(words.runs(NGRAM)[0], NGRAM), words.hash), strict=True):
+                        at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+                        total += np.bincount(at[k[at] == keys], minlength=len(k))
+            total = np.concatenate(totals)
             met = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(met, pa.int64()), "n": pa.array(total[met], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(met, pa.int64()), "n": pa.array(total[met], pa.int64())})
 
-        counts = np.zeros(len(known), np.int64)
-        for r in docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
+        counts = np.zeros(len(known[0]) + len(known[1]), np.int64)
+        for r in docs.select(text).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n")).collect():
             counts[r[0]] = r[1]
-        block.seeded(counts)
+        block.seeded(counts[: len(known[0])], counts[len(known[0]) :], least)
         yield block
 
 
@@ -227,7 +316,7 @@ def leaks(
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = docs.sparkSession.createDataFrame([], HITS)
-    for block in seeded_blocks(rows, items, "text", item_text, item_id, block_words):
+    for block in seeded_blocks(rows, items, "text", item_text, item_id, block_words, least):
 
         def look(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -249,7 +338,7 @@ def without_leaks(
 ) -> DataFrame:
     """``docs`` without the documents that hold a copy of a test item (see ``leaks``); all columns as they were."""
     out = docs
-    for block in seeded_blocks(docs, items, text, item_text, item_id, block_words):
+    for block in seeded_blocks(docs, items, text, item_text, item_id, block_words, least):
 
         def drop(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:

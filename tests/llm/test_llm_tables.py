@@ -8,6 +8,7 @@ import random
 import re
 import sys
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -177,8 +178,9 @@ def test_alignment_equals_plain_dynamic_programming():
         assert s == smith_waterman(a.tolist(), b.tolist()) == smith_waterman(a.tolist(), b[:e].tolist())
 
 
-@pytest.mark.parametrize("block_words", [5, 1 << 20])
-def test_leaks(spark, block_words):
+@pytest.mark.parametrize(("block_words", "held"), [(5, 8), (1 << 20, 8), (1 << 20, 0)])
+def test_leaks(spark, monkeypatch, block_words, held):
+    monkeypatch.setattr(decontaminate, "HELD", held)
     rng = random.Random(6)
     items = [(k, sentence(rng, 18 + k)) for k in range(12)] + [(50, None), (51, ""), (52, "w1 w2"), (3, "other text of item three here")]
     edit = items[5][1].split()
@@ -206,8 +208,10 @@ def test_leaks(spark, block_words):
     assert decontaminate.without_leaks(df, bench.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("held", [8, 0])
 @pytest.mark.parametrize("intact_copy", [False, True])
-def test_copies_with_every_few_words_edited(spark, intact_copy):
+def test_copies_with_every_few_words_edited(spark, monkeypatch, intact_copy, held):
+    monkeypatch.setattr(decontaminate, "HELD", held)
     rng = random.Random(8)
     items = [(k, sentence(rng, 16 + k)) for k in range(24)]
     rows = [(i, sentence(rng, 60)) for i in range(10)]
@@ -230,6 +234,42 @@ def test_copies_with_every_few_words_edited(spark, intact_copy):
     assert got == want and len(want) >= 20
 
 
+def test_items_with_a_shared_opening(spark, monkeypatch):
+    """Common openings, repeated words and equal items: either way of joining gives what the plain recursion gives."""
+    rng = random.Random(12)
+    opening = "choose the best answer below"
+    items = [(k, " ".join([opening, *(f"v{rng.randrange(40)}" for _ in range(3 + k % 9))])) for k in range(60)] + [(99, opening), (98, opening)]
+    rows = [(k, " ".join(f"v{rng.randrange(40)}" if rng.random() < 0.7 else opening for _ in range(40))) for k in range(30)]
+    rows += [(100 + k, f"v1 {t} v2") for k, t in items[::7]]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, k): s / len(plain(q)) for i, t in rows for k, q in items if (s := smith_waterman(plain(q), plain(t))) >= 0.5 * len(plain(q))}
+    for held in (0, 8, 1000):
+        monkeypatch.setattr(decontaminate, "HELD", held)
+        assert {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(df, bench).collect()} == want and len(want) > 100
+
+
+def test_a_common_opening_of_many_items_costs_seconds():
+    rng = random.Random(13)
+    opening = "read the passage and answer"
+    items = [" ".join([opening, *(f"v{rng.randrange(20000)}" for _ in range(10))]) for _ in range(16000)]
+    texts = [" ".join([f"v{rng.randrange(20000)}" for _ in range(20)] + opening.split()) for _ in range(7000)]
+    for k in range(50):
+        texts[100 * k] += " " + items[300 * k]
+    texts = [t.encode() for t in texts]
+    assert sum(map(len, texts)) > 1_000_000
+    block = decontaminate.Items(list(range(len(items))), [t.encode() for t in items], decontaminate.NGRAM)
+    words = decontaminate.plain(texts)
+    met = [collections.Counter(h.tolist()) for h in (words.run_hash(words.runs(3)[0], 3), words.hash)]
+    counts = [np.array([n[x] for x in keys.tolist()]) for keys, n in zip((block.known, block.known_words), met, strict=True)]
+    block.seeded(*counts, 0.5)
+    start = time.process_time()
+    got = decontaminate.found(texts, block, 0.5)
+    assert time.process_time() - start < 20
+    assert {(100 * k, 300 * k) for k in range(50)} <= {r[:2] for r in got}
+    for d, i, score, m, *_ in got:
+        assert smith_waterman(plain(items[i]), plain(texts[d].decode())) == round(score * m)
+
+
 # licences -------------------------------------------------------------------------
 
 
