@@ -11,7 +11,9 @@ from shelfmark.operators.scan import number_rows
 from shelfmark.session import cut, spread, table
 
 # An opening tag of a text element and what follows it up to the next other tag.
-ELEMENT = r"<(h1|p|li|footer)(?: [^>]*)?>((?:[^<]+|</?(?:b|a|br)(?: [^>]*)?>)*)"
+ELEMENT = r"<(title|h[1-6]|p|li|dt|dd|div|td|th|caption|figcaption|blockquote|pre|header|footer)(?: [^>]*)?>((?:[^<]+|</?(?:b|a|br)(?: [^>]*)?>)*)"
+#: Elements that often only hold others: without text of their own they are no block.
+HOLDERS = ("dt", "dd", "div", "td", "th", "caption", "figcaption", "blockquote", "pre", "header")
 PER_PAGE = 20
 
 
@@ -149,7 +151,7 @@ def page_elements(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.floor(F.col("pos") / PER_PAGE).cast("int").alias("page_idx"),
         (F.col("pos") % PER_PAGE).cast("long").alias("raw_pos"),
         F.regexp_extract("el", "^<([a-z0-9]+)", 1).alias("tag"), text.strip_html(F.col("el")).alias("body"),
-    )
+    ).where(~F.col("tag").isin(*HOLDERS) | (F.col("body") != ""))
 
 
 def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,21 +161,24 @@ def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
     item = F.array(
         F.struct(F.lit("text").alias("item_type"), seg.alias("item_content"), F.lit(1).alias("ilevel"), F.lit("-").alias("prefix"))
     )
-    kinds = {
-        "h1": ("title", F.struct(F.lit(1).alias("level"), seg.alias("title_content"))),
-        "p": ("paragraph", F.struct(seg.alias("paragraph_content"))),
-        "li": ("list", F.struct(F.lit("unordered").alias("list_type"), item.alias("list_items"))),
-        "footer": ("page_footer", F.struct(seg.alias("page_footer_content"))),
-    }
+    heading = F.col("tag").rlike("^(title|h[1-6])$")
+    level = F.coalesce(F.regexp_extract("tag", "^h([1-6])$", 1).try_cast("int"), F.lit(1))
+    kinds = [
+        (heading, "title", F.struct(level.alias("level"), seg.alias("title_content"))),
+        (F.col("tag").isin("li", "dt", "dd"), "list", F.struct(F.lit("unordered").alias("list_type"), item.alias("list_items"))),
+        (F.col("tag") == "header", "page_header", F.struct(seg.alias("page_header_content"))),
+        (F.col("tag") == "footer", "page_footer", F.struct(seg.alias("page_footer_content"))),
+        (F.lit(True), "paragraph", F.struct(seg.alias("paragraph_content"))),
+    ]
     y = F.col("raw_pos") * 40
-    block = F.lit(None).cast("string")
-    for tag, (kind, content) in kinds.items():
-        made = F.to_json(
-            F.struct(
-                F.lit(kind).alias("type"), F.array(F.lit(50), y, F.lit(950), y + 30).alias("bbox"), content.alias("content")
-            )
+    made = [
+        F.when(
+            met,
+            F.to_json(F.struct(F.lit(kind).alias("type"), F.array(F.lit(50), y, F.lit(950), y + 30).alias("bbox"), content.alias("content"))),
         )
-        block = F.when(F.col("tag") == tag, made).otherwise(block)
+        for met, kind, content in kinds
+    ]
+    block = F.coalesce(*made)
     return el.select("doc_id", "page_idx", "raw_pos", block.alias("block"))
 
 

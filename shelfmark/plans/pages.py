@@ -110,10 +110,11 @@ def block_type_rollup(spark, sf):
 
 def markdown_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Web pages rewritten as Markdown: headings, sub-headings for list items, lines of text."""
-    el = C.page_elements(spark, sf).where(F.col("tag") != "footer")
-    line = F.when(F.col("tag") == "h1", F.concat(F.lit("# "), "body")).when(
-        F.col("tag") == "li", F.concat(F.lit("## "), "body")
-    ).otherwise(F.col("body"))
+    el = C.page_elements(spark, sf).where(~F.col("tag").isin("header", "footer"))
+    level = F.regexp_extract("tag", "^h([1-6])$", 1).try_cast("int")
+    line = F.when(F.col("tag") == "title", F.concat(F.lit("# "), "body")).when(
+        level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), "body")
+    ).when(F.col("tag") == "li", F.concat(F.lit("## "), "body")).otherwise(F.col("body"))
     lines = el.select("doc_id", (F.col("page_idx") * C.PER_PAGE + F.col("raw_pos")).alias("pos"), line.alias("line"))
     docs = joined_text(lines, ["doc_id"], "pos", "line", "\n", "text")
     return docs.withColumn("source_format", F.when(F.col("doc_id") % 10 == 9, "txt").otherwise("md"))
@@ -121,7 +122,8 @@ def markdown_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("markdown_sections", f"""
 WITH {S.ELEMENTS},
-ml AS (SELECT doc_id, pos, CASE tag WHEN 'h1' THEN '# ' || body WHEN 'li' THEN '## ' || body ELSE body END AS line FROM pel WHERE tag <> 'footer'),
+ml AS (SELECT doc_id, pos, CASE WHEN tag = 'title' THEN '# ' || body WHEN tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') THEN repeat('#', substr(tag, 2)::INT) || ' ' || body
+   WHEN tag = 'li' THEN '## ' || body ELSE body END AS line FROM pel WHERE tag NOT IN ('header', 'footer')),
 md AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM ml GROUP BY doc_id),
 ls AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS line, unnest(range(len(str_split(text, chr(10))))) AS no FROM md WHERE doc_id % 10 <> 9),
 lh AS (SELECT *, length(regexp_extract(line, '^(#{{1,6}})\\s+(.*\\S)\\s*$', 1)) AS lvl, regexp_extract(line, '^(#{{1,6}})\\s+(.*\\S)\\s*$', 2) AS head FROM ls),

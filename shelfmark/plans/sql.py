@@ -245,12 +245,14 @@ gparents AS (SELECT 'pc-' || h.doc_id || '-' || h.root_ord AS parent_chunk_id, h
 
 ELEMENTS = rf"""
 pel0 AS (SELECT page_id AS doc_id,
-    unnest(regexp_extract_all(html, '<(h1|p|li|footer)(?: [^>]*)?>((?:[^<]+|</?(?:b|a|br)(?: [^>]*)?>)*)')) AS el,
-    unnest(range(len(regexp_extract_all(html, '<(h1|p|li|footer)(?: [^>]*)?>((?:[^<]+|</?(?:b|a|br)(?: [^>]*)?>)*)')))) AS pos FROM pages),
+    unnest(regexp_extract_all(html, '<(title|h[1-6]|p|li|dt|dd|div|td|th|caption|figcaption|blockquote|pre|header|footer)(?: [^>]*)?>((?:[^<]+|</?(?:b|a|br)(?: [^>]*)?>)*)')) AS el,
+    unnest(range(len(regexp_extract_all(html, '<(title|h[1-6]|p|li|dt|dd|div|td|th|caption|figcaption|blockquote|pre|header|footer)(?: [^>]*)?>((?:[^<]+|</?(?:b|a|br)(?: [^>]*)?>)*)')))) AS pos FROM pages),
 pel AS (SELECT doc_id, (pos // 20)::INT AS page_idx, pos % 20 AS raw_pos, pos, regexp_extract(el, '^<([a-z0-9]+)', 1) AS tag,
-    {strip("regexp_replace(el, '<[^>]+>', ' ', 'g')")} AS body FROM pel0),
-pb AS (SELECT *, CASE tag WHEN 'h1' THEN 'title' WHEN 'p' THEN 'paragraph' WHEN 'li' THEN 'list' ELSE 'page_footer' END AS type,
-    CASE WHEN tag = 'footer' THEN 'auxiliary' ELSE 'main' END AS role,
-    CASE WHEN tag = 'li' THEN CASE WHEN body <> '' THEN '  - ' || body ELSE '' END ELSE body END AS text,
+    {strip("regexp_replace(el, '<[^>]+>', ' ', 'g')")} AS body FROM pel0
+    WHERE regexp_extract(el, '^<([a-z0-9]+)', 1) NOT IN ('dt', 'dd', 'div', 'td', 'th', 'caption', 'figcaption', 'blockquote', 'pre', 'header') OR body <> ''),
+pb AS (SELECT *, CASE WHEN tag IN ('title', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6') THEN 'title' WHEN tag IN ('li', 'dt', 'dd') THEN 'list' WHEN tag = 'header' THEN 'page_header'
+    WHEN tag = 'footer' THEN 'page_footer' ELSE 'paragraph' END AS type,
+    CASE WHEN tag IN ('header', 'footer') THEN 'auxiliary' ELSE 'main' END AS role,
+    CASE WHEN tag IN ('li', 'dt', 'dd') THEN CASE WHEN body <> '' THEN '  - ' || body ELSE '' END ELSE body END AS text,
     printf('p%04d-b%04d-', page_idx, raw_pos) || substr(sha256(doc_id || ':' || page_idx || ':' || raw_pos), 1, 6) AS block_id FROM pel)
 """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text
 from shelfmark.operators import chunking, footnotes, hierarchy, normalize, quality
 from shelfmark.operators.scan import number_rows, running
+from shelfmark.plans import corpora
 
 RAW = "doc_id string, page_idx int, raw_pos long, block string"
 META = "title_level int, code_language string, table_html string, math_content string, retrieval_text_override string"
@@ -193,3 +194,21 @@ def test_audit_follows_children(spark):
     counts = quality.deviation_counts(quality.audit_blocks(raw(spark, [{"type": "code", "content": {"code_content": []}}])),
                                       spark.createDataFrame([("d",)], "doc_id string")).first()
     assert counts.is_clean
+
+
+def test_every_text_tag_of_a_page_is_a_block(spark, tmp_path):
+    html = (
+        "<html><head><title>Name</title></head><body><header>top</header><div><div class='a'>note</div></div><h1>One</h1><h3>Deep<b>er</b></h3>"
+        "<p>text</p><table><caption></caption><tr><th>k</th><td>v</td><td><p>in</p></td></tr></table><dl><dt>term</dt><dd>said</dd></dl>"
+        "<pre>x = 1</pre><blockquote>quoted</blockquote><figcaption>Fig</figcaption><footer>end</footer></body></html>"
+    )
+    spark.createDataFrame([(1, "u", html), (2, "u", None), (3, "u", "")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = corpora.page_elements(spark, str(tmp_path)).orderBy("raw_pos").collect()
+    assert [(r.tag, r.body) for r in got] == [
+        ("title", "Name"), ("header", "top"), ("div", "note"), ("h1", "One"), ("h3", "Deep er"), ("p", "text"), ("th", "k"), ("td", "v"), ("p", "in"),
+        ("dt", "term"), ("dd", "said"), ("pre", "x = 1"), ("blockquote", "quoted"), ("figcaption", "Fig"), ("footer", "end"),
+    ]
+    blocks = normalize.normalize(corpora.page_blocks(spark, str(tmp_path))).orderBy("order_in_doc").collect()
+    kinds = {r.text: (r.type, r.metadata.title_level) for r in blocks}
+    assert len(blocks) == 15 and kinds["Name"] == ("title", 1) and kinds["Deep er"] == ("title", 3) and kinds["note"][0] == "paragraph"
+    assert kinds["top"][0] == "page_header" and kinds["end"][0] == "page_footer"
