@@ -424,8 +424,8 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream; its path may be a file or a folder of files, which a pattern matches alike."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query("incremental_index", f"""
