@@ -29,7 +29,8 @@ KEYWORD_LIMIT = 8
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    # One run to the end and back to the last visible character; a search for outer space would stop at every character.
+    return F.regexp_extract(c, f"(?s)^{SPACE}*(.*[^{SPACE[1:]})?", 1)
 
 
 def blank(c: Column) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions import text
 
@@ -73,9 +78,43 @@ def scalars(totals: DataFrame) -> Column:
 
 def term_statistics(posts: DataFrame, totals: DataFrame) -> DataFrame:
     """(term, df, idf, avg_len): the corpus totals ride along with each term."""
-    corpus = scalars(totals)
-    return (
-        document_frequency(posts)
-        .withColumn("_t", corpus)
-        .select("term", "df", idf(F.col("_t.n_chunks"), F.col("df")).alias("idf"), F.col("_t.avg_len").alias("avg_len"))
+    return weights(document_frequency(posts), totals)
+
+
+def weights(frequency: DataFrame, totals: DataFrame) -> DataFrame:
+    """(term, df, idf, avg_len) from the frequencies of terms."""
+    return frequency.withColumn("_t", scalars(totals)).select(
+        "term", "df", idf(F.col("_t.n_chunks"), F.col("df")).alias("idf"), F.col("_t.avg_len").alias("avg_len")
     )
+
+
+def positions(toks: DataFrame) -> DataFrame:
+    """(term, chunk_id, doc_id, doc_len, tf, positions) of tokenised chunks, made where the chunks lie."""
+    kind = lambda c: toks.schema[c].dataType
+    schema = T.StructType([
+        T.StructField("term", T.StringType()), *[T.StructField(c, kind(c)) for c in ("chunk_id", "doc_id", "doc_len")],
+        T.StructField("tf", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType())),
+    ])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("toks")
+            lens = np.diff(column.offsets.to_numpy())
+            row, words = np.repeat(np.arange(len(lens)), lens), column.flatten().dictionary_encode()
+            if not len(row):
+                continue
+            spot = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
+            key = row * len(words.dictionary) + words.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0])
+            ends = np.r_[first, len(key)].astype(np.int32)
+            at, term = pa.array(row[order[first]]), pa.array(key[order[first]] % len(words.dictionary))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    words.dictionary.take(term), *[batch.column(c).take(at) for c in ("chunk_id", "doc_id", "doc_len")],
+                    pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(spot[order].astype(np.int32))),
+                ],
+                names=schema.names,
+            )
+
+    return toks.select("chunk_id", "doc_id", "doc_len", "toks").mapInArrow(made, schema)

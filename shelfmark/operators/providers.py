@@ -7,12 +7,14 @@ of failing the job. The defaults are deterministic and need no network.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,26 +38,25 @@ class Describer(Protocol):
     def describe(self, kind: str, content: str) -> str: ...
 
 
-def hashed_terms(c: Column, size: int = VECTOR_SIZE) -> Column:
-    """A signed slot for every search token of a text: the slot, or -1 minus it."""
-    part = lambda t, at, n: F.conv(F.substring(F.md5(t.cast("binary")), at, n), 16, 10).cast("int")
-    slot = lambda t: part(t, 1, 4) % size
-    return F.transform(text.tokens(c), lambda t: F.when(part(t, 5, 1) % 2 == 0, slot(t)).otherwise(-1 - slot(t)))
+def token_vectors(toks: Column, size: int = VECTOR_SIZE) -> Column:
+    """Signed counts of tokens by hashed slot, whole numbers so that sums are exact; cosine search divides by their lengths."""
 
+    def slot(token: str) -> int:
+        """The slot of a token, or -1 minus it."""
+        digest = hashlib.md5(token.encode()).hexdigest()
+        at = int(digest[:4], 16) % size
+        return at if int(digest[4], 16) % 2 == 0 else -1 - at
 
-def hashed_vectors(c: Column, size: int = VECTOR_SIZE) -> Column:
-    """Signed token counts by slot, whole numbers so that sums are exact; cosine search divides by their lengths."""
+    @F.arrow_udf("array<float>")
+    def vectors(rows: pa.Array) -> pa.Array:
+        words, n = rows.flatten().dictionary_encode(), len(rows)
+        slots = np.array([slot(w) for w in words.dictionary.to_pylist()] or [0], np.int64)[words.indices.to_numpy()]
+        at, sign = np.where(slots < 0, -1 - slots, slots), np.where(slots < 0, -1.0, 1.0)
+        cell = np.repeat(np.arange(n), np.diff(rows.offsets.to_numpy())) * size + at
+        out = np.bincount(cell, sign, minlength=n * size).astype(np.float32)
+        return pa.ListArray.from_arrays(np.arange(0, (n + 1) * size, size, dtype=np.int32), pa.array(out))
 
-    @F.pandas_udf("array<float>")
-    def vectors(codes: pd.Series) -> pd.Series:
-        n = codes.map(len).to_numpy()
-        flat = np.concatenate([*codes, np.zeros(0, np.int32)]).astype(np.int64)
-        row = np.repeat(np.arange(len(n)), n)
-        slot, sign = np.where(flat < 0, -1 - flat, flat), np.where(flat < 0, -1.0, 1.0)
-        out = np.bincount(row * size + slot, sign, minlength=len(n) * size).reshape(len(n), size)
-        return pd.Series(list(out.astype(np.float32)))
-
-    return vectors(hashed_terms(c, size))
+    return vectors(toks)
 
 
 def embed(
@@ -64,10 +65,10 @@ def embed(
 ) -> DataFrame:
     """Add ``embedding``; row and vector stay together, so their counts cannot differ.
 
-    Without a provider the vector is that of the hashed search tokens (``hashed_vectors``).
+    Without a provider the vector is that of the hashed search tokens (``token_vectors``).
     """
     if provider is None:
-        return df.withColumn("embedding", hashed_vectors(F.col(text_col)))
+        return df.withColumn("embedding", token_vectors(text.tokens(F.col(text_col))))
     model = provider
 
     @F.pandas_udf("array<float>")

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from shelfmark.operators import hierarchy, providers
 from shelfmark.operators import retrieval as R
+from shelfmark.operators import vectors as V
 from shelfmark.sources import bundles, search_index, stores
 
 
@@ -80,3 +82,29 @@ def test_circles_are_flat(spark):
     secs = spark.createDataFrame(rows, "doc_id string, section_id string, parent_section_id string")
     got = {r.section_id: (r.depth, r.is_root, r.in_cycle) for r in hierarchy.section_tree(secs).collect()}
     assert got == {"a": (0, True, True), "b": (0, True, True), "r": (0, True, False), "k": (1, False, False), "g": (2, False, False), "o": (0, True, False)}
+
+
+def test_only_short_hit_lists_leave_a_task(spark, tmp_path, monkeypatch):
+    """A word of all chunks and all queries: no pair of them is shuffled, and a batch is one table."""
+    root = str(tmp_path / "index")
+    rows = [(d, 0, "common " * (d % 5 + 1) + f"own{d}") for d in range(200)]
+    search_index.add_batch(chunks(spark, rows), ids(spark, *range(200)), root)
+    assert stores.versions(spark, root)[0].tables == ["chunks"]
+    index = search_index.opened(spark, root)
+    queries = spark.createDataFrame([(f"q{i}", f"common own{i}") for i in range(30)], "query_id string, text string")
+    left, ranked = [], V.ranked
+    monkeypatch.setattr(V, "ranked", lambda found, k: left.append((found.count(), found.rdd.getNumPartitions())) or ranked(found, k))
+    for mode in ("or", "and"):
+        got = search_index.keyword_hits(index, queries, 3, mode).collect()
+        want = search_index.keyword_hits(index, queries, None, mode)
+        want = R.top(want, 3, R.by_score()).collect()
+        pick = lambda found: sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in found)
+        assert pick(got) == pick(want)
+    assert len(left) == 2 and all(n <= 30 * 3 * parts for n, parts in left)
+
+
+def test_copies_tie_by_id():
+    best = V.Best(np.array(["a", "b"]), 2)
+    for at in range(0, 40, 10):
+        best.add(np.full((10, 2), 0.5), np.array([f"c{99 - i}" for i in range(at, at + 10)]))
+    assert sorted(zip(best.kept["q"], best.kept["chunk_id"])) == [(0, "c60"), (0, "c61"), (1, "c60"), (1, "c61")]
