@@ -446,11 +446,11 @@ UNION ALL SELECT doc_id, 'block_id_repeated', 'error', block2, count(*) - 1 FROM
 """
 
 
-def spoiled_blocks(spark: SparkSession, sf: str) -> DataFrame:
+def spoiled_blocks(blocks: DataFrame) -> DataFrame:
     """The tree after some of its blocks were spoiled."""
     n = F.col("order_in_doc")
     box = F.col("bbox_norm1000")
-    return C.tree(spark, sf).withColumns({
+    return blocks.withColumns({
         "text": F.when(n % 50 == 7, "").otherwise(F.col("text")),
         "section_id": F.when(n % 60 == 11, "").otherwise(F.col("section_id")),
         "page_idx": F.when(n % 40 == 3, -1).otherwise(F.col("page_idx")),
@@ -464,7 +464,7 @@ def spoiled_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("block_violations", f"WITH {S.TREE}, {_SPOILED} {_VIOLATIONS}")
 def block_violations(spark, sf):
-    found = quality.check_blocks(spoiled_blocks(spark, sf))
+    found = quality.check_blocks(spoiled_blocks(C.tree(spark, sf)))
     return found.groupBy("doc_id", "check", "severity", "ctx").agg(F.sum("times").alias("times"))
 
 
@@ -501,7 +501,7 @@ SELECT doc_id, coalesce(string_agg(DISTINCT message, '|' ORDER BY message), '')
 def document_warnings(spark, sf):
     """The first messages of all checks, and the status that follows."""
     blocks = C.tree(spark, sf)
-    found = quality.check_blocks(spoiled_blocks(spark, sf)).dropDuplicates(["doc_id", "check", "ctx"])
+    found = quality.check_blocks(spoiled_blocks(blocks)).dropDuplicates(["doc_id", "check", "ctx"])
     docs = blocks.select("doc_id").distinct()
     return quality.document_status(docs, quality.top_messages(found)).select(
         "doc_id", F.array_join("warnings", "|").alias("warnings"), "status"

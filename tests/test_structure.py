@@ -212,3 +212,11 @@ def test_every_text_tag_of_a_page_is_a_block(spark, tmp_path):
     kinds = {r.text: (r.type, r.metadata.title_level) for r in blocks}
     assert len(blocks) == 15 and kinds["Name"] == ("title", 1) and kinds["Deep er"] == ("title", 3) and kinds["note"][0] == "paragraph"
     assert kinds["top"][0] == "page_header" and kinds["end"][0] == "page_footer"
+
+
+def test_document_warnings_build_the_tree_once(spark, monkeypatch):
+    from shelfmark.plans import structure
+
+    built, tree = [], structure.C.tree
+    monkeypatch.setattr(structure.C, "tree", lambda *a: built.append(a) or tree(*a))
+    assert structure.document_warnings(spark, "/root/testdata/sf0.001").count() == 5 and len(built) == 1
