@@ -42,7 +42,7 @@ def running(
     ``states`` maps a new column to (kind, expression); those of ``backward`` run from the last
     row to the first. Rows of ``order`` are unique per key. The input is read once: its rows with the states
     inside their ranges are written, the ends of the ranges are carried from there, and only
-    keys of more than one range have something to add.
+    keys with rows beyond the lowest range can have something to add.
     """
     keys, after = list(keys), dict(backward or {})
     ranged = df.withColumn("_range", F.floor(F.col(order) / width))
@@ -52,13 +52,20 @@ def running(
     here = {n: _REDUCE[kind](expr).over(down if n in after else up) for n, (kind, expr) in every.items()}
     staged = cut(ranged.select(*df.columns, "_range", *[c.alias(f"_l_{n}") for n, c in here.items()]))
 
+    low, high = staged.agg(F.min("_range"), F.max("_range")).first()
+    if low == high:
+        none = lambda n: F.lit(None).cast(staged.schema[f"_l_{n}"].dataType)
+        return staged.select(*df.columns, *[_merge(kind, none(n), F.col(f"_l_{n}")).alias(n) for n, (kind, _) in every.items()])
+
     def end(name: str, kind: str) -> Column:
         """The state of a whole range: that of the row that is reached last."""
         if kind != "sum":
             return _REDUCE[kind](f"_l_{name}")
         return (F.min_by if name in after else F.max_by)(f"_l_{name}", order)
 
-    spans = staged.groupBy(*keys, "_range").agg(*[end(n, kind).alias(f"_s_{n}") for n, (kind, _) in every.items()])
+    beyond = staged.where(F.col("_range") > low).select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
+    wide = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    spans = staged.join(beyond, wide, "left_semi").groupBy(*keys, "_range").agg(*[end(n, kind).alias(f"_s_{n}") for n, (kind, _) in every.items()])
     before = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     first, last = before.orderBy(F.col("_range").asc()), before.orderBy(F.col("_range").desc())
     carried = spans.withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_many > 1").select(
@@ -80,14 +87,26 @@ def number_rows(
     order: Sequence[Column],
     ranges: Sequence[Sequence[Column]],
     name: str,
+    *,
+    small: int | None = None,
 ) -> DataFrame:
     """Dense 0-based numbers per key, in ``order``.
 
     ``ranges`` lists, from coarse to fine, expressions that grow with ``order``;
     each level only has to be numbered inside the one above it, so neither the
-    rows nor the range counts of one key meet in a single task.
+    rows nor the range counts of one key meet in a single task. Where most keys have few rows,
+    ``small`` says up to how many are numbered as they are; only larger keys are cut into ranges.
     """
     keys = list(keys)
+    if small is not None:
+        large = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small).select(*keys))
+        whole = lambda rows: rows.withColumn(
+            name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long")
+        )
+        if large.isEmpty():
+            return whole(df)
+        ranged = number_rows(df.join(large, keys, "left_semi"), keys, order, ranges, name)
+        return whole(df.join(large, keys, "left_anti")).select(*df.columns, name).unionByName(ranged)
     levels: list[list[str]] = []
     ranged = df
     for i, exprs in enumerate(ranges):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import geometry
 from shelfmark.operators import chunking, context, footnotes, hierarchy, layout, normalize, quality
+from shelfmark.operators.scan import WIDTH
 from shelfmark.plans import corpora as C
 from shelfmark.plans import sql as S
 from shelfmark.plans.registry import query
@@ -293,7 +294,7 @@ def nearest_anchor(spark, sf):
     """Returned lines as notes, the other lines of their order as anchors."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
     cols = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
-    lines = C.number_rows(li, ["l_orderkey"], cols, [[F.col("l_linenumber"), F.floor(F.col("l_partkey") / 65536)]], "ord")
+    lines = C.number_rows(li, ["l_orderkey"], cols, [[F.col("l_linenumber"), F.floor(F.col("l_partkey") / 65536)]], "ord", small=WIDTH)
     note = F.col("l_returnflag") == "R"
     out = footnotes.nearest(lines, ["l_orderkey"], "ord", ~note, note).where(F.col("anchor_order").isNotNull())
     return out.select("l_orderkey", "ord", "anchor_order")

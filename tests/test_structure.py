@@ -255,3 +255,31 @@ def test_equal_raw_blocks_are_audited_once(spark, monkeypatch):
         texts[3]: [(0, "error", "", None)], None: [(0, "error", "", None)],
     }
     assert {k: sorted(v, key=str) for k, v in got.items()} == {(d, p, k): sorted(want[t], key=str) for d, p, k, t in rows}
+
+
+def test_small_keys_are_numbered_and_carried_without_ranges(spark, monkeypatch):
+    from shelfmark.operators import scan
+
+    rows = [("big", i, i * 7 % 50) for i in range(50)] + [(k, i, 9 - i) for k in "abc" for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, i long, x long")
+    ranges = [[F.floor(F.col("x") / 8)]]
+    want = {tuple(r) for r in scan.number_rows(df, ["k"], [F.col("x")], ranges, "no").collect()}
+    for small in (2, 10, 100):
+        assert {tuple(r) for r in scan.number_rows(df, ["k"], [F.col("x")], ranges, "no", small=small).collect()} == want
+
+    cuts, cut = [], scan.cut
+    monkeypatch.setattr(scan, "cut", lambda d: cuts.append(d) or cut(d))
+    state = lambda width: {
+        tuple(r) for r in scan.running(
+            df, ["k"], "i", {"m": ("max", F.col("x")), "s": ("sum", F.col("x"))}, backward={"l": ("min", F.col("x"))}, width=width
+        ).collect()
+    }
+    whole = state(100)
+    assert len(cuts) == 1  # one range: nothing to carry
+    assert state(8) == whole and len(cuts) == 3
+    by_key = {}
+    for k, i, x in rows:
+        by_key.setdefault(k, []).append((i, x))
+    for k, i, x, m, s, low in whole:
+        before, after = [v for j, v in by_key[k] if j <= i], [v for j, v in by_key[k] if j >= i]
+        assert (m, s, low) == (max(before), sum(before), min(after))
