@@ -11,7 +11,9 @@ A store has one writer at a time.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -190,23 +192,21 @@ class NoteWriter(DataSourceWriter):
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), self.root)
-        written = []
+        task, written = uuid.uuid4().hex, []
         try:
             for row in rows:
-                path = f"{root}/{row['path']}"
                 if any(part in ("", ".", "..") for part in row["path"].split("/")):
                     raise ValueError(f"not a path below the folder: {row['path']!r}")
-                store.create_dir(posixpath.dirname(path), recursive=True)
-                made = f"{posixpath.dirname(path)}/.{posixpath.basename(path)}.{uuid.uuid4().hex}"
-                written.append((made, path))
-                with store.open_output_stream(made) as out:
+                store.create_dir(posixpath.dirname(f"{root}/{row['path']}"), recursive=True)
+                written.append(row["path"])
+                with store.open_output_stream(made_as(root, row["path"], task)) as out:
                     out.write((row["content"] or "").encode())
         except Exception:
-            for made, _ in written:
+            for made in (made_as(root, path, task) for path in written):
                 if store.get_file_info(made).type != fs.FileType.NotFound:
                     store.delete_file(made)
             raise
-        return Written(written)
+        return Written.of(task, written)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         self.each(messages, lambda store, made, path: store.move(made, path))
@@ -217,15 +217,32 @@ class NoteWriter(DataSourceWriter):
     def each(self, messages: list[WriterCommitMessage | None], act) -> None:
         from pyarrow import fs
 
-        store = fs.FileSystem.from_uri(self.root)[0] if "://" in self.root else fs.LocalFileSystem()
+        store, root = fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), self.root)
         for message in messages:
-            for made, path in message.files if message is not None else ():
-                act(store, made, path)
+            for path in message.paths() if message is not None else ():
+                act(store, made_as(root, path, message.task), f"{root}/{path}")
+
 
+def made_as(root: str, path: str, task: str) -> str:
+    """The name under which a task writes the file of ``path``."""
+    folder, _, name = f"{root}/{path}".rpartition("/")
+    return f"{folder}/.{name}.{task}"
 
+
+@dataclass
 class Written(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]) -> None:
-        self.files = files
+    """What a task tells the driver: its name and the paths below the folder, sorted and packed."""
+
+    task: str
+    packed: bytes
+
+    @classmethod
+    def of(cls, task: str, paths: list[str]) -> Written:
+        return cls(task, zlib.compress("\0".join(sorted(paths)).encode(), 6))
+
+    def paths(self) -> list[str]:
+        found = zlib.decompress(self.packed).decode()
+        return found.split("\0") if found else []
 
 
 class NoteFiles(DataSource):

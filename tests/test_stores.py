@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from shelfmark.operators import catalog, trace
@@ -133,3 +134,18 @@ def test_hits_without_a_document_stay(spark):
     got = {r.chunk_id: r.filename for r in trace.with_documents(hits, known).collect()}
     assert got == {"c1": "a.pdf", "c2": "a.pdf", "c3": None, "c4": None}
     assert [tuple(r) for r in trace.documents_of(hits, known).collect()] == [("q", 1, "a.pdf", "pdf")]
+
+
+def test_note_messages_do_not_hold_whole_names(tmp_path):
+    import pickle
+
+    rows = [Row(path=f"课堂录音/{d}/Alge_bra{d}第{n:02d}节课堂要点.md", content=f"{d} {n}") for d in range(20) for n in range(10)]
+    writer = stores.NoteWriter({"path": str(tmp_path)}, False)
+    message = writer.write(iter(rows))
+    assert len(pickle.dumps(message)) < 20 * len(rows)
+    assert not [f for f in tmp_path.rglob("*.md") if not f.name.startswith(".")]
+    writer.commit([message, None])
+    assert {str(f.relative_to(tmp_path)): f.read_text() for f in tmp_path.rglob("*") if f.is_file()} == {r.path: r.content for r in rows}
+    gone = writer.write(iter(rows[:3]))
+    writer.abort([gone])
+    assert len([f for f in tmp_path.rglob("*") if f.is_file()]) == len(rows)
