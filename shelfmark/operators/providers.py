@@ -38,8 +38,11 @@ class Describer(Protocol):
     def describe(self, kind: str, content: str) -> str: ...
 
 
-def token_vectors(toks: Column, size: int = VECTOR_SIZE) -> Column:
-    """Signed counts of tokens by hashed slot, whole numbers so that sums are exact; cosine search divides by their lengths."""
+def token_vectors(toks: Column, size: int = VECTOR_SIZE, packed: bool = False) -> Column:
+    """Signed counts of tokens by hashed slot, whole numbers so that sums are exact; cosine search divides by their lengths.
+
+    ``packed`` gives the 32-bit numbers of a vector as bytes.
+    """
 
     def slot(token: str) -> int:
         """The slot of a token, or -1 minus it."""
@@ -47,18 +50,35 @@ def token_vectors(toks: Column, size: int = VECTOR_SIZE) -> Column:
         at = int(digest[:4], 16) % size
         return at if int(digest[4], 16) % 2 == 0 else -1 - at
 
-    @F.arrow_udf("array<float>")
+    @F.arrow_udf("binary" if packed else "array<float>")
     def vectors(rows: pa.Array) -> pa.Array:
         words, n = rows.flatten().dictionary_encode(), len(rows)
         slots = np.array([slot(w) for w in words.dictionary.to_pylist()] or [0], np.int64)[words.indices.to_numpy()]
         at, sign = np.where(slots < 0, -1 - slots, slots), np.where(slots < 0, -1.0, 1.0)
         cell = np.repeat(np.arange(n), np.diff(rows.offsets.to_numpy())) * size + at
         out = np.bincount(cell, sign, minlength=n * size).astype(np.float32)
-        return pa.ListArray.from_arrays(np.arange(0, (n + 1) * size, size, dtype=np.int32), pa.array(out))
+        ends = np.arange(0, (n + 1) * size, size, dtype=np.int32)
+        return packed_rows(out, 4 * ends) if packed else pa.ListArray.from_arrays(ends, pa.array(out))
 
     return vectors(toks)
 
 
+def packed_rows(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Vectors, one behind the other, as bytes; ``ends`` counts these."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(numbers.astype("<f4"))])
+
+
+def packed_vectors(vectors: Column) -> Column:
+    """The 32-bit numbers of each vector as bytes: a vector is one value to write and to read."""
+
+    @F.arrow_udf("binary")
+    def pack(rows: pa.Array) -> pa.Array:
+        lens = np.where(rows.is_valid().to_numpy(zero_copy_only=False), rows.value_lengths().fill_null(0).to_numpy(), 0)
+        return packed_rows(rows.flatten().to_numpy(zero_copy_only=False), 4 * np.r_[0, np.cumsum(lens)])
+
+    return pack(vectors)
+
+
 def embed(
     df: DataFrame, text_col: str, provider: Embedder | None = None,
     *, text_type: str = "document", batch: int = EMBED_BATCH,

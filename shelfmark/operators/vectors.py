@@ -80,7 +80,11 @@ def _place(groups: np.ndarray) -> np.ndarray:
 
 
 def rows_of(column: pa.Array) -> np.ndarray:
-    """Vectors of a batch, all of one length, as a matrix."""
+    """Vectors of a batch, all of one length, as a matrix; they are lists of numbers or packed (``providers.packed_vectors``)."""
+    if pa.types.is_binary(column.type):
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        flat = np.frombuffer(column.buffers()[2], "<f4", (ends[-1] - ends[0]) // 4, ends[0])
+        return flat.reshape(len(column), -1).astype(np.float64)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 

@@ -108,3 +108,26 @@ def test_copies_tie_by_id():
     for at in range(0, 40, 10):
         best.add(np.full((10, 2), 0.5), np.array([f"c{99 - i}" for i in range(at, at + 10)]))
     assert sorted(zip(best.kept["q"], best.kept["chunk_id"])) == [(0, "c60"), (0, "c61"), (1, "c60"), (1, "c61")]
+
+
+def test_vectors_are_stored_packed(spark, tmp_path):
+    import pyarrow as pa
+
+    class Lengths:
+        def embed(self, texts, text_type):
+            return np.array([[len(t), 0.5, -1.0] for t in texts], np.float32)
+
+    rows = chunks(spark, [(1, 0, "soil and water"), (2, 0, "stone"), (3, 0, "water water")])
+    docs = rows.select("doc_id").distinct()
+    for name, provider in (("hashed", None), ("given", Lengths())):
+        root = str(tmp_path / name)
+        search_index.add_batch(rows, docs, root, provider)
+        stored = search_index.opened(spark, root).vectors
+        assert dict(stored.dtypes)["embedding"] == "binary"
+        plain = {r.child_chunk_id: list(r.embedding) for r in providers.embed(rows, "embedding_text", provider).collect()}
+        assert {r.chunk_id: np.frombuffer(r.embedding, "<f4").tolist() for r in stored.collect()} == plain
+        asked = providers.embed(rows.selectExpr("child_chunk_id AS query_id", "embedding_text"), "embedding_text", provider)
+        best = search_index.vector_hits(search_index.opened(spark, root), asked.select("query_id", "embedding"), 1)
+        assert all(r.query_id == r.chunk_id and r.score == 1.0 for r in best.collect())
+    part = pa.array([np.arange(i, i + 3, dtype="<f4").tobytes() for i in range(4)], pa.binary()).slice(1, 2)
+    assert V.rows_of(part).tolist() == [[1, 2, 3], [2, 3, 4]]
