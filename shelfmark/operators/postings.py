@@ -56,12 +56,6 @@ def document_frequency(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def frequency_of(toks: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df) straight from the tokens: counted inside tasks, only counts are shuffled."""
-    rows = toks.select(F.explode_outer(F.array_distinct("toks")).alias("term"))
-    return document_frequency(rows.join(terms.select("term").distinct(), "term", "left_semi"))
-
-
 def idf(n: Column, df: Column) -> Column:
     raw = F.log((n - df + 0.5) / (df + 0.5))
     return F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR))

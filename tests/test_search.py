@@ -171,3 +171,14 @@ def test_failing_provider_marks_rows(spark):
     )
     got = {r.block_id: (r.status, r.enriched_text) for r in providers.describe(rows, Down()).collect()}
     assert got == {"b1": ("partial_failed", "[数学公式]: x"), "b2": ("skipped", None)}
+
+
+def test_term_frequencies_are_counted_inside_tasks(spark, monkeypatch):
+    texts = ["red red green", "green blue", "", "red stone", "blue blue blue"]
+    toks = P.tokenized(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts * 20)], "child_chunk_id string, embedding_text string"), keep=())
+    terms = spark.createDataFrame([(q, t) for q, t in enumerate(["red", "blue", "red", "none", "stone"])], "query_id int, term string")
+    for block in (100, 2):
+        monkeypatch.setattr(R, "TERM_BLOCK", block)
+        found = R.frequency_of(toks.repartition(3), terms)
+        assert {r.term: r.df for r in found.collect()} == {"red": 40, "blue": 40, "stone": 20}
+    assert R.frequency_of(toks, terms.where("query_id < 0")).count() == 0
