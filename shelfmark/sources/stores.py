@@ -23,6 +23,7 @@ from pyspark.sql.utils import AnalysisException
 from shelfmark.functions import text
 from shelfmark.operators.catalog import replace_documents
 from shelfmark.operators.scan import joined_text
+from shelfmark.session import SMALL_CODEC
 
 LOG = "version long, folder string, tables array<string>, base boolean"
 ROWS = "rows"
@@ -54,7 +55,7 @@ def commit(
     version = known[-1].version + 1 if known else 1
     folder = f"v{version}-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.withColumn("_version", F.lit(version)).write.parquet(f"{path}/{folder}/{name}")
+        df.withColumn("_version", F.lit(version)).write.option("compression", SMALL_CODEC).parquet(f"{path}/{folder}/{name}")
     if known and not base:  # the first version replaces nothing
         keys = [spark.read.parquet(f"{path}/{folder}/{name}").select(key) for name in tables]
         keys += [gone.select(key)] if gone is not None else []

@@ -131,3 +131,25 @@ def test_vectors_are_stored_packed(spark, tmp_path):
         assert all(r.query_id == r.chunk_id and r.score == 1.0 for r in best.collect())
     part = pa.array([np.arange(i, i + 3, dtype="<f4").tobytes() for i in range(4)], pa.binary()).slice(1, 2)
     assert V.rows_of(part).tolist() == [[1, 2, 3], [2, 3, 4]]
+
+
+def test_a_text_is_written_once(spark, tmp_path):
+    """Retrieval texts equal to the embedded ones are not stored again; all come back as they were."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = [("c1", 1, "a b", "a b"), ("c2", 2, "Head\nc d", "c d"), ("c3", 3, "", ""), ("c4", 4, "e", None), ("c5", 5, "f", "f")]
+    given = spark.createDataFrame(rows, "child_chunk_id string, doc_id long, embedding_text string, retrieval_text string")
+    root = str(tmp_path / "index")
+    search_index.add_batch(given.where("doc_id < 5"), ids(spark, 1, 2, 3, 4), root)
+    search_index.add_batch(given.where("doc_id = 5"), ids(spark, 5), root)
+    index = search_index.opened(spark, root)
+    for _ in range(2):
+        assert sorted(tuple(r) for r in index.chunks.select(*given.columns).collect()) == rows
+        files = [pq.ParquetFile(f) for f in glob.glob(f"{root}/{stores.versions(spark, root)[0].folder}/chunks/*.parquet")]
+        stored = [t for f in files for t in f.read(["retrieval_text"]).column(0).to_pylist() if t is not None]
+        assert stored == ["c d"]
+        kinds = {f.metadata.row_group(g).column(0).compression for f in files for g in range(f.metadata.num_row_groups)}
+        assert kinds == {"ZSTD"}
+        search_index.compact(spark, root)
