@@ -588,8 +588,13 @@ def two_round_gather(spark, sf):
 
 def gold(ix: Index, spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, doc_id): documents that hold the passage as one run of tokens."""
-    docs = cut(P.tokenized(C.documents(spark, sf), "doc_id", "text", keep=()))
-    return R.phrase_search(ix.queries, docs, limit=None).select("query_id", F.col("chunk_id").alias("doc_id"))
+    return passages(ix.queries, C.documents(spark, sf))
+
+
+def passages(queries: DataFrame, documents: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of each document that holds all tokens of a query side by side; tokens are made where they are read."""
+    docs = P.tokenized(documents, "doc_id", "text", keep=())
+    return R.phrase_runs(queries, docs).select("query_id", F.col("chunk_id").alias("doc_id"))
 
 
 def with_docs(found: DataFrame, ix: Index) -> DataFrame:
@@ -598,8 +603,7 @@ def with_docs(found: DataFrame, ix: Index) -> DataFrame:
 
 @query("gold_pairs", f"WITH {S.QUERY}, {S.GOLD} SELECT query_id, doc_id FROM gold")
 def gold_pairs(spark, sf):
-    docs = cut(P.tokenized(C.documents(spark, sf), "doc_id", "text", keep=()))
-    return R.phrase_search(C.queries(spark, sf), docs, limit=None).select("query_id", F.col("chunk_id").alias("doc_id"))
+    return passages(C.queries(spark, sf), C.documents(spark, sf))
 
 
 @query("relevance_flags", f"""

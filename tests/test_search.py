@@ -182,3 +182,18 @@ def test_term_frequencies_are_counted_inside_tasks(spark, monkeypatch):
         found = R.frequency_of(toks.repartition(3), terms)
         assert {r.term: r.df for r in found.collect()} == {"red": 40, "blue": 40, "stone": 20}
     assert R.frequency_of(toks, terms.where("query_id < 0")).count() == 0
+
+
+def test_gold_writes_no_tokens(spark, monkeypatch):
+    from shelfmark.plans import search
+
+    written = []
+    for module in (search, R, V):
+        whole = module.cut
+        monkeypatch.setattr(module, "cut", lambda df, *more, whole=whole: written.append(df.columns) or whole(df, *more))
+    sf = "/root/testdata/sf0.001"
+    got = {(r.query_id, r.doc_id) for r in search.gold_pairs(spark, sf).collect()}
+    assert written and not any("toks" in columns for columns in written)
+    docs = P.tokenized(search.C.documents(spark, sf), "doc_id", "text", keep=())
+    ranked = R.phrase_search(search.C.queries(spark, sf), docs, limit=None).collect()
+    assert got == {(r.query_id, r.chunk_id) for r in ranked} and got
