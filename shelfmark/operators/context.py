@@ -56,13 +56,17 @@ def sources(
     hits: DataFrame, chunks: DataFrame, parents: DataFrame, parent_rows: DataFrame | None = None,
     cap: int = CONTEXT_CAP,
 ) -> DataFrame:
-    """One context per hit: rendered blocks, else the stored parent text, else the hit itself."""
+    """One context per hit: rendered blocks, else the stored parent text, else the hit itself.
+
+    Hits are short lists: they are written with their chunks, and only texts of their parents meet a shuffle.
+    """
     about = chunks.select(
         F.col("child_chunk_id").alias("chunk_id"), "parent_chunk_id", "doc_id",
         F.col("header_path").alias("_own_path"), "retrieval_text",
     )
-    wanted = about.join(hits.select("query_id", "chunk_id", "rank", "score"), "chunk_id")
-    stored = parents.select(
+    wanted = cut(about.join(hits.select("query_id", "chunk_id", "rank", "score"), "chunk_id"))
+    named = cut(wanted.select("parent_chunk_id").distinct())
+    stored = parents.join(named, "parent_chunk_id", "left_semi").select(
         "parent_chunk_id",
         F.col("header_path").alias("_path"),
         *[F.col(c) if c in parents.columns else F.lit(0).alias(c) for c in ("page_start", "page_end")],
@@ -72,7 +76,7 @@ def sources(
     out = wanted.join(stored, "parent_chunk_id", "left")
     body = F.lit(None).cast("string")
     if parent_rows is not None:
-        needed = parent_rows.join(wanted.select("parent_chunk_id").distinct(), "parent_chunk_id", "left_semi")
+        needed = parent_rows.join(named, "parent_chunk_id", "left_semi")
         out = out.join(head_of_parents(needed, cap), "parent_chunk_id", "left")
         body = F.col("body")
     filled = lambda c: F.when(~text.blank(c), c)

@@ -184,6 +184,39 @@ def test_term_frequencies_are_counted_inside_tasks(spark, monkeypatch):
     assert R.frequency_of(toks, terms.where("query_id < 0")).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_only_texts_of_hit_parents_are_shuffled(spark):
+    rows = [(f"p{d}", d, random.Random(d).randbytes(1200).hex()) for d in range(1500)]
+    parents = spark.createDataFrame(rows, "parent_chunk_id string, doc_id int, text_full string").select(
+        "*", F.array().cast("array<string>").alias("header_path"), F.substring("text_full", 1, 9).alias("text_preview")
+    )
+    chunks = parents.select(
+        F.concat(F.lit("c"), "doc_id").alias("child_chunk_id"), "parent_chunk_id", "doc_id", "header_path", F.col("text_preview").alias("retrieval_text")
+    )
+    hits = spark.createDataFrame([("q", "c7", 0, 2.0), ("q", "c9", 1, 1.0), ("r", "c7", 0, 3.0)], "query_id string, chunk_id string, rank int, score double")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        before = shuffled(spark)
+        got = context.sources(hits, chunks, parents.repartition(3)).collect()
+        texts = shuffled(spark) - before
+        before = shuffled(spark)
+        parents.repartition(3).select(F.max("text_full")).collect()
+        once = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted((r.query_id, r.rank, r.context) for r in got) == [("q", 0, rows[7][2]), ("q", 1, rows[9][2]), ("r", 0, rows[7][2])]
+    # The test itself deals out the parents once; beside that nearly nothing is shuffled.
+    assert texts < 1.3 * once
+
+
 def test_gold_writes_no_tokens(spark, monkeypatch):
     from shelfmark.plans import search
 
