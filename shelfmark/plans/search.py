@@ -17,7 +17,7 @@ from shelfmark.operators import vectors as V
 from shelfmark.plans import corpora as C
 from shelfmark.plans import sql as S
 from shelfmark.plans.registry import query
-from shelfmark.session import checkpoint_root, cut, table
+from shelfmark.session import SMALL_CODEC, checkpoint_root, cut, table
 from shelfmark.sources import search_index
 
 
@@ -532,7 +532,7 @@ SELECT query_id, rank, chunk_id, parent_chunk_id, index_kind, score FROM kw JOIN
 def extra_index_search(spark, sf):
     parents = C.text_parents(spark, sf)
     every = extra_index.searchable(C.text_chunks(spark, sf), _summaries(parents), parents)
-    stored = cut(P.tokenized(every, keep=("parent_chunk_id", "index_kind")))
+    stored = cut(P.tokenized(every, keep=("parent_chunk_id", "index_kind")), SMALL_CODEC)
     found = R.keyword_search(C.queries(spark, sf), stored, mode="or")
     return found.join(stored.select("chunk_id", "parent_chunk_id", "index_kind"), "chunk_id").select(
         "query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "parent_chunk_id", "index_kind", "score"

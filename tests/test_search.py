@@ -230,3 +230,12 @@ def test_gold_writes_no_tokens(spark, monkeypatch):
     docs = P.tokenized(search.C.documents(spark, sf), "doc_id", "text", keep=())
     ranked = R.phrase_search(search.C.queries(spark, sf), docs, limit=None).collect()
     assert got == {(r.query_id, r.chunk_id) for r in ranked} and got
+
+
+def test_large_tables_of_a_search_are_packed_small(spark, monkeypatch):
+    from shelfmark.plans import search
+
+    codecs, whole = [], search.cut
+    monkeypatch.setattr(search, "cut", lambda df, *more: codecs.append((df.columns, more)) or whole(df, *more))
+    assert search.extra_index_search(spark, "/root/testdata/sf0.001").count() > 0
+    assert [more for columns, more in codecs if "toks" in columns] == [("zstd",)]
