@@ -3,7 +3,7 @@
 Both tokenizers cut the same bytes. A place where a token of either one ends is a shared cut. The
 cuts are found by divide and conquer: an interval looks for a common end near its middle, by bisect
 in the other tokenizer's ends, and is cut there; both halves go on, and an interval without a common
-end is a group. All intervals of a block of documents take each step together, as arrays.
+end is a group. All intervals of a part of a block of documents take each step together, as arrays.
 
 A block keeps its distinct linked id pairs with the number of its documents that hold them. Spark adds
 these up over all blocks, marks the best partners of every id, and joins the counts back to the blocks.
@@ -27,10 +27,12 @@ from shelfmark.llm.blocks import gaps, rows_of, split_by_bytes, squeeze, ungaps,
 from shelfmark.session import cut
 
 BLOCK_BYTES = 4 << 20
-LINKS = 1 << 22
+#: Text of a block that is cut at a time: its pieces and arrays are what a worker holds, beside the words.
+PART_BYTES = 512 << 10
+LINKS = 1 << 19
 #: A group of more links than this is counted by its distinct ids.
 LARGE = 1 << 12
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 CACHED_CHARS = 64
 JOINED_CHARS = 1 << 16
 DOC_BITS = 24
@@ -118,8 +120,9 @@ class Words(dict):
         wanted = set().union(*pieces)
         new = wanted - self.keys()
         if len(self) + len(new) > CACHED_WORDS:
+            again = {p: self[p] for p in wanted - new}
             self.clear()
-            new = wanted
+            self.update(again)
         self.learn(list(new))
         out = []
         for some in pieces:
@@ -241,8 +244,9 @@ def group_digests(words: Words, a: np.ndarray, b: np.ndarray, end_a: np.ndarray,
     return out
 
 
-def block_of(words: Words, ids: pa.Array, texts: list[str | None]) -> dict[str, Any]:
-    """One block: rows of documents, distinct pairs, and the links of each pair and document."""
+def part_of(words: Words, part: pa.RecordBatch, before: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Rows of some documents, of which the first is number ``before`` of its block, and their links (``links_of``)."""
+    texts = part.column("text").to_pylist()
     found = words.ids(texts)
     sizes = np.array([[len(x) // 2, len(y) // 2] for x, y in found], np.int64).reshape(-1, 2)
     first_a, first_b = (np.append(0, np.cumsum(sizes[:, i])) for i in (0, 1))
@@ -253,14 +257,25 @@ def block_of(words: Words, ids: pa.Array, texts: list[str | None]) -> dict[str,
     doc = np.repeat(np.arange(len(texts)), n_groups)
     n_links = np.zeros(len(texts), np.int64)
     np.add.at(n_links, doc, np.diff(np.append(0, end_a)) * np.diff(np.append(0, end_b)))
-    keys, times = links_of(a, b, end_a, end_b, doc, words.size_b)
-    pairs, docs_of = counted(keys >> np.uint64(DOC_BITS))
     table = pa.table(
         {
-            "doc_id": ids, "n_a": sizes[:, 0], "n_b": sizes[:, 1], "n_groups": n_groups, "n_links": n_links,
+            "doc_id": part.column("doc_id"), "n_a": sizes[:, 0], "n_b": sizes[:, 1], "n_groups": n_groups, "n_links": n_links,
             "groups_sha256": group_digests(words, a, b, end_a, end_b, last),
         }
     )
+    return table, *links_of(a, b, end_a, end_b, doc + before, words.size_b)
+
+
+def block_of(words: Words, held: list[pa.RecordBatch]) -> dict[str, Any]:
+    """One block: rows of documents, distinct pairs, and the links of each pair and document; made part by part."""
+    parts, before = [], 0
+    for batch in held:
+        for part in split_by_bytes(batch, "text", PART_BYTES):
+            parts.append(part_of(words, part, before))
+            before += part.num_rows
+    keys, times = counted(*(np.concatenate([p[i] for p in parts]) for i in (1, 2)))
+    pairs, docs_of = counted(keys >> np.uint64(DOC_BITS))
+    table = pa.concat_tables([p[0] for p in parts]).combine_chunks()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(table)
@@ -293,8 +308,7 @@ def linked(docs: DataFrame, text: str, doc_id: str, path_a: str | None, path_b:
             yield block(words, held)
 
     def block(words: Words, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        row = block_of(words, table.column("doc_id"), table.column("text").to_pylist())
+        row = block_of(words, held)
         return pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()})
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, BLOCKS)

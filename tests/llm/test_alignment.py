@@ -3,9 +3,12 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -120,3 +123,38 @@ def test_cuts_are_the_common_ends():
         ea, eb = np.array(ends_a, np.int64), np.array(ends_b, np.int64)
         end_a, end_b = alignment.groups(ea, eb, np.array(first_a), np.array(first_b))
         assert ea[end_a - 1].tolist() == eb[end_b - 1].tolist() == want
+
+
+def test_a_block_is_made_part_by_part(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(15_000)]
+    texts = [" ".join(rng.choices(vocabulary, k=400)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})
+    assert 3 << 20 < batch.column("text").nbytes < alignment.BLOCK_BYTES
+
+    class Task:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return list(run(iter([batch])))
+
+    alignment.words_of(None, None).ids(["a"])
+    tracemalloc.start()
+    try:
+        blocks = alignment.linked(Task(), "text", "doc_id", None, None)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(blocks) == 1
+    assert peak < 100 << 20, peak >> 20
+
+
+def test_words_in_use_outlive_the_others(monkeypatch):
+    monkeypatch.setattr(alignment, "CACHED_WORDS", 40)
+    words, learned = alignment.Words(None, None), []
+    learn = words.learn
+    monkeypatch.setattr(words, "learn", lambda pieces: (learned.extend(pieces), learn(pieces)))
+    for i in range(5):
+        words.ids(["the cat sat " + " ".join(f"w{i}x{j}" for j in range(30))])
+    assert learned.count(" cat") == 1 and len(words) <= 40
